@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cityportrait.llm import host_rules, mixing, neardup, pii
+from cityportrait.llm import host_rules, mixing, neardup, pii, spm
 from cityportrait.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.encoded(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,7 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
+        "op3_sentencepiece": op3_sentencepiece,
         "op7_pii": op7_pii,
         "op8_host_rules": op8_host_rules,
         "op9_neardup": op9_neardup,

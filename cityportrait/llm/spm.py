@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -29,7 +30,7 @@ MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK_CHARS = 600_000
 LONG_UNIT = 64
-MAX_CACHED = 400_000
+MAX_CACHED = 500_000
 
 
 @dataclass
@@ -58,6 +59,10 @@ class Vocabulary:
     def by_text(self) -> dict[str, int]:
         return {self.pieces[i]: i for i in self.usable}
 
+    @cached_property
+    def unknown_score(self) -> float:
+        return min((self.scores[i] for i in self.usable), default=0.0) - 10.0
+
     @cached_property
     def max_len(self) -> int:
         return max((len(self.pieces[i]) for i in self.usable), default=1)
@@ -79,7 +84,12 @@ class Vocabulary:
             return re.compile(r"(?s).+")
         if any("\n" in p for p in usable):
             return re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-        return re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
+        # marks of punctuation that no piece has behind a letter begin a unit of their own there
+        behind = {b for p in usable for a, b in zip(p, p[1:]) if re.match(r"[^\W\d_]", a)}
+        stop = "".join(re.escape(c) for c in ".,;:!?" if c not in behind)
+        if not stop:
+            return re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
+        return re.compile(rf"\n|{MARK}*[^{MARK}\n{stop}]+(?:(?<![^\W\d_])[{stop}][^{MARK}\n]*)?|{MARK}*[{stop}][^{MARK}\n]*|{MARK}+")
 
     @cached_property
     def surface(self) -> list[bytes]:
@@ -130,6 +140,10 @@ class Encoder:
         self.v = vocabulary
         self.cache: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
+        if vocabulary.bpe:
+            # a piece that merging its characters does not give is never an edge
+            vocabulary.usable = [i for i in vocabulary.usable if len(vocabulary.pieces[i]) == 1 or self.merged(vocabulary.pieces[i]) == [vocabulary.pieces[i]]]
+            vocabulary.__dict__.pop("codes", None)
 
     # -- pairs of pieces
     def merged(self, text: str) -> list[str]:
@@ -176,24 +190,26 @@ class Encoder:
         return [self.v.byte_ids[b] for b in c.encode("utf-8", "surrogatepass")] if self.v.byte_ids else [self.v.unk]
 
     def _relax(self, unit: str, first: list[int], size: list[int], piece: list[int], edge0: int) -> bytes:
-        n, follows, scores, bpe = len(unit), self.follows, self.v.scores, self.v.bpe
-        last, back, total = [-1] * (n + 1), [0] * (n + 1), [0.0] * (n + 1)
-        worst = min(scores[i] for i in self.v.usable) - 10.0
+        n, v, pairs, scores = len(unit), len(self.v.pieces), self.pairs, self.v.scores
+        # last piece of each prefix: -1 at the start, -2 behind a character outside the vocabulary, which merges with nothing
+        last, back = [-1] * (n + 1), list(range(-1, n))
+        total = [0.0] * (n + 1)
         for i in range(1, n + 1):
-            found = False
-            for e in range(first[i] - edge0, first[i + 1] - edge0):
-                s, p = i - size[e], piece[e]
-                if s < 0:
-                    continue
-                if bpe:
-                    # -2 stands for a character outside the vocabulary, which merges with nothing
-                    if (s == 0 or last[s] == -2 or follows(last[s], p)) and (size[e] == 1 or follows_itself(self, p)):
-                        last[i], back[i], found = p, s, True
+            edges = range(first[i] - edge0, first[i + 1] - edge0)
+            last[i] = -2
+            if self.v.bpe:
+                for e in edges:
+                    p, s = piece[e], i - size[e]
+                    before = last[s]
+                    if before < 0 or (pairs[key] if (key := before * v + p) in pairs else self.follows(before, p)):
+                        last[i], back[i] = p, s
                         break
-                elif not found or total[s] + scores[p] > total[i]:
-                    total[i], last[i], back[i], found = total[s] + scores[p], p, s, True
-            if not found:
-                last[i], back[i], total[i] = -2, i - 1, total[i - 1] + worst
+            else:
+                total[i] = total[i - 1] + self.v.unknown_score
+                for e in edges:
+                    p, s = piece[e], i - size[e]
+                    if last[i] == -2 or total[s] + scores[p] > total[i]:
+                        last[i], back[i], total[i] = p, s, total[s] + scores[p]
         out, i = [], n
         while i > 0:
             if last[i] == -2:
@@ -201,7 +217,8 @@ class Encoder:
             else:
                 out.append(last[i])
             i = back[i]
-        return np.array(out[::-1], np.int32).tobytes()
+        out.reverse()
+        return array("i", out).tobytes()
 
     def learn(self, units: list[str]) -> dict[str, bytes]:
         """Encode units, chunk by chunk."""
@@ -239,15 +256,6 @@ class Encoder:
         return text[1:] if text.startswith(" ") else text
 
 
-def follows_itself(enc: Encoder, p: int) -> bool:
-    """Whether a piece is reached by merging its characters."""
-    key = -1 - p
-    ok = enc.pairs.get(key)
-    if ok is None:
-        ok = enc.pairs[key] = enc.merged(enc.v.pieces[p]) == [enc.v.pieces[p]]
-    return ok
-
-
 _ENCODERS: dict[str, Encoder] = {}
 
 
