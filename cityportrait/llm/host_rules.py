@@ -57,12 +57,17 @@ def rule_counts(docs: DataFrame) -> DataFrame:
         "n_repeat_words": _repeated_words("_w", "_n"),
     })
     mean = F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1))
-    return d.withColumns({
-        "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
-        "soft_failed": (F.col("n_symbols") > SOFT["max_symbols_per_word"] * F.col("n_words"))
+    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    soft = (
+        (F.col("n_symbols") > SOFT["max_symbols_per_word"] * F.col("n_words"))
         | (F.col("n_dup_lines") > SOFT["max_dup_line_share"] * F.col("_n_lines"))
-        | (mean < SOFT["min_mean_word"]) | (mean > SOFT["max_mean_word"]),
-    }).drop("_w", "_n", "_lines", "_n_lines")
+        | (mean < SOFT["min_mean_word"])
+        | (mean > SOFT["max_mean_word"])
+    )
+    # tied to the partition number, the flags are computed once: a later filter or aggregate can't pull the counts'
+    # expressions, arrays and all, into its own
+    here = F.spark_partition_id() >= 0
+    return d.withColumns({"base_failed": base & here, "soft_failed": soft & here}).drop("_w", "_n", "_lines", "_n_lines")
 
 
 def host_verdicts(counted: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
