@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from cityportrait.llm.common import mapped
+
 from cityportrait.llm.neardup import _slices
 
 MARK = "▁"
@@ -289,7 +291,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
                     ["doc_id", "n_tokens", "n_byte_tokens", "ids", "round_trip"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_byte_tokens long, ids array<int>, round_trip boolean")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, n_byte_tokens long, ids array<int>, round_trip boolean")
 
 
 def decoded(tokens: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
@@ -303,4 +305,4 @@ def decoded(tokens: DataFrame, vocabulary: Vocabulary | None = None) -> DataFram
             texts = [None if x is None else enc.decode(np.array(x, np.int64)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return mapped(tokens.select("doc_id", "ids"), run, "doc_id long, text string")
