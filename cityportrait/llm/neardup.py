@@ -5,9 +5,10 @@ to a bin and a value, a bin keeps the smallest value of the first round that rea
 i - T takes every shingle, so each coordinate is filled. Sets with the same sketch coordinates in one of the bands
 are candidates; a link counts once the full sets confirm it.
 
-Equal sets are one class and meet only once. Inside a band bucket each class is first checked against one partner;
-then only pairs of different components are left to check, all of them, so a group of many near copies is never
-expanded into all its pairs while no link between components is lost. Sketches miss a pair at exactly the threshold
+Equal sets are one class and meet only once. Each class is first checked against the pivot it meets in most bands,
+a pivot being the member of a bucket that meets most others. What then remains between components is narrowed by an
+exact rule on how two sets differ from a common pivot (see _between_components), so a group of many near copies is
+never expanded into its pairs while no link between components is lost. Sketches miss a pair at exactly the threshold
 with probability (1 - 0.8**ROWS)**BANDS, below 8e-6.
 
 Cases: null and empty texts have an empty set, link with nothing and stay; one word is a set of one; repeated rows of
@@ -24,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from cityportrait.llm.common import small_or, written
+from cityportrait.llm.common import mapped, small_or, written
 
 SHINGLE = 2
 PERCENT = 80
@@ -161,25 +162,66 @@ def components(links: DataFrame) -> DataFrame:
         e = written(small.union(low.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct())
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) of a written table whose full shingle sets are similar enough."""
+def with_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Add the shingle hashes ha and hb to the pairs (a, b) of a written table. Only texts that occur in it are read."""
     ids = written(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct())
-    near, small = small_or(ids, MAX_BROADCAST_IDS)
+    near, _ = small_or(ids, MAX_BROADCAST_IDS)
     picked = docs.select("doc_id", "text").join(near, F.col("doc_id") == F.col("_id"), "left_semi")
-    sets = written(picked.dropDuplicates(["doc_id"]).mapInArrow(_set_batches, "id long, hashes array<long>"))
+    sets = written(mapped(picked.dropDuplicates(["doc_id"]), _set_batches, "id long, hashes array<long>"))
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b")
-    inter = F.size(F.array_intersect("ha", "hb"))
-    return both.withColumn("i", inter).filter(100 * F.col("i") >= percent * (F.size("ha") + F.size("hb") - F.col("i"))).select("a", "b")
+    return left.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b")
 
 
-def _similar_size(n: str, m: str) -> str:
-    return f"100L * least({n}, {m}) >= {PERCENT}L * greatest({n}, {m})"
+def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough."""
+    both = with_sets(docs, pairs).withColumn("i", F.size(F.array_intersect("ha", "hb")))
+    return both.filter(100 * F.col("i") >= PERCENT * (F.size("ha") + F.size("hb") - F.col("i"))).select("a", "b")
+
+
+def _pivot(degree: str = "degree", doc: str = "doc_id"):
+    return F.max_by(doc, F.struct(degree, -F.col(doc)))
+
+
+def _between_components(docs: DataFrame, shared: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links found on the way, pairs left to check) among documents of different components in a bucket.
+
+    Let R be a pivot, x a document that is not linked to R, and y any other. m counts what a set lacks of R, d what it
+    has besides. With P = PERCENT and D = P (|x| + |R|) - (100 + P) |x & R| > 0, x and y are linked only if their
+    sets share s elements missing from R or added to it, (100 + P) s >= D + 100 m_y + P d_y. At most
+    min(m_x, m_y) of them are missing ones, so the rest must be added ones, of which there are min(d_x, d_y) at most.
+    Pairs that need a shared added element are found by joining on the added elements; pairs that need none are
+    found in their bucket. All other pairs can't be linked.
+    """
+    c = shared.join(comps.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
+    c = written(c.withColumn("c", F.coalesce("component", "doc_id")).drop("component"))
+    per = c.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max_by("c", F.struct("degree", -F.col("doc_id"))).alias("pc"))
+    centre = c.groupBy(F.col("c").alias("pc")).agg(_pivot().alias("a"))
+    keys = written(per.filter("c0 < c1").join(centre, "pc").select("key", "a", "pc"))
+    members = written(c.join(keys, "key").filter("doc_id <> a").select("key", "a", "pc", F.col("doc_id").alias("b"), "c"))
+    entries = written(members.select("a", "pc", "b", "c").distinct())
+    both = with_sets(docs, entries).withColumn("k", F.size(F.array_intersect("ha", "hb")).cast("long"))
+    p = PERCENT
+    both = both.select(
+        "a", "b", "c", "pc",
+        (F.size("ha") - F.col("k")).alias("m"),
+        (F.size("hb") - F.col("k")).alias("d"),
+        (p * (F.size("ha") + F.size("hb")) - (100 + p) * F.col("k")).alias("lack"),
+        F.array_except("hb", "ha").alias("added"),
+    )
+    both = written(both)
+    links = both.filter("lack <= 0 AND c <> pc").select("a", "b")
+    need = f"l.lack + 100 * r.m + {p} * r.d - {100 + p} * least(l.m, r.m)"
+    e = both.select("a", "b", "c", "m", "d", "lack", F.explode("added").alias("e"))
+    share = e.filter("lack > 0").alias("l").join(e.alias("r"), F.expr(f"l.a = r.a AND l.e = r.e AND l.c <> r.c AND {need} <= {100 + p} * least(l.d, r.d)"))
+    m = members.select("key", "a", "b").join(both.drop("added"), ["a", "b"])
+    free = m.filter("lack > 0").alias("l").join(m.alias("r"), F.expr(f"l.key = r.key AND l.c <> r.c AND {need} <= 0"))
+    named = [F.expr("least(l.b, r.b)").alias("a"), F.expr("greatest(l.b, r.b)").alias("b")]
+    return links, share.select(*named).union(free.select(*named)).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
-    t = written(docs.select("doc_id", "text").mapInArrow(_sketch_batches, SKETCH_SCHEMA))
+    t = written(mapped(docs.select("doc_id", "text"), _sketch_batches, SKETCH_SCHEMA))
     real = t.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(
         real.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).filter("c > 1").drop("c")
@@ -188,29 +230,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         real.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).filter("doc_id <> rep").select(F.col("doc_id").alias("_id")).distinct()
     )
     others, _ = small_or(copies, MAX_BROADCAST_IDS)
-    reps = real.join(others, F.col("doc_id") == F.col("_id"), "left_anti").select("doc_id", "n_shingles", F.explode("bands").alias("key"))
-    buckets = reps.groupBy("key").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("last")).filter("m < last").select("key", "m")
-    shared = written(reps.join(written(buckets), "key"))
-
-    # one partner each: the bucket minimum met in most bands
-    met = shared.filter("m < doc_id").groupBy("doc_id", "m").count()
-    best = met.groupBy("doc_id").agg(F.max_by("m", F.struct("count", -F.col("m"))).alias("a"))
-    first = written(best.select("a", F.col("doc_id").alias("b")))
+    reps = real.join(others, F.col("doc_id") == F.col("_id"), "left_anti").select("doc_id", F.explode("bands").alias("key"))
+    buckets = reps.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("c")).filter("low < high")
+    shared = written(reps.join(written(buckets.select("key", "c")), "key"))
+    degrees = shared.groupBy("doc_id").agg(F.sum("c").alias("degree"))
+    shared = written(shared.select("doc_id", "key").distinct().join(degrees, "doc_id"))
+
+    # one partner each: the pivot met in most bands
+    pivots = shared.groupBy("key").agg(_pivot().alias("a"), F.max("degree").alias("da"))
+    met = shared.select("doc_id", "key").join(pivots, "key").filter("a <> doc_id").groupBy("doc_id", "a").agg(F.count("*").alias("n"), F.max("da").alias("da"))
+    first = met.groupBy(F.col("doc_id").alias("b")).agg(F.max_by("a", F.struct("n", "da", -F.col("a"))).alias("a"))
+    first = written(first)
     links = written(confirmed(docs, first))
-    comps = components(links)
-
-    # what is left: pairs of different components in a bucket
-    c = shared.join(comps.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
-    c = written(c.select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("c")))
-    per = c.groupBy("key", "c").count()
-    largest = per.groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("big"), F.count("*").alias("k")).filter("k > 1")
-    mixed_ = c.join(written(largest.select("key", "big")), "key")
-    l, r = mixed_.filter("c <> big").alias("l"), mixed_.alias("r")
-    rest = l.join(r, F.expr("l.key = r.key AND l.c <> r.c AND " + _similar_size("l.n_shingles", "r.n_shingles")))
-    rest = rest.select(F.expr("least(l.doc_id, r.doc_id)").alias("a"), F.expr("greatest(l.doc_id, r.doc_id)").alias("b")).distinct()
-    rest = written(rest.join(first, ["a", "b"], "left_anti"))
-    more = written(confirmed(docs, rest))
-    comps = written(components(links.union(more)))
+    more, rest = _between_components(docs, shared, components(links))
+    links = links.union(more).union(written(confirmed(docs, written(rest))))
+    comps = written(components(links))
 
     found = t.drop("bands").join(classes, ["k1", "k2"], "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
     found = found.join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left")
