@@ -105,6 +105,6 @@ def quality(docs: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns. Texts are read twice instead of shuffled."""
-    counted = rule_counts(docs)
+    counted = rule_counts(docs.select(F.struct(*docs.columns).alias("row"), "text", "source"))
     verdicts = host_verdicts(rule_counts(docs.select("text", "source")))
-    return judged(counted, verdicts).filter("kept").select(*docs.columns)
+    return judged(counted, verdicts).filter("kept").select("row.*")

@@ -29,6 +29,8 @@ N_WORDS = 1000
 N_CLASSES = 256
 DIM = 32
 NOISE = 10
+#: Tokens by which each symbol's followers are drawn towards their overall frequencies; keeps small corpora from overfitting.
+SMOOTH = 30.0
 STEPS = 250
 RATE = 0.05
 SEED = 11
@@ -100,7 +102,8 @@ class LogBilinear:
         q = (pairs.sum(0) + 1.0) / (total + m)
         self.b = np.log(q)
         if total:
-            self._train(pairs / total, q, steps)
+            smooth = pairs + SMOOTH * q
+            self._train(smooth / smooth.sum(), q, steps)
 
     def _train(self, p: np.ndarray, q: np.ndarray, steps: int) -> None:
         before = p.sum(1, keepdims=True)

@@ -122,6 +122,6 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     A document taken t of its n words stands floor(t / n) times, and once more if its hashed draw is below the rest.
     """
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(SEED + 1), "doc_id"), 11) / float(1 << 53)
-    times = mix(docs).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.floor(F.col("taken") / F.col("size") + draw).cast("int").alias("_times"))
-    times = times.groupBy("_id").agg(F.max("_times").alias("_times")).filter("_times > 0")
-    return docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id"))).select(*docs.columns, F.explode(F.sequence(F.lit(1), "_times")).alias("_i")).drop("_i")
+    times = mix(docs).filter("taken > 0").select(F.col("doc_id").alias("__id"), F.floor(F.col("taken") / F.col("size") + draw).cast("int").alias("__times"))
+    times = times.groupBy("__id").agg(F.max("__times").alias("__times")).filter("__times > 0")
+    return docs.join(times, F.col("doc_id").eqNullSafe(F.col("__id"))).select(*docs.columns, F.explode(F.sequence(F.lit(1), "__times")).alias("__i")).drop("__i")

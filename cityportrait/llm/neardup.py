@@ -254,6 +254,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each group, the one with the smallest doc_id, with all columns."""
-    gone = written(near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct())
+    gone = written(near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct())
     gone, _ = small_or(gone, MAX_BROADCAST_IDS)
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")

@@ -120,7 +120,7 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     Overlapping spans of several kinds become one, named after the first.
     """
-    d = spans(docs)
+    d = spans(docs.select(F.struct(*docs.columns).alias("row"), "text"))
 
     def tagged(kind: str) -> Column:
         return F.transform(f"_{kind}", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(f"[{kind.upper()}]").alias("tag")))
@@ -135,8 +135,14 @@ def redacted(docs: DataFrame) -> DataFrame:
     clean = F.expr("""concat(array_join(transform(_every, (x, i) -> concat(
           substr(text, cast(coalesce(get(_every, i - 1).e, 0L) + 1 AS int), cast(x.s - coalesce(get(_every, i - 1).e, 0L) AS int)), x.tag)), ''),
         substr(text, cast(element_at(_every, -1).e + 1 AS int)))""")
-    out = d.withColumn("text", F.when(F.col("_every").isNotNull(), clean).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_every").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    found = F.col("_every").isNotNull()
+    d = d.withColumn("_text", F.when(found, clean).otherwise(F.col("text")))
+    out = []
+    for c in docs.columns:
+        if c == "text":
+            out.append(F.col("_text").alias(c))
+        elif c == "n_chars":
+            out.append(F.when(found, F.length("_text").cast(docs.schema[c].dataType)).otherwise(F.col("row.n_chars")).alias(c))
+        else:
+            out.append(F.col(f"row.`{c}`"))
+    return d.select(*out)
