@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cityportrait.llm import host_rules, html, licenses, lm, media, mixing, neardup, pii, quality, spm
+from cityportrait.llm import host_rules, html, licenses, lm, media, mixing, neardup, pii, quality, spm, sql
 from cityportrait.llm.common import table
 
 
@@ -66,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_host_rules": sql.HOST_RULES, "op9_neardup": sql.NEAR_DUPLICATES}
