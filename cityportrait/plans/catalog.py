@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cityportrait.plans import allocation, places, validation
+from cityportrait.plans import allocation, extras, places, validation
 
-_MODULES = (allocation, validation, places)
+_MODULES = (allocation, validation, places, extras)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cityportrait.functions import expr
 from cityportrait.operators import marginals, portrait, validation as v
-from cityportrait.plans.common import PARTS, PERSONS, parts, persons, table
+from cityportrait.plans.common import PARTS, PERSONS, parts, persons, slices_sql, table, uniform
 
 Q, S = {}, {}
 
@@ -132,7 +132,12 @@ def agg10_run_counts(spark, d):
     return v.run_counts(micro(spark, d, 0), "puma")
 
 
-@query(None)
+_BAD = """("AGEP" < 16 AND "ESR" IN ('1', '2', '3'))"""
+
+
+@query(f"""WITH {_micro_sql('a', 0)}, {_micro_sql('b', 1)}, good AS (SELECT * FROM b WHERE NOT {_BAD}), {slices_sql('sl', 'good', 'puma', 'person_id', '1')}
+  SELECT a.person_id, a.puma, a."AGEP", CASE WHEN {_BAD.replace('("AGEP"', '(a."AGEP"').replace('"ESR"', 'a."ESR"')} THEN g."ESR" ELSE a."ESR" END AS "ESR", {_BAD.replace('("AGEP"', '(a."AGEP"').replace('"ESR"', 'a."ESR"')} AS repaired
+  FROM a JOIN sl ON a.puma = sl.g AND {uniform(3, 'a.person_id')} >= lo AND {uniform(3, 'a.person_id')} < hi JOIN good g ON g.person_id = sl.item""")
 def ext2_minimal_repair(spark, d):
     a = micro(spark, d, 0)
     return v.repaired(a, micro(spark, d, 1), _RULES["child_labour"], ["ESR"], "puma", "person_id", seed=3).select("person_id", "puma", "AGEP", "ESR", "repaired")
