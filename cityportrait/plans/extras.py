@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cityportrait.operators import conditions, validation
-from cityportrait.plans.common import PARTS, VISITS, parts, table, visits
+from cityportrait.functions import expr
+from cityportrait.operators import buildings, conditions, spatial, tiers, validation
+from cityportrait.plans.common import PARTS, VISITS, parts, table, tier_sql, visits
+from cityportrait.plans.places import _PIP, areas
 from cityportrait.plans.validation import micro
 
 Q, S = {}, {}
@@ -56,3 +58,37 @@ def ext11_portrait_checks(spark, d):
 def ext13_household_consistency(spark, d):
     h = table(spark, d, "orders").filter("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("hh"), (F.col("o_orderkey") % 9).alias("size"))
     return conditions.household_consistency(h, table(spark, d, "lineitem").select(F.col("l_orderkey").alias("hh")), "hh", "size")
+
+
+@query(_PIP + " SELECT bldg_id AS from_id, max(area_id) AS to_id FROM hit GROUP BY 1")
+def joi2_centroid_crosswalk(spark, d):
+    corner = lambda i, j: F.struct((F.col("x") + i).alias("x"), (F.col("y") + j).alias("y"))
+    squares = parts(spark, d).select("bldg_id", F.lit(False).alias("is_hole"), F.array(corner(-0.25, -0.25), corner(0.25, -0.25), corner(0.25, 0.25), corner(-0.25, 0.25)).alias("ring"))
+    return spatial.crosswalk(squares, areas(spark), "bldg_id", "area_id", cell=0.5)
+
+
+@query("""WITH p AS (SELECT c_custkey, c_nationkey FROM customer), s AS (SELECT s_nationkey, min(s_suppkey) AS first_bldg, count(*) AS n FROM supplier GROUP BY 1)
+  SELECT c_custkey AS person_id, first_bldg, coalesce(n, 0) AS n FROM p LEFT JOIN s ON c_nationkey = s_nationkey""")
+def joi9_buildings_of_group(spark, d):
+    s = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("puma")).agg(F.min("s_suppkey").alias("first_bldg"), F.count("*").alias("n"))
+    p = table(spark, d, "customer").select(F.col("c_custkey").alias("person_id"), F.col("c_nationkey").alias("puma"))
+    return p.join(s, "puma", "left").select("person_id", "first_bldg", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(f"""WITH {PARTS}, {tier_sql('tp', 'prt', 'puma', 'value', 'bldg_id', 5)}, av AS (SELECT puma, list_sort(list_distinct(list(price_tier))) AS ts FROM tp WHERE bldg_id % 3 = 0 GROUP BY puma),
+  w AS (SELECT bldg_id, puma, (bldg_id % 5 + 1)::INTEGER AS desired FROM prt)
+  SELECT bldg_id, (list_sort(list_transform(ts, lambda t: abs(t - desired) * 1000 + t))[1] % 1000)::INTEGER AS tier FROM w JOIN av USING (puma)""")
+def joi11_nearest_tier(spark, d):
+    t = tiers.quantile_tier(parts(spark, d), "puma", "value", "bldg_id", 5).filter("bldg_id % 3 = 0")
+    offered = t.groupBy("puma").agg(F.collect_set("price_tier").alias("tiers"))
+    w = parts(spark, d).select("bldg_id", "puma", (F.col("bldg_id") % 5 + 1).cast("int").alias("desired")).join(offered, "puma")
+    return w.select("bldg_id", expr.nearest_tier(F.col("tiers"), F.col("desired")).alias("tier"))
+
+
+@query(f"""WITH {PARTS}, a AS (SELECT bldg_id, footprint_area_m2 * greatest(height_m / 3, 1) AS cap_proxy, value, parcel_id, puma, footprint_area_m2 FROM prt),
+  v AS (SELECT *, value * least(greatest(cap_proxy / sum(cap_proxy) OVER (PARTITION BY parcel_id), 0), 1) / (footprint_area_m2 * 10.763910416709722::DOUBLE) AS ppsf FROM a), {tier_sql('tp', 'v', 'puma', 'ppsf', 'bldg_id', 5)}
+  SELECT bldg_id, puma, round(ppsf, 9) AS price_per_sqft, price_tier FROM tp""")
+def building_price_pipeline(spark, d):
+    b = parts(spark, d).withColumn("cap_proxy", F.col("footprint_area_m2") * expr.floors("height_m"))
+    p = buildings.priced(buildings.value_share(b, "parcel_id", "value", "cap_proxy"), "puma")
+    return p.select("bldg_id", "puma", F.round("price_per_sqft", 9).alias("price_per_sqft"), "price_tier")
