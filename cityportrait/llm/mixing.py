@@ -71,7 +71,8 @@ def planned(goals: DataFrame) -> DataFrame:
 def schedule(plan: DataFrame) -> DataFrame:
     """(slot, source, rank, block): which block each slot takes. `plan` is a written table."""
     spark = plan.sparkSession
-    total = plan.agg(F.sum("slots")).first()[0] or 0.0
+    # the last interval's end, not a new sum: sums taken in another order may differ in their last digit
+    total = plan.agg(F.max("hi")).first()[0] or 0.0
     n = int(-(-total // 1))
     step = 1 << 20
     point = (F.floor(F.col("id") / step) * ((step * GOLDEN) % 1.0) + (F.col("id") % step) * GOLDEN) % 1.0
