@@ -412,6 +412,17 @@ def test_html(spark):
     assert html.extracted(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page,text", [
+    ('<article><p title="5" tall">one</p><p>two</article>', "one\n\ntwo"),
+    ('<article><p title="a > b">one</p><p class=\'x\'>two &lt;p&gt; &#233;</article>', "one\n\ntwo <p> é"),
+    ("<article><p>1 < 2 <b>and</b> 3 > 2<!-- gone --></p><![CDATA[kept]]></article>", "1 < 2 and 3 > 2\n\nkept"),
+    ("<article><p>one<nav>menu</nav><div id=cookie-notice>x</div><p>two<style>p{}</style></article><p>after", "one\n\ntwo"),
+    ("<main><p>one</main><aside>side</aside><p hidden>no", "one"),
+])
+def test_odd_pages(page, text):
+    assert html.main_text(page, None) == text
+
+
 def test_html_template_without_semantic_tags(spark):
     """Menus and footers without telling names are found as the text that every page of the host repeats."""
     page = "<div class=c0><div class=c1>Home News About</div><div class=c2><h2>{t}</h2><p>{a}</p><p>{b}</p></div><div class=c3>All rights kept</div></div>"
