@@ -36,7 +36,8 @@ RATE = 0.05
 SEED = 11
 #: Words whose counts are broadcast.
 HEAD = 200_000
-FLUSH = 300_000
+FLUSH = 200_000
+SLICE_ROWS = 250
 END = b"\n"
 N_SYMBOLS = 1 + N_WORDS + N_CLASSES
 
@@ -131,6 +132,24 @@ class LogBilinear:
         return ((s - np.log(np.exp(s).sum(1, keepdims=True))) / np.log(10)).astype(np.float32)
 
 
+def frequent(counts: DataFrame, most: int) -> list:
+    """The rows (word, c) of the most frequent words, at most `most` of them, and of the end.
+
+    A histogram of log counts, of bounded size, gives the least count to take; only rows above it reach the driver.
+    """
+    level = F.floor(F.log2("c") * 16)
+    least = None
+    taken = 0
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.level):
+        taken += r.n
+        if taken > most:
+            break
+        least = r.level
+    keep = F.col("word") == F.lit(bytearray(END))
+    rows = counts.filter(keep if least is None else keep | (level >= least)).collect()
+    return sorted(rows, key=lambda r: (-r.c, bytes(r.word)))
+
+
 PARTIAL = "doc_id long, held_out boolean, n_tokens long, n_known long, counts double, model double, rest array<struct<word:binary,n:long>>"
 
 
@@ -141,7 +160,7 @@ def scored(docs: DataFrame) -> DataFrame:
     train = d.filter(~F.col("held_out")).select("text")
     counts = written(mapped(train, _count_batches, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()
+    head = frequent(counts, HEAD)
     words = spark.sparkContext.broadcast(Words([bytes(r.word) for r in head], [r.c for r in head]))
 
     def pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,23 +199,31 @@ def scored(docs: DataFrame) -> DataFrame:
         log_p, head_ = made.value.reshape(-1), words.value
         log_c = np.log10(head_.count + 1.0)
         cost = np.where(np.arange(N_SYMBOLS) > N_WORDS, share, 0.0)
-        kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+        names = [x.split(" ")[0] for x in PARTIAL.split(", ")]
         for batch in batches:
-            rows = []
-            for t in batch.column(2):
-                w = tokens(t.as_py())
-                at = head_.places(w)
-                s = head_.symbols(w, at)
-                full = np.append(at, 0)
-                seen = full[full >= 0]
-                lm = float(log_p[np.concatenate([[0], s[:-1]]) * N_SYMBOLS + s].sum(dtype=np.float64) - cost[s].sum())
-                # a word that is no symbol of its own has its share of the class
-                lm += float(log_c[seen[head_.symbol[seen] > N_WORDS]].sum())
-                rest = Counter(w[i] for i in np.flatnonzero(at < 0))
-                rows.append((len(w) + 1, int((head_.count[seen] > 0).sum()), float(log_c[seen].sum()), lm, [{"word": a, "n": b} for a, b in rest.items()]))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), kind]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], [x.split(" ")[0] for x in PARTIAL.split(", ")])
+            for begin in range(0, batch.num_rows, SLICE_ROWS):
+                piece = batch.slice(begin, SLICE_ROWS)
+                rows, offsets, rare_words, rare_counts = [], [0], [], []
+                for t in piece.column(2):
+                    w = tokens(t.as_py())
+                    at = head_.places(w)
+                    s = head_.symbols(w, at)
+                    full = np.append(at, 0)
+                    seen = full[full >= 0]
+                    lm = float(log_p[np.concatenate([[0], s[:-1]]) * N_SYMBOLS + s].sum(dtype=np.float64) - cost[s].sum())
+                    # a word that is no symbol of its own has its share of the class
+                    lm += float(log_c[seen[head_.symbol[seen] > N_WORDS]].sum())
+                    rest = Counter(w[i] for i in np.flatnonzero(at < 0))
+                    rare_words.extend(rest)
+                    rare_counts.extend(rest.values())
+                    offsets.append(len(rare_words))
+                    rows.append((len(w) + 1, int((head_.count[seen] > 0).sum()), float(log_c[seen].sum()), lm))
+                columns = list(zip(*rows, strict=True))
+                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+                rare = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())], ["word", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column(0), piece.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rare)], names
+                )
 
     part = mapped(d, score_batches, PARTIAL).withColumn("row", F.monotonically_increasing_id())
     part = written(part)
