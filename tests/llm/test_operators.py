@@ -429,3 +429,18 @@ def test_html_template_without_semantic_tags(spark):
     rows = [(i, f"http://h.org/{i}", page.format(t=f"Title {i}", a=f"First words of page {i} " * 5, b=f"And more of {i} " * 9)) for i in range(12)]
     got = {r.page_id: r.text for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all("Home" not in t and "rights" not in t and t.startswith(f"Title {i}\n\nFirst") and t.endswith(f"more of {i}") for i, t in got.items())
+
+
+def extracted_texts(spark, pages):
+    rows = [(i, f"http://h.org/{i}", page) for i, page in enumerate(pages)]
+    return [r.text for r in sorted(html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())]
+
+
+@pytest.mark.parametrize("page", [
+    "<div class=c0><ul class=u><li>{a}</li><li>{b}<ol class=sub><li class=s>Deep item</li></ol></li></ul><div class=c3>All rights kept</div></div>",
+    "<div class='w-1/2 c0'><div class=c2><p>{a}</p><p>{b}</p><div class=c3>All rights kept</div></div></div>",
+])
+def test_html_template_of_repeated_parents_and_slashes(spark, page):
+    """An element that each page has once may stand below a repeated one, and class values may hold a slash."""
+    got = extracted_texts(spark, [page.format(a=f"First words of page {i} " * 5, b=f"And more of {i} " * 9) for i in range(8)])
+    assert all(t.startswith("First words") and f"more of {i}" in t and "rights" not in t and "Deep" not in t for i, t in enumerate(got))
