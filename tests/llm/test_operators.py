@@ -444,3 +444,24 @@ def test_html_template_of_repeated_parents_and_slashes(spark, page):
     """An element that each page has once may stand below a repeated one, and class values may hold a slash."""
     got = extracted_texts(spark, [page.format(a=f"First words of page {i} " * 5, b=f"And more of {i} " * 9) for i in range(8)])
     assert all(t.startswith("First words") and f"more of {i}" in t and "rights" not in t and "Deep" not in t for i, t in enumerate(got))
+
+
+COPY = "<html><body><div class=c0>Home News</div><article><h1>One title</h1><p>The only words of this article.</p></article></body></html>"
+
+
+def test_html_copies_keep_their_article(spark):
+    """Copies of a page, by address or as repeated rows, and pages that differ in a tag only are no template."""
+    want = "One title\n\nThe only words of this article."
+    assert extracted_texts(spark, [COPY] * 7) == [want] * 7
+    assert extracted_texts(spark, [COPY.replace("<h1>", f"<h1 data-n={i}>") for i in range(7)]) == [want] * 7
+    rows = [(1, "http://h.org/1", COPY)] * 7
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert [r.text for r in html.extracted(df).collect()] == [want] * 7 and html.distinct_pages(df).count() == 1
+    # three copies among other pages: repeated rows don't make up the support
+    assert html.distinct_pages(spark.createDataFrame(rows + [(2, "http://h.org/2", COPY), (3, "http://g.org/", COPY), (4, None, None), (4, None, None)], df.schema)).count() == 3
+
+
+def test_html_article_text_equal_to_a_menu_stays(spark):
+    page = "<div class=c1>All rights</div><div class=c2><p>{a}</p><p>All rights</p><p>{a} again</p></div>"
+    got = extracted_texts(spark, [page.format(a=f"Words of page {i} " * 9) if i else page.format(a="Page 0 " * 9).replace("<p>All rights</p>", "<h2>All rights</h2>") for i in range(8)])
+    assert got[0].count("All rights") == 1 and got[0].startswith("Page 0")
