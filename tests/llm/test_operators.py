@@ -465,3 +465,21 @@ def test_html_article_text_equal_to_a_menu_stays(spark):
     page = "<div class=c1>All rights</div><div class=c2><p>{a}</p><p>All rights</p><p>{a} again</p></div>"
     got = extracted_texts(spark, [page.format(a=f"Words of page {i} " * 9) if i else page.format(a="Page 0 " * 9).replace("<p>All rights</p>", "<h2>All rights</h2>") for i in range(8)])
     assert got[0].count("All rights") == 1 and got[0].startswith("Page 0")
+
+
+@pytest.mark.parametrize("page", [
+    "<div class=c1>Home News</div><article><h1>Title {i}</h1><div class=lead>Lead of {i}.</div><div class=content><p>{a}</p><p>{a} again</p></div></article>",
+    "<div class=c1>Home News</div><div class=c2><h1>Title {i}</h1><div class=lead>Lead of {i}.</div><div class=content><p>{a}</p><p>{a} again</p></div></div>",
+    "<div class=c1>Home News</div><div class=c2 id=post-{i}><h1>Title {i}</h1><p>Lead of {i}.</p><div class=content><p>{a}</p><p>{a} again</p></div></div>",
+])
+def test_html_title_and_lead_stay(spark, page):
+    """What stands beside the element with most of the prose is the article's too."""
+    got = extracted_texts(spark, [page.format(i=i, a=f"Words of page {i} " * 20) for i in range(8)])
+    assert all(t.startswith(f"Title {i}\n\nLead of {i}.\n\nWords of page {i}") and t.endswith("again") for i, t in enumerate(got))
+
+
+def test_html_second_layout_with_a_teaser(spark):
+    one = "<div class=c1>Home News</div><article><h1>Title {i}</h1><p>{a}</p></article>"
+    two = "<div class=c1>Home News</div><article><p>Teaser {i}</p></article><div class=c9><h1>Title {i}</h1><p>{a}</p></div>"
+    got = extracted_texts(spark, [(two if i > 7 else one).format(i=i, a=f"Words of page {i} " * 20) for i in range(10)])
+    assert all(f"Title {i}\n\nWords of page {i} " in t and "Home" not in t for i, t in enumerate(got))
