@@ -483,3 +483,14 @@ def test_html_second_layout_with_a_teaser(spark):
     two = "<div class=c1>Home News</div><article><p>Teaser {i}</p></article><div class=c9><h1>Title {i}</h1><p>{a}</p></div>"
     got = extracted_texts(spark, [(two if i > 7 else one).format(i=i, a=f"Words of page {i} " * 20) for i in range(10)])
     assert all(f"Title {i}\n\nWords of page {i} " in t and "Home" not in t for i, t in enumerate(got))
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<article><p>one<svg class=i /></p><p>two<math/> three</article>", "one\n\ntwo three"),
+    ("<article><svg viewBox='0 0 1 1'/><p>one</p><svg><title>no</title></svg><p>two</article>", "one\n\ntwo"),
+    ("<article><object data=x/><video src=x/><p>one</p><video src=y></video><p>two</article>", "one\n\ntwo"),
+    *[(f"<article><p>one</p><{tag} class=x><p>two</p><p>three</article>", "one\n\ntwo\n\nthree") for tag in "svg math object canvas audio video iframe noscript template".split()],
+    ("<article><p>one</p><script>let a = '<p>no</p>'", "one"),
+])
+def test_unclosed_and_self_closed_elements(page, text):
+    assert html.main_text(page, None) == text
