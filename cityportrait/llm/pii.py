@@ -25,9 +25,11 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9]))",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
+#: What an iban's head may stand for at most: as words may follow it, each part from the head to a word's end is tested.
+IBAN, IBAN_CHARS = r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", 66
 #: A cheap test that every match of the kind passes.
 TRIGGER = {"email": "@", "phone": "+", "ip": ".", "ssn": "-"}
 CONTEXT = {
@@ -66,6 +68,13 @@ def _valid(kind: str, s: str) -> str:
     }[kind]
 
 
+def _iban(text: str, start: str) -> str:
+    """The longest valid iban from a head on, null without one."""
+    whole = f'split(regexp_extract(substr({text}, cast({start} + 1 AS int), {IBAN_CHARS}), r"{IBAN}", 0), " ")'
+    parts = f"transform({whole}, (w, i) -> array_join(slice({whole}, 1, i + 1), ' '))"
+    return f"try_element_at(filter({parts}, p -> {_valid('iban', 'p')}), -1)"
+
+
 def spans(df: DataFrame, text: str = "text") -> DataFrame:
     """Add one column per kind, `_<kind>`: array<struct<s, e, score>> of its confirmed spans, in order."""
     t = F.coalesce(F.col(text), F.lit(""))
@@ -83,9 +92,13 @@ def spans(df: DataFrame, text: str = "text") -> DataFrame:
         )
         for k, p in PATTERNS.items()
     })
+    text_or = f"coalesce({text}, '')"
+    zipped = {k: f"arrays_zip(_m_{k} , {_running(f'_d_{k}')})" for k in PATTERNS}
+    valid = {k: f"""filter({zipped[k]}, z -> {_valid(k, f"z['_m_{k}']")})""" for k in PATTERNS}
+    valid["iban"] = f"""filter(transform({zipped['iban']}, z -> named_struct('_m_iban', {_iban(text_or, "z['1']")}, '1', z['1'])), z -> z['_m_iban'] IS NOT NULL)"""
     d = d.withColumns({
         f"_{k}": F.coalesce(
-            F.expr(f"""transform(filter(arrays_zip(_m_{k} , {_running(f'_d_{k}')}), z -> {_valid(k, f"z['_m_{k}']")}),
+            F.expr(f"""transform({valid[k]},
                 z -> struct(cast(z['1'] AS bigint) AS s, cast(z['1'] + length(z['_m_{k}']) AS bigint) AS e,
                   least(1D, {BASE_SCORE[k]}D + CASE WHEN lower(substr(coalesce({text}, ''), cast(greatest(1, z['1'] + 1 - {CONTEXT_CHARS}) AS int), cast(least(z['1'], {CONTEXT_CHARS}) AS int))) rlike r"{CONTEXT[k]}" THEN {CONTEXT_BONUS}D ELSE 0D END) AS score))"""),
             F.expr("cast(array() AS array<struct<s:bigint,e:bigint,score:double>>)"),

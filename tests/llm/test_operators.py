@@ -494,3 +494,26 @@ def test_html_second_layout_with_a_teaser(spark):
 ])
 def test_unclosed_and_self_closed_elements(page, text):
     assert html.main_text(page, None) == text
+
+
+@pytest.mark.parametrize("text,want", [
+    ("iban DE89 3704 0044 0532 0130 00 BIC COBADEFF", ["DE89 3704 0044 0532 0130 00"]),
+    ("DE89 3704 0044 0532 0130 00 12 EUR", ["DE89 3704 0044 0532 0130 00"]),
+    ("Yes, DE89370400440532013000 I said", ["DE89370400440532013000"]),
+    ("DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32", ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"]),
+    ("\U0001f600 AB12 DE89 3704 0044 0532 0130 00.", ["DE89 3704 0044 0532 0130 00"]),
+    ("DE89370400440532013000", ["DE89370400440532013000"]),
+    ("MT84MALT011000012345MTLCAST001S", ["MT84MALT011000012345MTLCAST001S"]),
+    ("DE89 3704 0044 0532 0130 01 EUR and DE89370400440532013000x", []),
+    (None, []),
+])
+def test_iban_among_capitals(spark, text, want):
+    """Words in capitals or numbers next to an iban neither hide it nor belong to it."""
+    df = spark.createDataFrame([(1, text, len(text or ""))], "doc_id long, text string, n_chars int")
+    row = pii.spans(df).first()
+    assert [text[x.s : x.e] for x in row._iban] == want
+    clean = pii.redacted(df).first().text
+    left = text
+    for x in want:
+        left = left.replace(x, "[IBAN]")
+    assert clean == left
