@@ -7,9 +7,9 @@ are candidates; a link counts once the full sets confirm it.
 
 Equal sets are one class and meet only once. Each class is first checked against the pivot it meets in most bands,
 a pivot being the member of a bucket that meets most others. What then remains between components is narrowed by an
-exact rule on how two sets differ from a common pivot (see _between_components), so a group of many near copies is
-never expanded into its pairs while no link between components is lost. Sketches miss a pair at exactly the threshold
-with probability (1 - 0.8**ROWS)**BANDS, below 8e-6.
+exact rule on how two sets differ from their group's centre, joined on the rare differences only (see
+_between_components), so a group of many near copies is never expanded into its pairs while no link between
+components is lost. Sketches miss a pair at a similarity of 0.8 with probability (1 - 0.8**ROWS)**BANDS, below 8e-6.
 
 Cases: null and empty texts have an empty set, link with nothing and stay; one word is a set of one; repeated rows of
 a doc_id are copies of each other; rows without a doc_id are never linked and stay; an empty table gives an empty
@@ -19,6 +19,7 @@ table; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ BANDS, ROWS = 64, 8
 T = BANDS * ROWS
 SLICE_BYTES = 4 << 20
 MAX_BROADCAST_IDS = 500_000
+#: Members that a group's centre is taken from.
+VOTERS = 16
 
 _EMPTY = np.uint64(2**64 - 1)
 _LOW = np.uint64((1 << 54) - 1)
@@ -112,12 +115,12 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str | None]]
 SKETCH_SCHEMA = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"
 
 
-def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     hashes = _WordHashes()
     for batch in batches:
         for ids, texts in _slices(batch):
             with np.errstate(over="ignore"):
-                sets = [shingle_set(t, hashes) for t in texts]
+                sets = [shingle_set(t, hashes, shingle) for t in texts]
             full = [i for i, s in enumerate(sets) if len(s)]
             n = np.array([len(s) for s in sets], np.int64)
             keys = np.zeros((len(sets), 2), np.int64)
@@ -131,12 +134,12 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             )
 
 
-def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _set_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     hashes = _WordHashes()
     for batch in batches:
         for ids, texts in _slices(batch):
             with np.errstate(over="ignore"):
-                sets = [shingle_set(t, hashes) for t in texts]
+                sets = [shingle_set(t, hashes, shingle) for t in texts]
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             values = np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["id", "hashes"])
@@ -162,66 +165,84 @@ def components(links: DataFrame) -> DataFrame:
         e = written(small.union(low.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct())
 
 
-def with_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Add the shingle hashes ha and hb to the pairs (a, b) of a written table. Only texts that occur in it are read."""
-    ids = written(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct())
+def sets_of(docs: DataFrame, ids: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(id, hashes): the shingle sets of the documents whose id is in the written table `ids`. No other text is read."""
     near, _ = small_or(ids, MAX_BROADCAST_IDS)
-    picked = docs.select("doc_id", "text").join(near, F.col("doc_id") == F.col("_id"), "left_semi")
-    sets = written(mapped(picked.dropDuplicates(["doc_id"]), _set_batches, "id long, hashes array<long>"))
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a")
-    return left.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b")
+    picked = docs.select("doc_id", "text").join(near, F.col("doc_id") == F.col("id"), "left_semi")
+    return written(mapped(picked.dropDuplicates(["doc_id"]), partial(_set_batches, shingle=shingle), "id long, hashes array<long>"))
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def confirmed(sets: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
-    both = with_sets(docs, pairs).withColumn("i", F.size(F.array_intersect("ha", "hb")))
-    return both.filter(100 * F.col("i") >= PERCENT * (F.size("ha") + F.size("hb") - F.col("i"))).select("a", "b")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a")
+    both = both.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b")
+    both = both.withColumn("i", F.size(F.array_intersect("ha", "hb")))
+    return both.filter(100 * F.col("i") >= percent * (F.size("ha") + F.size("hb") - F.col("i"))).select("a", "b")
 
 
 def _pivot(degree: str = "degree", doc: str = "doc_id"):
     return F.max_by(doc, F.struct(degree, -F.col(doc)))
 
 
-def _between_components(docs: DataFrame, shared: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links found on the way, pairs left to check) among documents of different components in a bucket.
+def _differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(g, id, c, w, slack, delta) of the members (g, id, c): how each one's set differs from its group's centre.
 
-    Let R be a pivot, x a document that is not linked to R, and y any other. m counts what a set lacks of R, d what it
-    has besides. With P = PERCENT and D = P (|x| + |R|) - (100 + P) |x & R| > 0, x and y are linked only if their
-    sets share s elements missing from R or added to it, (100 + P) s >= D + 100 m_y + P d_y. At most
-    min(m_x, m_y) of them are missing ones, so the rest must be added ones, of which there are min(d_x, d_y) at most.
-    Pairs that need a shared added element are found by joining on the added elements; pairs that need none are
-    found in their bucket. All other pairs can't be linked.
+    The centre holds the shingles of at least half of up to VOTERS members. Any set would do for the rule below; this
+    one keeps differences few, and none is common to most members.
     """
-    c = shared.join(comps.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
-    c = written(c.withColumn("c", F.coalesce("component", "doc_id")).drop("component"))
-    per = c.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max_by("c", F.struct("degree", -F.col("doc_id"))).alias("pc"))
-    centre = c.groupBy(F.col("c").alias("pc")).agg(_pivot().alias("a"))
-    keys = written(per.filter("c0 < c1").join(centre, "pc").select("key", "a", "pc"))
-    members = written(c.join(keys, "key").filter("doc_id <> a").select("key", "a", "pc", F.col("doc_id").alias("b"), "c"))
-    entries = written(members.select("a", "pc", "b", "c").distinct())
-    both = with_sets(docs, entries).withColumn("k", F.size(F.array_intersect("ha", "hb")).cast("long"))
-    p = PERCENT
-    both = both.select(
-        "a", "b", "c", "pc",
-        (F.size("ha") - F.col("k")).alias("m"),
-        (F.size("hb") - F.col("k")).alias("d"),
-        (p * (F.size("ha") + F.size("hb")) - (100 + p) * F.col("k")).alias("lack"),
-        F.array_except("hb", "ha").alias("added"),
+    cell = F.pmod(F.xxhash64("id"), F.lit(VOTERS)).alias("cell")
+    voters = written(members.filter("c = g").groupBy("g", cell).agg(F.min("id").alias("id")))
+    votes = voters.join(sets, "id").select("g", F.explode("hashes").alias("e")).groupBy("g", "e").agg(F.count("*").alias("n"))
+    of = voters.groupBy("g").agg(F.count("*").alias("of"))
+    centre = written(votes.join(of, "g").filter("2 * n >= of").groupBy("g").agg(F.collect_list("e").alias("r")))
+    d = members.join(sets, "id").join(centre, "g")
+    d = d.withColumns({"added": F.array_except("hashes", "r"), "missing": F.array_except("r", "hashes")})
+    return d.select(
+        "g", "id", "c",
+        (100 * F.size("missing") + percent * F.size("added")).cast("long").alias("w"),
+        ((100 - percent) * F.size("r")).cast("long").alias("slack"),
+        F.concat("added", F.transform("missing", F.bitwise_not)).alias("delta"),
     )
-    both = written(both)
-    links = both.filter("lack <= 0 AND c <> pc").select("a", "b")
-    need = f"l.lack + 100 * r.m + {p} * r.d - {100 + p} * least(l.m, r.m)"
-    e = both.select("a", "b", "c", "m", "d", "lack", F.explode("added").alias("e"))
-    share = e.filter("lack > 0").alias("l").join(e.alias("r"), F.expr(f"l.a = r.a AND l.e = r.e AND l.c <> r.c AND {need} <= {100 + p} * least(l.d, r.d)"))
-    m = members.select("key", "a", "b").join(both.drop("added"), ["a", "b"])
-    free = m.filter("lack > 0").alias("l").join(m.alias("r"), F.expr(f"l.key = r.key AND l.c <> r.c AND {need} <= 0"))
-    named = [F.expr("least(l.b, r.b)").alias("a"), F.expr("greatest(l.b, r.b)").alias("b")]
-    return links, share.select(*named).union(free.select(*named)).distinct()
-
-
-def near_duplicates(docs: DataFrame) -> DataFrame:
+
+
+def _between_components(shared: DataFrame, sets: DataFrame, comps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links known for sure, pairs left to check) among documents of different components that meet in a bucket.
+
+    A group is what meets the component that a bucket's best-connected document belongs to. Let R be the group's
+    centre, and let a document's differences be the shingles it lacks of R (m of them) and those it has besides (d of
+    them). With P = `percent` and w = 100 m + P d, two documents are linked exactly if the number s of differences
+    they share satisfies (100 + P) s >= w_x + w_y - (100 - P) |R|. So documents whose w and the group's least w
+    together stay within (100 - P) |R| are linked with the document of least w. All other pairs contain a far
+    document and need at least one shared difference. Differences are put in one order for the whole group, rare
+    ones first: a pair that needs s shared ones has its first one before either's last s - 1. Joining on these
+    prefixes finds all such pairs, and what is common in the group is hardly ever joined on.
+    """
+    c = shared.join(comps.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
+    c = written(c.select("key", "doc_id", "degree", F.coalesce("component", "doc_id").alias("c")))
+    per = c.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max_by("c", F.struct("degree", -F.col("doc_id"))).alias("g"))
+    members = written(c.join(per.filter("c0 < c1").select("key", "g"), "key").select("g", F.col("doc_id").alias("id"), "c").distinct())
+    d = written(_differences(members, sets, percent))
+    least = d.groupBy("g").agg(F.min(F.struct("w", "id", "c")).alias("least"))
+    d = d.join(least, "g").withColumn("far", F.col("w") + F.col("least.w") > F.col("slack"))
+    sure = d.filter("NOT far AND c <> least.c").select(F.col("least.id").alias("a"), F.col("id").alias("b"))
+    # the near ones are all in one component now
+    d = d.withColumn("c", F.when(F.col("far"), F.col("c")).otherwise(F.col("least.c"))).drop("least").withColumn("n", F.size("delta"))
+    e = written(d.select("g", "id", "c", "w", "slack", "far", "n", F.explode("delta").alias("e")))
+    # what no far document has, or one component only, can't link anything: it comes first in the order and is left out
+    live = e.groupBy("g", "e").agg(F.count("*").alias("f"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("far").alias("any")).filter("any AND c0 < c1")
+    live = e.join(live.select("g", "e", "f"), ["g", "e"])
+    order = live.groupBy("g", "id", "c", "w", "slack", "far", "n").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("o"))
+    at = order.select("g", "id", "c", "w", "slack", "far", (F.col("n") - F.size("o")).alias("skipped"), "n", F.posexplode("o").alias("place", "fe"))
+    at = written(at.select("g", "id", "c", "w", "slack", "far", (F.col("n") - F.col("skipped") - F.col("place")).alias("rest"), F.col("fe.e").alias("e")))
+    lack, p = "l.w + r.w - l.slack", 100 + percent
+    on = f"l.g = r.g AND l.e = r.e AND l.c <> r.c AND (NOT r.far OR l.id < r.id) AND {p} * l.rest >= {lack} AND {p} * r.rest >= {lack}"
+    pairs = at.filter("far").alias("l").join(at.alias("r"), F.expr(on))
+    return sure, pairs.select(F.expr("least(l.id, r.id)").alias("a"), F.expr("greatest(l.id, r.id)").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
-    t = written(mapped(docs.select("doc_id", "text"), _sketch_batches, SKETCH_SCHEMA))
+    t = written(mapped(docs.select("doc_id", "text"), partial(_sketch_batches, shingle=shingle), SKETCH_SCHEMA))
     real = t.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(
         real.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).filter("c > 1").drop("c")
@@ -233,18 +254,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = real.join(others, F.col("doc_id") == F.col("_id"), "left_anti").select("doc_id", F.explode("bands").alias("key"))
     buckets = reps.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("c")).filter("low < high")
     shared = written(reps.join(written(buckets.select("key", "c")), "key"))
-    degrees = shared.groupBy("doc_id").agg(F.sum("c").alias("degree"))
+    degrees = written(shared.groupBy("doc_id").agg(F.sum("c").alias("degree")))
     shared = written(shared.select("doc_id", "key").distinct().join(degrees, "doc_id"))
+    sets = sets_of(docs, degrees.select(F.col("doc_id").alias("id")), shingle)
 
     # one partner each: the pivot met in most bands
     pivots = shared.groupBy("key").agg(_pivot().alias("a"), F.max("degree").alias("da"))
     met = shared.select("doc_id", "key").join(pivots, "key").filter("a <> doc_id").groupBy("doc_id", "a").agg(F.count("*").alias("n"), F.max("da").alias("da"))
     first = met.groupBy(F.col("doc_id").alias("b")).agg(F.max_by("a", F.struct("n", "da", -F.col("a"))).alias("a"))
-    first = written(first)
-    links = written(confirmed(docs, first))
-    more, rest = _between_components(docs, shared, components(links))
-    links = links.union(more).union(written(confirmed(docs, written(rest))))
-    comps = written(components(links))
+    links = written(confirmed(sets, first, percent))
+    sure, rest = _between_components(shared, sets, components(links), percent)
+    comps = written(components(links.union(sure).union(confirmed(sets, written(rest), percent))))
 
     found = t.drop("bands").join(classes, ["k1", "k2"], "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
     found = found.join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left")
@@ -252,8 +272,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One document of each group, the one with the smallest doc_id, with all columns."""
-    gone = written(near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct())
+    gone = written(near_duplicates(docs, shingle, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct())
     gone, _ = small_or(gone, MAX_BROADCAST_IDS)
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
