@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 
 #: Bin edges of age and income (fixed values).
-AGE_EDGES = [0.0, 5.0, 15.0, 18.0, 25.0, 35.0, 45.0, 55.0, 65.0, 75.0, 100.0]
-INCOME_EDGES = [0.0, 10000.0, 25000.0, 50000.0, 75000.0, 100000.0, 150000.0, 200000.0, 10000000.0]
+AGE_EDGES = [0.0, 5.0, 18.0, 25.0, 35.0, 45.0, 55.0, 65.0, 75.0, 85.0, 1000.0]
+INCOME_EDGES = [0.0, 10000.0, 25000.0, 50000.0, 75000.0, 100000.0, 150000.0, 250000.0, 10000000.0]
 NO_BIN = "nan"
 
 
@@ -82,8 +82,11 @@ def child_labour(age: str | Column, esr: str | Column) -> Column:
     return F.coalesce((number(age) < 16) & F.trim(col(esr).cast("string")).isin("1", "2", "3"), F.lit(False))
 
 
-def hash_uniform(seed: int, *keys: str | Column, digits: int = 8) -> Column:
-    """A draw in [0, 1) from a seed and keys: the same on any partitioning and in any engine with md5."""
+def hash_uniform(seed: int, *keys: str | Column, digits: int = 13) -> Column:
+    """A draw in [0, 1) from a seed and keys: the same on any partitioning and in any engine with md5.
+
+    13 hex digits are 52 bits, as many as a double in [1, 2) has: enough for any number of items to be drawn from.
+    """
     text = F.concat_ws("|", F.lit(str(seed)), *[col(k).cast("string") for k in keys])
     return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("double") / float(16**digits)
 

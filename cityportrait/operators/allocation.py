@@ -21,17 +21,16 @@ ITEMS_PER_SLICE = 16
 def weight_slices(items: DataFrame, group: list[str], item: str, weight: Column) -> DataFrame:
     """(group, item, lo, hi): each item's part of [0, 1) by weight, in the order of a hash of the item.
 
-    Weights that add up to nothing count as equal. Items without weight have no part; the last one ends at 1.
+    Weights that add up to nothing count as equal. Items without weight have no part; a part ends where the next one
+    begins, the last one at 1. A group's items are dealt to up to 65,536 buckets.
     """
     d = items.select(*group, item, expr.non_negative(weight).alias("_w"))
     totals = d.groupBy(*group).agg(F.sum("_w").alias("_tw"), F.count("*").alias("_n"))
     d = d.join(ranks.renamed(totals, group), ranks.same(group))
-    d = d.select(*group, item, "_n", F.when(F.col("_tw") > 0, F.col("_w")).otherwise(1.0).alias("_one"), F.substring(F.md5(F.col(item).cast("string")), 1, 2).alias("_b"))
-    r = ranks.running(d.filter("_one > 0"), group, "_b", [item], "_one", "_before", "_total")
-    hi = (F.col("_before") + F.col("_one")) / F.col("_total")
-    # sums taken in another order may differ in their last digit; draws are coarser than 1e-12
+    d = d.select(*group, item, "_n", F.when(F.col("_tw") > 0, F.col("_w")).otherwise(1.0).alias("_one"), F.substring(F.md5(F.col(item).cast("string")), 1, 4).alias("_b"))
+    r = ranks.running(d.filter("_one > 0"), group, "_b", [item], "_one", "_before", "_total", "_after")
     return r.select(
-        *group, item, (F.col("_before") / F.col("_total")).alias("lo"), F.when(hi > 1 - 1e-12, 1.0).otherwise(hi).alias("hi"),
+        *group, item, (F.col("_before") / F.col("_total")).alias("lo"), (F.col("_after") / F.col("_total")).alias("hi"),
         F.ceil(F.col("_n") / ITEMS_PER_SLICE).cast("long").alias("_slices"),
     )
 
@@ -63,6 +62,7 @@ def assign_within_area(persons: DataFrame, buildings: DataFrame, person: str, ar
     return draw(keys, slices, [area], building, "_u").select(person, area, building)
 
 
+#: Names of the methods (fixed values).
 METHODS = ("random", "capacity_only", "income_price_match")
 
 
@@ -146,24 +146,65 @@ def ensure_filled(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
+def train_and_holdout(df: DataFrame, group: str, key: str, fraction: float, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The two sides of `split`; an error if either is empty."""
+    parts = settled(split(df, group, key, fraction, seed))
+    side = lambda name: ensure_filled(parts.filter(F.col("part") == name).drop("part"), name)
+    return side("train"), side("holdout")
+
+
 def subsample(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     """Exactly n rows (or all), the same ones on any partitioning."""
     return df.orderBy(expr.hash_uniform(seed, key), key).limit(n)
 
 
+#: Grids of the nearest-building search: so many, each cell STEP times as wide as the next one's.
+LEVELS, STEP = 10, 4
+
+
 def nearest_building(persons: DataFrame, buildings: DataFrame, person: str, building: str, area: str, features: dict[str, str], tier: str | None = None) -> DataFrame:
     """(person, building): the closest building of the area in standardised features {person column: building column}.
 
-    With a tier, only buildings of the person's tier are compared. Ties go to the smaller building id.
+    With a tier, only buildings of the person's tier are compared. Ties go to the smaller building id. Persons that
+    lack a feature or whose area has no buildings are left out.
+
+    A person's own cell tells, from fine to coarse grids, how far the closest building can be; only the cells around
+    the person on the next coarser grid are compared, so candidates follow the local density and not the area's size.
+    Buildings with equal features count once.
     """
-    stats = buildings.agg(*[F.avg(b).alias(f"_m_{i}") for i, b in enumerate(features.values())], *[F.stddev_pop(b).alias(f"_s_{i}") for i, b in enumerate(features.values())]).first()
+    n = len(features)
+    both = [F.min(b) for b in features.values()] + [F.max(b) for b in features.values()] + [F.stddev_pop(b) for b in features.values()]
+    stats = buildings.agg(*both).first()
+    mine = persons.agg(*[F.min(p) for p in features], *[F.max(p) for p in features]).first()
+    scale = [float(s) if (s := stats[2 * n + i]) and s > 1e-6 else 1.0 for i in range(n)]
+    ends = [[float(v) for v in (stats[i], stats[n + i], mine[i], mine[n + i]) if v is not None] or [0.0] for i in range(n)]
+    # the coarsest cells are as wide as everything, so that the cells next to a person's hold all buildings
+    width = max((max(e) - min(e)) / s for e, s in zip(ends, scale, strict=True)) or 1.0
+    keys = [area, *([tier] if tier else [])]
+    groups = [f"_k{i}" for i in range(len(keys))]
+    cells = [f"_c{i}" for i in range(n)]
+
+    def side(df: DataFrame, columns: list[str], name: str, value: str) -> DataFrame:
+        d = df.select(F.col(name).alias(name), *[F.col(k).alias(g) for k, g in zip(keys, groups, strict=True)], *[F.col(c).cast("double").alias(f"{value}{i}") for i, c in enumerate(columns)])
+        return d.dropna(subset=[f"{value}{i}" for i in range(n)])
+
+    def on_level(df: DataFrame, value: str) -> DataFrame:
+        size = width / F.pow(F.lit(float(STEP)), F.col("_level"))
+        return df.withColumns({c: F.floor(F.col(f"{value}{i}") / scale[i] / size) for i, c in enumerate(cells)})
+
+    every = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("_level")
+    b = side(buildings, list(features.values()), building, "_b").groupBy(*groups, *[f"_b{i}" for i in range(n)]).agg(F.min(building).alias(building))
+    b = settled(on_level(b.select("*", every), "_b"))
+    p = settled(side(persons, list(features), person, "_p"))
+    occupied = b.select(*groups, "_level", *cells).distinct()
+    hit = on_level(p.select("*", every), "_p").join(occupied, [*groups, "_level", *cells]).groupBy(person).agg(F.max("_level").alias("_hit"))
+    q = p.join(hit, person, "left").withColumn("_level", F.greatest(F.coalesce("_hit", F.lit(0)) - 1, F.lit(0)))
+    q = on_level(q, "_p")
+    for c in cells:
+        q = q.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
     d = None
-    for i, (p, b) in enumerate(features.items()):
-        s = stats[f"_s_{i}"] if stats[f"_s_{i}"] and stats[f"_s_{i}"] > 1e-6 else 1.0
-        part = F.pow((F.col(f"p.{p}") - F.col(f"b.{b}")) / s, 2)
+    for i in range(n):
+        part = F.pow((F.col(f"_p{i}") - F.col(f"_b{i}")) / scale[i], 2)
         d = part if d is None else d + part
-    on = F.col(f"p.{area}") == F.col(f"b.{area}")
-    if tier:
-        on = on & (F.col(f"p.{tier}") == F.col(f"b.{tier}"))
-    j = persons.alias("p").join(buildings.alias("b"), on)
-    return j.groupBy(F.col(f"p.{person}").alias(person)).agg(F.min_by(F.col(f"b.{building}"), F.struct(F.round(d, 9), F.col(f"b.{building}"))).alias(building))
+    j = q.join(b, [*groups, "_level", *cells])
+    return j.groupBy(person).agg(F.min_by(building, F.struct(F.round(d, 9), F.col(building))).alias(building))

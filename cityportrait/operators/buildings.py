@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from cityportrait.functions import expr, geo
 from cityportrait.functions.checks import choose, require_columns
-from cityportrait.operators import tiers
+from cityportrait.operators import spatial, tiers
 
+#: Columns that come first in a building table (fixed values).
 FRONT = ["bldg_id", "puma", "tract_geoid", "footprint_area_m2", "height_m", "cap_proxy", "dist_cbd_km", "centroid_lon", "centroid_lat"]
 
 
-def features(footprints: DataFrame, areas: DataFrame | None = None) -> DataFrame:
+def features(footprints: DataFrame) -> DataFrame:
     """floors, cap_proxy and dist_cbd_km from area, height and centroid; rows lacking any of them go."""
     require_columns(footprints, ["bldg_id", "footprint_area_m2", "height_m", "centroid_lon", "centroid_lat"], "footprints")
     d = footprints.withColumn("floors", expr.floors("height_m"))
@@ -20,6 +21,22 @@ def features(footprints: DataFrame, areas: DataFrame | None = None) -> DataFrame
     return d.dropna(subset=["footprint_area_m2", "height_m", "cap_proxy", "dist_cbd_km"])
 
 
+def feature_table(footprints: DataFrame, pumas: DataFrame, tracts: DataFrame | None = None, city: DataFrame | None = None, cell: float = spatial.CELL) -> DataFrame:
+    """Features of the footprints in the city with the PUMA (and tract) that holds their centroid; rows lacking one go.
+
+    Areas are ring tables; area_id is the PUMA's code or the tract's id. Of several areas the largest id counts.
+    """
+    d = features(footprints)
+    x, y = "centroid_lon", "centroid_lat"
+    if city is not None:
+        d = spatial.inside_area(d, city, "bldg_id", x, y, cell)
+    for areas, name in ((pumas, "puma"), (tracts, "tract_geoid")):
+        if areas is not None:
+            hit = spatial.points_in_areas(d, areas, "bldg_id", x=x, y=y, cell=cell).groupBy("bldg_id").agg(F.max("area_id").alias(name))
+            d = d.drop(name).join(hit, "bldg_id")
+    return front_columns(d.withColumn("puma", expr.area_code("puma")).dropna(subset=["puma"]))
+
+
 def front_columns(df: DataFrame, front: list[str] = FRONT) -> DataFrame:
     """The front columns that are there first, then the rest in their order."""
     first = [c for c in front if c in df.columns]
@@ -47,9 +64,3 @@ def priced(df: DataFrame, group: str | None, q: int = 5) -> DataFrame:
     """price_per_sqft and price_tier from the allocated value; null prices count as 0 for the tier."""
     d = df.withColumn("price_per_sqft", expr.price_per_sqft("assessed_value_alloc", "footprint_area_m2"))
     return tiers.quantile_tier(d, group, "price_per_sqft", "bldg_id", q)
-
-
-def rank_in_group(df: DataFrame, group: str, value: str, key: str, n: int) -> DataFrame:
-    """The n best rows of each group."""
-    w = W.partitionBy(group).orderBy(F.desc(value), key)
-    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")

@@ -8,7 +8,7 @@ from cityportrait.functions import expr
 
 LONG = ["variable", "category", "target", "table_id", "source", "acs_year", "geo_level"]
 _AGE_BINS = expr.bin_labels(expr.AGE_EDGES)
-#: Lower ages of a sex's cells in B01001, in cell order (fixed values).
+#: Lower ages of a sex's detailed cells in B01001, in cell order; the sexes' totals are cells 2 and 26 (fixed values).
 _CELL_AGES = [0, 5, 10, 15, 18, 20, 21, 22, 25, 30, 35, 40, 45, 50, 55, 60, 62, 65, 67, 70, 75, 80, 85]
 _AGE_OF_CELL = [max(i for i, e in enumerate(expr.AGE_EDGES) if e <= a) for a in _CELL_AGES]
 #: Income edges of B19001 in cell order (fixed values).
@@ -22,9 +22,9 @@ def _cell(table: str, i: int) -> str:
 def recodes() -> dict[str, list[tuple[str, str, str]]]:
     """Per table: (cell, variable, category) of every cell that is recoded."""
     out: dict[str, list[tuple[str, str, str]]] = {"B01001": [], "B19001": [], "B23025": []}
-    for sex, first in (("1", 3), ("2", 27)):
-        for i, b in enumerate(_AGE_OF_CELL):
-            out["B01001"] += [(_cell("B01001", first + i), "SEX", sex), (_cell("B01001", first + i), "AGEP_bin", _AGE_BINS[b])]
+    for sex, total in (("1", 2), ("2", 26)):
+        out["B01001"].append((_cell("B01001", total), "SEX", sex))
+        out["B01001"] += [(_cell("B01001", total + 1 + i), "AGEP_bin", _AGE_BINS[b]) for i, b in enumerate(_AGE_OF_CELL)]
     edges = [float(e) for e in HOUSEHOLD_INCOME_EDGES] + [float("inf")]
     out["B19001"] = [(_cell("B19001", 2 + i), "HHINCP_bin", label) for i, label in enumerate(expr.bin_labels(edges))]
     out["B23025"] = [(_cell("B23025", 4 + i), "ESR_16p", c) for i, c in enumerate(["employed", "unemployed", "armed_forces", "not_in_labor_force"])]

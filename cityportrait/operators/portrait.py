@@ -33,8 +33,12 @@ def distribution(df: DataFrame, value: str, key: str) -> DataFrame:
     return q.join(m, "_g").select("n", "mean", F.col("q")[0].alias("p10"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p90"))
 
 
-def tier_summary(portraits: DataFrame, tier: str = "price_tier", value: str = "income_p50") -> DataFrame:
-    return portraits.filter(F.col(tier) > 0).groupBy(tier).agg(F.count("*").alias("n"), F.median(value).alias("median"), F.avg(value).alias("mean"))
+def tier_summary(portraits: DataFrame, tier: str = "price_tier", value: str = "income_p50", key: str = "bldg_id") -> DataFrame:
+    """(tier, n, median, mean) of tiers above 0; a tier may hold most of the rows."""
+    d = portraits.filter(F.col(tier) > 0).select(tier, F.col(value).cast("double").alias("_v"), key)
+    q = ranks.quantiles(d, [tier], "_v", key, [0.5]).select(F.col(tier).alias("_t"), F.col("q")[0].alias("median"))
+    s = d.groupBy(tier).agg(F.count("*").alias("n"), F.avg("_v").alias("mean"))
+    return s.join(q, F.col(tier) == F.col("_t"), "left").select(tier, "n", "median", "mean")
 
 
 def plot_range(df: DataFrame, value: str, key: str) -> DataFrame:

@@ -1,14 +1,17 @@
 """Exact ranks, running sums and quantiles of groups that may hold most of all rows.
 
 A plain window puts a group into one task. Here rows are first dealt to buckets that follow the order, sums per
-(group, bucket) give each bucket's start, and only a bucket is windowed.
+(group, bucket) give each bucket's start, and only a bucket is windowed. A value that many rows share has buckets of
+its own, which follow the tie key, so a constant column is spread as well.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-BUCKETS = 64
+#: Quantiles taken of a column, and the least number of buckets; the number grows with the rows up to CUTS.
+CUTS, BUCKETS = 1024, 64
+ROWS_PER_BUCKET = 1_000_000
 
 
 def renamed(df: DataFrame, names: list[str], prefix: str = "_k_") -> DataFrame:
@@ -24,47 +27,87 @@ def same(names: list[str], prefix: str = "_k_") -> Column:
     return on
 
 
-def running(df: DataFrame, group: list[str], bucket: str, order: list, value: str, before: str, total: str) -> DataFrame:
+def running(df: DataFrame, group: list[str], bucket: str, order: list, value: str, before: str, total: str, after: str | None = None) -> DataFrame:
     """Add the sum of `value` over the group's rows before this one, and over all of them.
 
-    `bucket` must not fall along `order`.
+    `bucket` must not fall along `order`. With `after`, also the next row's `before` (the total for the last row), so
+    that one row's end is exactly the next one's start.
     """
     sums = df.groupBy(*group, bucket).agg(F.sum(value).alias("_s"))
     w = W.partitionBy(*group)
     upto = w.orderBy(bucket).rowsBetween(W.unboundedPreceding, W.currentRow)
     starts = sums.select(*group, bucket, (F.sum("_s").over(upto) - F.col("_s")).alias("_start"), F.sum("_s").over(w).alias("_total"))
-    inside = W.partitionBy(*group, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    inner = df.withColumn("_run", F.sum(value).over(inside) - F.col(value))
+    inside = W.partitionBy(*group, bucket).orderBy(*order)
+    inner = df.withColumn("_run", F.sum(value).over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col(value))
+    told = [(F.col("_start") + F.col("_run")).alias(before), F.col("_total").alias(total)]
+    if after:
+        starts = starts.withColumn("_next", F.lead("_start").over(w.orderBy(bucket)))
+        inner = inner.withColumn("_following", F.lead("_run").over(inside))
+        told.append(F.coalesce(F.col("_start") + F.col("_following"), F.col("_next"), F.col("_total")).alias(after))
     joined = inner.join(renamed(starts, [*group, bucket]), same([*group, bucket]))
-    return joined.select(*df.columns, (F.col("_start") + F.col("_run")).alias(before), F.col("_total").alias(total))
+    return joined.select(*df.columns, *told)
 
 
-def value_bucket(df: DataFrame, value: str, buckets: int = BUCKETS) -> Column:
-    """A bucket number that never falls as the value grows, from approximate quantiles of the whole column."""
-    cuts = df.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []
-    cuts = sorted({float(c) for c in cuts if c == c})
-    if not cuts:
-        return F.lit(0)
-    return F.when(F.col(value).isNull(), -1).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(value))))
+def _number(df: DataFrame, column: str) -> Column:
+    """A number that never falls as the column grows: the value itself, or a text's first six bytes."""
+    if dict(df.dtypes)[column] in ("string", "date", "timestamp", "timestamp_ntz", "boolean", "binary"):
+        head = F.rpad(F.hex(F.substring(F.encode(F.col(column).cast("string"), "UTF-8"), 1, 6)), 12, "0")
+        return F.conv(head, 16, 10).cast("double")
+    return F.col(column).cast("double")
+
+
+def _place(cuts: list[float], v: str, alone: bool) -> str:
+    """SQL of the number of cuts at or below v, as a search tree; with `alone` doubled, odd where v is a cut itself."""
+
+    def tree(lo: int, hi: int) -> str:
+        if lo == hi:
+            return (f"CASE WHEN {v} = {cuts[lo - 1]!r}D THEN {2 * lo - 1} ELSE {2 * lo} END" if lo else "0") if alone else str(lo)
+        mid = (lo + hi) // 2
+        return f"CASE WHEN {v} < {cuts[mid]!r}D THEN {tree(lo, mid)} ELSE {tree(mid + 1, hi)} END"
+
+    return tree(0, len(cuts))
+
+
+def with_bucket(df: DataFrame, value: str, tie: str) -> DataFrame:
+    """Add `_bucket`, which never falls along (value, tie); nulls come first.
+
+    Cuts are approximate quantiles of the whole column. A row whose value is a cut shares its bucket with equal values
+    only, so these are dealt again by quantiles of the tie key.
+    """
+    points = [i / CUTS for i in range(1, CUTS)]
+    d = df.select(_number(df, value).alias("v"), _number(df, tie).alias("t"))
+    n, vs, ts = d.agg(F.count("*"), F.percentile_approx("v", points, 10_000), F.percentile_approx("t", points, 10_000)).first()
+    step = max(1, CUTS // max(BUCKETS, n // ROWS_PER_BUCKET + 1))
+    some = lambda cuts: sorted({float(c) for c in (cuts or [])[step - 1 :: step] if c == c and abs(c) != float("inf")})
+    vs, ts = some(vs), some(ts)
+    d = df.withColumns({"_bv": _number(df, value), "_bt": _number(df, tie)})
+    d = d.withColumn("_at", F.expr(f"CASE WHEN _bv IS NULL THEN -1 ELSE {_place(vs, '_bv', True)} END"))
+    # null values are all equal, so they are dealt by the tie key too
+    alone = (F.col("_at") % 2 != 0) & F.col("_bt").isNotNull()
+    return d.withColumn("_bucket", F.col("_at") * CUTS + F.when(alone, F.expr(_place(ts, "_bt", False))).otherwise(0)).drop("_bv", "_bt", "_at")
+
+
+def placed(df: DataFrame, group: list[str], value: str, tie: str, rank: str = "rank", n: str = "n") -> DataFrame:
+    """As `ranked`, with the bucket."""
+    d = with_bucket(df, value, tie).withColumn("_one", F.lit(1).cast("long"))
+    return running(d, group, "_bucket", [value, tie], "_one", rank, n).drop("_one")
 
 
 def ranked(df: DataFrame, group: list[str], value: str, tie: str, rank: str = "rank", n: str = "n") -> DataFrame:
     """Add the 0-based place of each row in its group, by value and then by tie, and the group's size."""
-    d = df.withColumn("_one", F.lit(1).cast("long")).withColumn("_bucket", value_bucket(df, value))
-    return running(d, group, "_bucket", [value, tie], "_one", rank, n).drop("_one", "_bucket")
+    return placed(df, group, value, tie, rank, n).drop("_bucket")
 
 
-def quantiles(df: DataFrame, group: list[str], value: str, tie: str, probabilities: list[float]) -> DataFrame:
-    """(group, n, q): exact quantiles with linear interpolation, an array per group. Nulls are left out."""
-    r = ranked(df.filter(F.col(value).isNotNull()).select(*group, value, tie), group, value, tie)
+def quantiles_of(r: DataFrame, group: list[str], value: str, probabilities: list[float], rank: str = "rank", n: str = "n") -> DataFrame:
+    """(group, n, q) of a ranked table without null values."""
     picked = []
     for i, p in enumerate(probabilities):
-        at = F.lit(p) * (F.col("n") - 1)
+        at = F.lit(p) * (F.col(n) - 1)
         picked += [
-            F.max(F.when(F.col("rank") == F.floor(at), F.col(value))).alias(f"_lo{i}"),
-            F.max(F.when(F.col("rank") == F.ceil(at), F.col(value))).alias(f"_hi{i}"),
+            F.max(F.when(F.col(rank) == F.floor(at), F.col(value))).alias(f"_lo{i}"),
+            F.max(F.when(F.col(rank) == F.ceil(at), F.col(value))).alias(f"_hi{i}"),
         ]
-    d = r.groupBy(*group).agg(F.first("n").alias("n"), *picked)
+    d = r.groupBy(*group).agg(F.first(n).alias("n"), *picked)
     values = []
     for i, p in enumerate(probabilities):
         at = F.lit(p) * (F.col("n") - 1)
@@ -72,9 +115,24 @@ def quantiles(df: DataFrame, group: list[str], value: str, tie: str, probabiliti
     return d.select(*group, "n", F.array(*values).alias("q"))
 
 
+def quantiles(df: DataFrame, group: list[str], value: str, tie: str, probabilities: list[float]) -> DataFrame:
+    """(group, n, q): exact quantiles with linear interpolation, an array per group. Nulls are left out."""
+    r = ranked(df.filter(F.col(value).isNotNull()).select(*group, value, tie), group, value, tie)
+    return quantiles_of(r, group, value, probabilities)
+
+
+def average_places(r: DataFrame, group: list[str], value: str, rank: str, out: str) -> DataFrame:
+    """Add the average place of the equal values of a placed table.
+
+    Sums per bucket are added up and joined back per bucket, so a value that most rows share is no single join key.
+    """
+    per = r.groupBy(*group, value, "_bucket").agg(F.sum(rank).alias("_sum"), F.count("*").alias("_c"))
+    whole = per.groupBy(*group, value).agg((F.sum("_sum") / F.sum("_c")).alias(out))
+    mean = per.select(*group, value, "_bucket").join(renamed(whole, [*group, value]), same([*group, value])).select(*group, value, "_bucket", out)
+    return r.join(renamed(mean, [*group, value, "_bucket"]), same([*group, value, "_bucket"])).select(*r.columns, out)
+
+
 def percent_rank_average(df: DataFrame, group: list[str], value: str, tie: str, out: str = "percent_rank") -> DataFrame:
     """Add the average rank of equal values by the group's size."""
-    r = ranked(df, group, value, tie, "_rank", "_n")
-    mean = r.groupBy(*group, value).agg(F.avg("_rank").alias("_avg"))
-    joined = r.join(renamed(mean, [*group, value]), same([*group, value]))
-    return joined.select(*df.columns, ((F.col("_avg") + 1) / F.col("_n")).alias(out))
+    r = average_places(placed(df, group, value, tie, "_rank", "_n"), group, value, "_rank", "_avg")
+    return r.select(*df.columns, ((F.col("_avg") + 1) / F.col("_n")).alias(out))

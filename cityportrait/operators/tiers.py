@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cityportrait.functions import expr
 from cityportrait.operators import ranks
+from cityportrait.operators.lineage import settled
 
 
 def income_tier(persons: DataFrame, group: str, income: str, key: str, n_tiers: int, out: str = "desired_tier") -> DataFrame:
@@ -26,9 +27,10 @@ def quantile_tier(df: DataFrame, group: str | None, value: str, key: str, q: int
     if not group:
         d = d.withColumn("_all", F.lit("all"))
     known = d.filter(F.col(name).isNotNull())
-    edges = ranks.quantiles(known, [name], "_v", key, [i / q for i in range(q + 1)])
+    r = settled(ranks.placed(known, [name], "_v", key, "_rank", "_n"))
+    edges = ranks.quantiles_of(r, [name], "_v", [i / q for i in range(q + 1)], "_rank", "_n")
     edges = edges.select(F.col(name).alias("_g"), F.array_distinct(F.transform("q", lambda x: F.round(x, 9))).alias("_edges"))
-    r = ranks.percent_rank_average(known, [name], "_v", key, "_pr")
+    r = ranks.average_places(r, [name], "_v", "_rank", "_avg").withColumn("_pr", (F.col("_avg") + 1) / F.col("_n"))
     r = r.join(edges, F.col(name) == F.col("_g"))
     k = F.size("_edges") - 1
     b = 1 + F.size(F.filter(F.slice("_edges", 2, F.greatest(k, F.lit(1))), lambda e: e < F.round(F.col("_v"), 9)))

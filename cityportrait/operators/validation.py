@@ -29,13 +29,14 @@ def long_form(df: DataFrame, group: str, variables: dict[str, Column], weight: C
     return d.select(F.col(group).cast("string").alias("group"), w.cast("double").alias("w"), F.explode(F.array(*pairs)).alias("_p")).select("group", "_p.variable", "_p.category", "w")
 
 
-def standard_variables(df: DataFrame, employment: bool = False) -> dict[str, Column]:
-    """The variables that the columns of a person table allow."""
+def standard_variables(df: DataFrame, employment: bool = False, bin_edges: dict[str, Sequence[float]] | None = None) -> dict[str, Column]:
+    """The variables that the columns of a person table allow; `bin_edges` replaces the edges of AGEP or PINCP."""
+    edges = {"AGEP": expr.AGE_EDGES, "PINCP": expr.INCOME_EDGES} | dict(bin_edges or {})
     out: dict[str, Column] = {}
     if "AGEP" in df.columns:
-        out["AGEP_bin"] = expr.binned(expr.clipped("AGEP", 0.0, 99.0), expr.AGE_EDGES)
+        out["AGEP_bin"] = expr.binned(expr.clipped("AGEP", 0.0, 99.0), edges["AGEP"])
     if "PINCP" in df.columns:
-        out["PINCP_bin"] = expr.binned(expr.clipped("PINCP", 0.0), expr.INCOME_EDGES)
+        out["PINCP_bin"] = expr.binned(expr.clipped("PINCP", 0.0), edges["PINCP"])
     for c in ("SEX", "ESR"):
         if c in df.columns:
             out[c] = F.col(c)
@@ -72,17 +73,17 @@ def distance_summary(tvd: DataFrame) -> DataFrame:
     )
 
 
-def marginal_distances(synthetic: DataFrame, reference: DataFrame, group: str = "puma") -> DataFrame:
+def marginal_distances(synthetic: DataFrame, reference: DataFrame, group: str = "puma", bin_edges: dict[str, Sequence[float]] | None = None) -> DataFrame:
     """Distances between two person tables for every variable both have."""
-    a, b = standard_variables(synthetic), standard_variables(reference)
+    a, b = (standard_variables(t, bin_edges=bin_edges) for t in (synthetic, reference))
     names = [v for v in a if v in b]
     return distances(aligned(shares(long_form(synthetic, group, {v: a[v] for v in names})), shares(long_form(reference, group, {v: b[v] for v in names}))))
 
 
-def target_distances(synthetic: DataFrame, targets: DataFrame, group: str = "puma", variables: Sequence[str] | None = None) -> DataFrame:
+def target_distances(synthetic: DataFrame, targets: DataFrame, group: str = "puma", variables: Sequence[str] | None = None, bin_edges: dict[str, Sequence[float]] | None = None) -> DataFrame:
     """Distances from target marginals (group, variable, category, target); ESR_16p counts persons of 16 and over only."""
     require_columns(targets, [group, "variable", "category", "target"], "targets")
-    have = standard_variables(synthetic, employment=True)
+    have = standard_variables(synthetic, employment=True, bin_edges=bin_edges)
     names = [v for v in (variables or have) if v in have]
     long = long_form(synthetic, group, {v: have[v] for v in names})
     long = long.filter((F.col("variable") != "ESR_16p") | (F.col("category") != expr.NO_BIN))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cityportrait.functions import expr
 from cityportrait.operators import allocation, buildings, calibration, microdata, portrait, tiers
+from cityportrait.operators.lineage import settled
 from cityportrait.plans.common import PARTS, PERSONS, SUPPLIERS, parts, persons, slices_sql, suppliers, tier_sql, uniform
 
 Q, S = {}, {}
@@ -21,7 +22,7 @@ def query(sql: str):
 
 
 def _tiered(spark: SparkSession, d: str) -> DataFrame:
-    return tiers.quantile_tier(suppliers(spark, d), "puma", "price", "bldg_id", 5)
+    return settled(tiers.quantile_tier(suppliers(spark, d), "puma", "price", "bldg_id", 5))
 
 
 _DRAW = "SELECT p.person_id, p.puma, s.item AS bldg_id FROM persons p LEFT JOIN sl s ON p.puma = s.g AND {u} >= s.lo AND {u} < s.hi"
@@ -126,7 +127,9 @@ def win6_weight_slices(spark, d):
 @query(f"""WITH {PERSONS}, r AS (SELECT person_id, puma, row_number() OVER (PARTITION BY puma ORDER BY {uniform(9, 'person_id')}, person_id) - 1 AS i, count(*) OVER (PARTITION BY puma) AS n FROM persons)
   SELECT person_id, puma, CASE WHEN i < CASE WHEN n < 2 THEN n ELSE greatest(1, least(floor(n * 0.8::DOUBLE), n - 1)) END THEN 'train' ELSE 'holdout' END AS part FROM r""")
 def alc9_split(spark, d):
-    return allocation.split(persons(spark, d), "puma", "person_id", 0.8, seed=9).select("person_id", "puma", "part")
+    sides = zip(("train", "holdout"), allocation.train_and_holdout(persons(spark, d), "puma", "person_id", 0.8, seed=9), strict=True)
+    train, holdout = [p.select("person_id", "puma", F.lit(name).alias("part")) for name, p in sides]
+    return train.unionByName(holdout)
 
 
 @query(f"""WITH {PERSONS}, t AS (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1), c AS (SELECT "SEX", count(*) AS n FROM persons GROUP BY 1),
@@ -145,10 +148,11 @@ def alc6_resample(spark, d):
 
 
 @query(f"""WITH {PERSONS}, pr AS (SELECT puma, count(*)::DOUBLE AS weight FROM persons GROUP BY 1), {slices_sql('sl', 'pr', '', 'puma', 'weight')},
-  k AS (SELECT range AS sample_id FROM range(500)) SELECT sample_id, item AS puma FROM k JOIN sl ON {uniform(7, 'sample_id')} >= lo AND {uniform(7, 'sample_id')} < hi""")
+  k AS (SELECT range AS sample_id FROM range((SELECT count(*) FROM persons))) SELECT sample_id, item AS puma FROM k JOIN sl ON {uniform(7, 'sample_id')} >= lo AND {uniform(7, 'sample_id')} < hi""")
 def alc7_group_draw(spark, d):
-    prior = persons(spark, d).groupBy("puma").agg(F.count("*").cast("double").alias("weight"))
-    return allocation.draw_groups(spark, 500, prior, "puma", "weight", seed=7)
+    p = persons(spark, d)
+    prior = p.groupBy("puma").agg(F.count("*").cast("double").alias("weight"))
+    return allocation.draw_groups(spark, p.count(), prior, "puma", "weight", seed=7)
 
 
 @query(f"""WITH {PERSONS}, pr AS (SELECT puma, count(*)::DOUBLE AS weight FROM persons GROUP BY 1), {slices_sql('gs', 'pr', '', 'puma', 'weight')}, {slices_sql('ss', 'persons', 'puma', 'person_id', '1')},

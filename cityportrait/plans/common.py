@@ -53,14 +53,14 @@ VISITS = "vis AS (SELECT user_id AS caid, ts, event_type AS area, value AS dwell
 
 def uniform(seed: int, *keys: str) -> str:
     text = ", ".join(f"({k})::VARCHAR" for k in keys)
-    return f"(('0x' || substr(md5(concat_ws('|', '{seed}', {text})), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+    return f"(('0x' || substr(md5(concat_ws('|', '{seed}', {text})), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
 
 
 def slices_sql(name: str, source: str, group: str, item: str, weight: str) -> str:
     """CTEs that end in `name`(group, item, lo, hi)."""
     g = group or "1"
     return f"""
-      {name}_a AS (SELECT {g} AS g, {item} AS item, greatest(coalesce(({weight})::DOUBLE, 0), 0) AS w, substr(md5(({item})::VARCHAR), 1, 2) AS b FROM {source}),
+      {name}_a AS (SELECT {g} AS g, {item} AS item, greatest(coalesce(({weight})::DOUBLE, 0), 0) AS w, substr(md5(({item})::VARCHAR), 1, 4) AS b FROM {source}),
       {name}_b AS (SELECT g, item, b, CASE WHEN sum(w) OVER (PARTITION BY g) > 0 THEN w ELSE 1.0 END AS w FROM {name}_a),
       {name}_c AS (SELECT g, item, w, sum(w) OVER (PARTITION BY g ORDER BY b, item ROWS UNBOUNDED PRECEDING) AS run, sum(w) OVER (PARTITION BY g) AS total,
                           row_number() OVER (PARTITION BY g ORDER BY b DESC, item DESC) AS back FROM {name}_b WHERE w > 0),

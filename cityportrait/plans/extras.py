@@ -23,10 +23,10 @@ def query(sql: str | None):
     return add
 
 
-@query("""WITH n AS (SELECT o_orderpriority AS g, o_orderstatus AS c, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0 GROUP BY ALL), p AS (SELECT g, c, n / sum(n) OVER (PARTITION BY g) AS p FROM n)
+@query("""WITH n AS (SELECT o_orderpriority AS g, o_orderstatus AS c, count(*) AS n FROM orders GROUP BY ALL), p AS (SELECT g, c, n / sum(n) OVER (PARTITION BY g) AS p FROM n)
   SELECT g AS "group", round(coalesce(max(p) FILTER (c = 'F'), 0), 9) AS f, round(coalesce(max(p) FILTER (c = 'O'), 0), 9) AS o, round(coalesce(max(p) FILTER (c = 'P'), 0), 9) AS p FROM p GROUP BY g""")
 def ext3_region_vectors(spark, d):
-    a = micro(spark, d, 0)
+    a = micro(spark, d)
     v = conditions.region_vectors(validation.shares(validation.long_form(a, "puma", {"SEX": F.col("SEX")})), ["SEX=F", "SEX=O", "SEX=P"])
     return v.select("group", *[F.round(F.col("vector")[i], 9).alias(c) for i, c in enumerate("fop")])
 
@@ -53,11 +53,11 @@ def ext11_portrait_checks(spark, d):
     return c.select(F.round("capacity_r", 6).alias("capacity_r"), F.round("mass_tvd", 9).alias("mass_tvd"))
 
 
-@query("""WITH h AS (SELECT o_orderkey, o_orderkey % 9 AS size FROM orders WHERE o_orderkey % 4 <> 0), n AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)
-  SELECT count(size) AS households, count_if(size IS NOT NULL AND coalesce(n, 0) <> size) AS wrong_size, coalesce(sum(n) FILTER (size IS NULL), 0)::BIGINT AS persons_without FROM h FULL JOIN n ON o_orderkey = l_orderkey""")
+@query("""WITH h AS (SELECT o_orderkey, o_orderkey % 9 AS size FROM orders), n AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1)
+  SELECT count(size) AS households, count_if(size IS NOT NULL AND coalesce(n, 0) <> size) AS wrong_size, coalesce(sum(n) FILTER (size IS NULL), 0)::BIGINT AS persons_without FROM h FULL JOIN n ON o_orderkey = l_partkey""")
 def ext13_household_consistency(spark, d):
-    h = table(spark, d, "orders").filter("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("hh"), (F.col("o_orderkey") % 9).alias("size"))
-    return conditions.household_consistency(h, table(spark, d, "lineitem").select(F.col("l_orderkey").alias("hh")), "hh", "size")
+    h = table(spark, d, "orders").select(F.col("o_orderkey").alias("hh"), (F.col("o_orderkey") % 9).alias("size"))
+    return conditions.household_consistency(h, table(spark, d, "lineitem").select(F.col("l_partkey").alias("hh")), "hh", "size")
 
 
 @query(_PIP + " SELECT bldg_id AS from_id, max(area_id) AS to_id FROM hit GROUP BY 1")
@@ -75,13 +75,13 @@ def joi9_buildings_of_group(spark, d):
     return p.join(s, "puma", "left").select("person_id", "first_bldg", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query(f"""WITH {PARTS}, {tier_sql('tp', 'prt', 'puma', 'value', 'bldg_id', 5)}, av AS (SELECT puma, list_sort(list_distinct(list(price_tier))) AS ts FROM tp WHERE bldg_id % 3 = 0 GROUP BY puma),
-  w AS (SELECT bldg_id, puma, (bldg_id % 5 + 1)::INTEGER AS desired FROM prt)
-  SELECT bldg_id, (list_sort(list_transform(ts, lambda t: abs(t - desired) * 1000 + t))[1] % 1000)::INTEGER AS tier FROM w JOIN av USING (puma)""")
+@query(f"""WITH {PARTS}, {tier_sql('tp', 'prt', None, 'value', 'bldg_id', 9)}, av AS (SELECT parcel_id, list_sort(list_distinct(list(price_tier))) AS ts FROM tp GROUP BY parcel_id),
+  w AS (SELECT bldg_id, parcel_id, (bldg_id % 9 + 1)::INTEGER AS desired FROM prt)
+  SELECT bldg_id, (list_sort(list_transform(ts, lambda t: abs(t - desired) * 1000 + t))[1] % 1000)::INTEGER AS tier FROM w JOIN av USING (parcel_id)""")
 def joi11_nearest_tier(spark, d):
-    t = tiers.quantile_tier(parts(spark, d), "puma", "value", "bldg_id", 5).filter("bldg_id % 3 = 0")
-    offered = t.groupBy("puma").agg(F.collect_set("price_tier").alias("tiers"))
-    w = parts(spark, d).select("bldg_id", "puma", (F.col("bldg_id") % 5 + 1).cast("int").alias("desired")).join(offered, "puma")
+    t = tiers.quantile_tier(parts(spark, d), None, "value", "bldg_id", 9)
+    offered = t.groupBy("parcel_id").agg(F.collect_set("price_tier").alias("tiers"))
+    w = parts(spark, d).select("bldg_id", "parcel_id", (F.col("bldg_id") % 9 + 1).cast("int").alias("desired")).join(offered, "parcel_id")
     return w.select("bldg_id", expr.nearest_tier(F.col("tiers"), F.col("desired")).alias("tier"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cityportrait.functions import expr, geo
-from cityportrait.operators import buildings, microdata, mobility, spatial
+from cityportrait.operators import buildings, microdata, mobility, portrait, spatial
 from cityportrait.plans.common import PARTS, PERSONS, VISITS, parts, persons, suppliers, table, visits
 from cityportrait.sources import sinks
 
@@ -64,14 +64,19 @@ def joi5_inside_city(spark, d):
     return spatial.inside_area(parts(spark, d), city, "bldg_id", cell=0.5).select("bldg_id", "value")
 
 
-@query(f"""WITH {_edges_sql()}, r AS (SELECT area_id, hole, sum(x1 * y2 - x2 * y1) / 2 AS a, sum((x1 + x2) * (x1 * y2 - x2 * y1)) / 6 AS mx, sum((y1 + y2) * (x1 * y2 - x2 * y1)) / 6 AS my FROM edges GROUP BY ALL),
-  s AS (SELECT area_id, sum(CASE WHEN hole THEN -1 ELSE 1 END * abs(a)) AS area, sum(CASE WHEN hole THEN -1 ELSE 1 END * sign(a) * mx) AS mx, sum(CASE WHEN hole THEN -1 ELSE 1 END * sign(a) * my) AS my FROM r GROUP BY 1),
-  n AS (SELECT count(*) AS n FROM part)
-  SELECT area_id, round(area, 6) AS area, round(mx / area, 6) AS x, round(my / area, 6) AS y, n AS points FROM s, n""")
+def blocks(p: DataFrame) -> DataFrame:
+    """The parts as rectangles around their places, areas of several parts by brand; flat ones are holes."""
+    w, h = F.col("footprint_area_m2") / 20, (F.col("height_m") + 1) / 2
+    corner = lambda i, j: F.struct((F.col("x") + w * i).alias("x"), (F.col("y") + h * j).alias("y"))
+    ring = F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1))
+    return p.select(F.col("puma").alias("area_id"), F.col("puma").alias("name"), F.col("bldg_id").cast("int").alias("part"), (F.col("height_m") == 0).alias("is_hole"), ring.alias("ring"))
+
+
+@query(f"""WITH {PARTS}, s AS (SELECT puma AS area_id, x, y, CASE WHEN height_m = 0 THEN -1 ELSE 1 END * footprint_area_m2 / 10 * (height_m + 1) AS a FROM prt)
+  SELECT area_id, round(sum(a), 6) AS area, round(sum(a * x) / sum(a), 6) AS x, round(sum(a * y) / sum(a), 6) AS y FROM s GROUP BY 1""")
 def prj18_area_centroid(spark, d):
-    n = parts(spark, d).agg(F.count("*").alias("points"))
-    c = spatial.area_centroids(areas(spark)).join(F.broadcast(n))
-    return c.select("area_id", F.round("area", 6).alias("area"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "points")
+    c = spatial.area_centroids(blocks(parts(spark, d)))
+    return c.select("area_id", F.round("area", 6).alias("area"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 _K = "6378137.0::DOUBLE * pi() / 180"
@@ -231,7 +236,51 @@ def snk5_geojson_features(spark, d):
     return sinks.feature(s, "lon", "lat", ["bldg_id", "puma"])
 
 
-@query(f"WITH {PERSONS} SELECT person_id, puma, s_suppkey AS bldg_id, s_name FROM persons LEFT JOIN supplier ON s_nationkey = puma AND s_suppkey <= 25")
+@query(f"WITH {PERSONS} SELECT person_id, puma, s_suppkey AS bldg_id, s_name FROM persons LEFT JOIN supplier ON s_suppkey = person_id")
 def joi6_left_attributes(spark, d):
-    s = table(spark, d, "supplier").filter("s_suppkey <= 25").select(F.col("s_nationkey").alias("puma"), F.col("s_suppkey").alias("bldg_id"), "s_name")
-    return persons(spark, d).select("person_id", "puma").join(s, "puma", "left")
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("person_id"), F.col("s_suppkey").alias("bldg_id"), "s_name")
+    return portrait.with_attributes(persons(spark, d).select("person_id", "puma"), s, "person_id")
+
+
+@query(_PIP + f""", tr AS (SELECT s_suppkey AS id, (s_suppkey * 37 % 97) / 10.0::DOUBLE AS cx, (s_suppkey * 53 % 89) / 10.0::DOUBLE AS cy FROM supplier),
+  t AS (SELECT bldg_id, max(lpad(id::VARCHAR, 6, '0')) AS tract_geoid FROM prt JOIN tr ON x >= cx - 0.5 AND x < cx + 0.5 AND y >= cy - 0.5 AND y < cy + 0.5 GROUP BY 1),
+  h AS (SELECT bldg_id, max(ascii(area_id) - 64) AS puma FROM hit GROUP BY 1)
+  SELECT prt.bldg_id, h.puma::VARCHAR AS puma, tract_geoid, footprint_area_m2, height_m, footprint_area_m2 * greatest(height_m / 3, 1) AS cap_proxy FROM prt JOIN h ON prt.bldg_id = h.bldg_id JOIN t ON prt.bldg_id = t.bldg_id""")
+def building_feature_table(spark, d):
+    p = parts(spark, d).select("bldg_id", "footprint_area_m2", "height_m", F.col("x").alias("centroid_lon"), F.col("y").alias("centroid_lat"))
+    pumas = areas(spark).withColumn("area_id", (F.ascii("area_id") - 64).cast("string"))
+    f = buildings.feature_table(p, pumas, _tracts(spark, d).withColumn("area_id", F.lpad(F.col("area_id").cast("string"), 6, "0")), areas(spark), cell=0.5)
+    return f.select("bldg_id", "puma", "tract_geoid", "footprint_area_m2", "height_m", "cap_proxy")
+
+
+def _tracts(spark, d):
+    """Overlapping unit squares, one a supplier."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("area_id"), (F.col("s_suppkey") * 37 % 97 / 10.0).alias("cx"), (F.col("s_suppkey") * 53 % 89 / 10.0).alias("cy"))
+    corner = lambda i, j: F.struct((F.col("cx") + i).alias("x"), (F.col("cy") + j).alias("y"))
+    return s.select("area_id", F.lit(False).alias("is_hole"), F.array(corner(-0.5, -0.5), corner(0.5, -0.5), corner(0.5, 0.5), corner(-0.5, 0.5)).alias("ring"))
+
+
+@query(f"""WITH {PARTS}, tr AS (SELECT s_suppkey AS parcel, s_acctbal, (s_suppkey * 37 % 97) / 10.0::DOUBLE AS cx, (s_suppkey * 53 % 89) / 10.0::DOUBLE AS cy FROM supplier)
+  SELECT bldg_id, parcel, greatest(coalesce(s_acctbal, 0), 0)::DOUBLE AS parcel_assessed_value FROM prt LEFT JOIN tr ON x >= cx - 0.5 AND x < cx + 0.5 AND y >= cy - 0.5 AND y < cy + 0.5""")
+def joi4_parcels_without_dedup(spark, d):
+    """Overlapping parcels multiply a building's rows; buildings without a parcel stay."""
+    hit = spatial.points_in_areas(parts(spark, d), _tracts(spark, d), "bldg_id", cell=0.5, how="left").withColumnRenamed("area_id", "parcel")
+    values = table(spark, d, "supplier").select(F.col("s_suppkey").alias("parcel"), expr.non_negative("s_acctbal").alias("parcel_assessed_value"))
+    return portrait.with_attributes(hit, values, "parcel").fillna(0.0, ["parcel_assessed_value"])
+
+
+@query(f"""WITH {VISITS}, hm AS (SELECT caid, arg_min(area, event_id) AS home FROM vis GROUP BY 1), wk AS (SELECT caid, arg_max(area, event_id) AS work FROM vis GROUP BY 1)
+  SELECT caid, home, work, home = work AS works_from_home FROM hm JOIN wk USING (caid)""")
+def ext6_work_from_home(spark, d):
+    v = visits(spark, d)
+    home = v.groupBy("caid").agg(F.min_by("area", "event_id").alias("GEOHASH_5"))
+    work = v.groupBy("caid").agg(F.max_by("area", "event_id").alias("GEO_HASH5"))
+    return mobility.home_and_work(home, work, "caid")
+
+
+@query(f"""WITH {PERSONS}, c AS (SELECT round(exp(1) / (exp(1) + (SELECT count(DISTINCT "SEX") FROM persons) - 1), 6) AS c FROM persons) SELECT count(*) AS n, round(avg(c), 6) AS mean, round(quantile_cont(c, 0.1), 6) AS p10, round(quantile_cont(c, 0.5), 6) AS p50, round(quantile_cont(c, 0.9), 6) AS p90 FROM c""")
+def dec4_confidence_summary(spark, d):
+    p, e = _encoder(spark, d)
+    r = microdata.decoded(microdata.encoded(p, e, ["AGEP", "PINCP_log"], ["SEX"], "puma", "person_id"), e, ["AGEP", "PINCP_log"], ["SEX"], "person_id")
+    s = portrait.distribution(r, "SEX_confidence", "person_id")
+    return s.select("n", *[F.round(c, 6).alias(c) for c in ("mean", "p10", "p50", "p90")])

@@ -21,25 +21,34 @@ def query(sql: str | None):
     return add
 
 
-def micro(spark: SparkSession, d: str, odd: int) -> DataFrame:
-    """Even or odd orders as person microdata."""
-    o = table(spark, d, "orders").filter(F.col("o_orderkey") % 2 == odd)
+def micro(spark: SparkSession, d: str, odd: int | None = None) -> DataFrame:
+    """Orders as person microdata: all of them, or for comparisons of two sides the even or the odd ones."""
+    o = table(spark, d, "orders")
+    o = o if odd is None else o.filter(F.col("o_orderkey") % 2 == odd)
     return o.select(
         F.col("o_orderkey").alias("person_id"), F.col("o_orderpriority").alias("puma"), F.col("o_totalprice").alias("PINCP"), (F.col("o_orderkey") * 37 % 100).alias("AGEP"),
         F.col("o_orderstatus").alias("SEX"), (F.col("o_orderkey") % 6 + 1).cast("string").alias("ESR"),
     )
 
 
-def _micro_sql(name: str, odd: int) -> str:
-    return f"""{name} AS (SELECT o_orderkey AS person_id, o_orderpriority AS puma, o_totalprice AS "PINCP", (o_orderkey * 37) % 100 AS "AGEP", o_orderstatus AS "SEX", (o_orderkey % 6 + 1)::VARCHAR AS "ESR" FROM orders WHERE o_orderkey % 2 = {odd})"""
+def _micro_sql(name: str, odd: int | None = None) -> str:
+    side = "" if odd is None else f"WHERE o_orderkey % 2 = {odd}"
+    return f"""{name} AS (SELECT o_orderkey AS person_id, o_orderpriority AS puma, o_totalprice AS "PINCP", (o_orderkey * 37) % 100 AS "AGEP", o_orderstatus AS "SEX", (o_orderkey % 6 + 1)::VARCHAR AS "ESR" FROM orders {side})"""
 
 
-def _bin_sql(value: str, edges: list[float]) -> str:
-    labels = expr.bin_labels(edges)
-    return "CASE " + " ".join(f"WHEN {value} >= {a} AND {value} < {b} THEN '{label}'" for a, b, label in zip(edges, edges[1:], labels, strict=False)) + " ELSE 'nan' END"
+def _bin_sql(value: str, *bins: tuple[str, str, str]) -> str:
+    return "CASE " + " ".join(f"WHEN {value} >= {a} AND {value} < {b} THEN '{label}'" for a, b, label in bins) + " ELSE 'nan' END"
 
 
-_AGE, _INCOME = _bin_sql('least(greatest("AGEP", 0), 99)', expr.AGE_EDGES), _bin_sql('greatest("PINCP", 0)', expr.INCOME_EDGES)
+# written out, not taken from the engine, so that the SQL shows a wrong edge or label
+_AGE = _bin_sql(
+    'least(greatest("AGEP", 0), 99)', ("0", "5", "[0.0, 5.0)"), ("5", "18", "[5.0, 18.0)"), ("18", "25", "[18.0, 25.0)"), ("25", "35", "[25.0, 35.0)"), ("35", "45", "[35.0, 45.0)"),
+    ("45", "55", "[45.0, 55.0)"), ("55", "65", "[55.0, 65.0)"), ("65", "75", "[65.0, 75.0)"), ("75", "85", "[75.0, 85.0)"), ("85", "1000", "[85.0, 1000.0)"),
+)
+_INCOME = _bin_sql(
+    'greatest("PINCP", 0)', ("0", "10000", "[0.0, 10000.0)"), ("10000", "25000", "[10000.0, 25000.0)"), ("25000", "50000", "[25000.0, 50000.0)"), ("50000", "75000", "[50000.0, 75000.0)"),
+    ("75000", "100000", "[75000.0, 100000.0)"), ("100000", "150000", "[100000.0, 150000.0)"), ("150000", "250000", "[150000.0, 250000.0)"), ("250000", "10000000", "[250000.0, 10000000.0)"),
+)
 _E16 = """CASE WHEN "AGEP" >= 16 THEN CASE WHEN "ESR" IN ('1', '2') THEN 'employed' WHEN "ESR" = '3' THEN 'unemployed' WHEN "ESR" IN ('4', '5') THEN 'armed_forces' ELSE 'not_in_labor_force' END END"""
 
 
@@ -66,9 +75,9 @@ def agg1_frequencies(spark, d):
     return v.frequencies(table(spark, d, "orders"), "o_orderstatus").withColumn("share", F.round("share", 9))
 
 
-@query(f"WITH {_micro_sql('a', 0)}, {_long_sql('la', 'a')} SELECT \"group\", variable, category, round(p, 9) AS p FROM la")
+@query(f"WITH {_micro_sql('a')}, {_long_sql('la', 'a')} SELECT \"group\", variable, category, round(p, 9) AS p FROM la")
 def agg2_group_shares(spark, d):
-    a = micro(spark, d, 0)
+    a = micro(spark, d)
     return v.shares(v.long_form(a, "puma", v.standard_variables(a))).select("group", "variable", "category", F.round("p", 9).alias("p"))
 
 
@@ -121,15 +130,15 @@ def agg8_cramers_v(spark, d):
 _RULES = {"child_labour": "AGEP < 16 AND ESR IN ('1', '2', '3')", "negative_income": "PINCP < 0", "rich_child": "AGEP < 15 AND PINCP > 400000"}
 
 
-@query(f"""WITH {_micro_sql('a', 0)}, x AS (SELECT count(*) AS n, count_if("AGEP" < 16 AND "ESR" IN ('1', '2', '3')) AS a, count_if("PINCP" < 0) AS b, count_if("AGEP" < 15 AND "PINCP" > 400000) AS c FROM a)
+@query(f"""WITH {_micro_sql('a')}, x AS (SELECT count(*) AS n, count_if("AGEP" < 16 AND "ESR" IN ('1', '2', '3')) AS a, count_if("PINCP" < 0) AS b, count_if("AGEP" < 15 AND "PINCP" > 400000) AS c FROM a)
   SELECT 'child_labour' AS rule_id, a AS violations, round(a / n::DOUBLE, 9) AS rate FROM x UNION ALL SELECT 'negative_income', b, round(b / n::DOUBLE, 9) FROM x UNION ALL SELECT 'rich_child', c, round(c / n::DOUBLE, 9) FROM x""")
 def agg9_rule_violations(spark, d):
-    return v.violations(micro(spark, d, 0), _RULES).withColumn("rate", F.round("rate", 9))
+    return v.violations(micro(spark, d), _RULES).withColumn("rate", F.round("rate", 9))
 
 
-@query(f"WITH {_micro_sql('a', 0)} SELECT count(*) AS rows, count(DISTINCT puma) AS groups FROM a")
+@query(f"WITH {_micro_sql('a')} SELECT count(*) AS rows, count(DISTINCT puma) AS groups FROM a")
 def agg10_run_counts(spark, d):
-    return v.run_counts(micro(spark, d, 0), "puma")
+    return v.run_counts(micro(spark, d), "puma")
 
 
 _BAD = """("AGEP" < 16 AND "ESR" IN ('1', '2', '3'))"""
@@ -178,17 +187,17 @@ def ext18_cycle_cosine(spark, d):
     return v.cosine(side(0), side(1), "h", "n").withColumn("cosine", F.round("cosine", 6))
 
 
-@query(f"""WITH {_micro_sql('a', 0)}, w AS (SELECT *, (person_id % 5 + 1)::DOUBLE AS w FROM a) SELECT count(*) AS n,
+@query(f"""WITH {_micro_sql('a')}, w AS (SELECT *, (person_id % 5 + 1)::DOUBLE AS w FROM a) SELECT count(*) AS n,
   round((sum(w) * sum(w * "PINCP" * "AGEP") - sum(w * "PINCP") * sum(w * "AGEP")) / sqrt((sum(w) * sum(w * "PINCP" * "PINCP") - sum(w * "PINCP") ** 2) * (sum(w) * sum(w * "AGEP" * "AGEP") - sum(w * "AGEP") ** 2)), 5) AS r FROM w""")
 def ext22_weighted_pearson(spark, d):
-    a = micro(spark, d, 0).withColumn("w", (F.col("person_id") % 5 + 1).cast("double"))
+    a = micro(spark, d).withColumn("w", (F.col("person_id") % 5 + 1).cast("double"))
     return v.pearson(a, "PINCP", "AGEP", weight="w").withColumn("r", F.round("r", 5))
 
 
-@query(f"""WITH {_micro_sql('a', 0)}, w AS (SELECT puma, "SEX" AS category, sum((person_id % 5 + 1)::DOUBLE) AS n FROM a GROUP BY ALL)
+@query(f"""WITH {_micro_sql('a')}, w AS (SELECT puma, "SEX" AS category, sum((person_id % 5 + 1)::DOUBLE) AS n FROM a GROUP BY ALL)
   SELECT puma AS "group", category, round(n / sum(n) OVER (PARTITION BY puma), 9) AS p FROM w""")
 def ext22_weighted_shares(spark, d):
-    a = micro(spark, d, 0)
+    a = micro(spark, d)
     return v.shares(v.long_form(a, "puma", {"SEX": F.col("SEX")}, F.col("person_id") % 5 + 1)).select("group", "category", F.round("p", 9).alias("p"))
 
 
@@ -201,20 +210,44 @@ def _wide(spark, d, table_id: str, first: int, cells: int):
 
 
 def _recode_sql(table_id: str, first: int, cells: int) -> str:
-    codes = ", ".join(f"({int(c[-4:-1]) - first}, '{var}', '{cat}')" for c, var, cat in marginals.recodes()[table_id])
-    return f"""WITH n AS (SELECT c_nationkey AS tract, o_orderkey % {cells} AS i, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL), g AS (SELECT DISTINCT tract FROM n),
-      codes(i, variable, category) AS (VALUES {codes})
+    return f"""WITH n AS (SELECT c_nationkey AS tract, o_orderkey % {cells} + {first} AS i, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL), g AS (SELECT DISTINCT tract FROM n),
+      codes(i, variable, category) AS ({_CODES[table_id]})
       SELECT tract::VARCHAR AS puma, variable, category, sum(coalesce(n, 0))::DOUBLE AS target FROM g CROSS JOIN codes LEFT JOIN n USING (tract, i) GROUP BY ALL"""
 
 
+def _codes(variable: str, *cells: tuple[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT unnest([{i}]), '{variable}', '{category}'" for i, category in cells)
+
+
+# written out like the bins above
+_CODES = {
+    "B01001": _codes("SEX", ("2", "1"), ("26", "2")) + " UNION ALL " + _codes(
+        "AGEP_bin", ("3, 27", "[0.0, 5.0)"), ("4, 5, 6, 28, 29, 30", "[5.0, 18.0)"), ("7, 8, 9, 10, 31, 32, 33, 34", "[18.0, 25.0)"), ("11, 12, 35, 36", "[25.0, 35.0)"), ("13, 14, 37, 38", "[35.0, 45.0)"),
+        ("15, 16, 39, 40", "[45.0, 55.0)"), ("17, 18, 19, 41, 42, 43", "[55.0, 65.0)"), ("20, 21, 22, 44, 45, 46", "[65.0, 75.0)"), ("23, 24, 47, 48", "[75.0, 85.0)"), ("25, 49", "[85.0, 1000.0)")),
+    "B19001": _codes(
+        "HHINCP_bin", ("2", "[0.0, 10000.0)"), ("3", "[10000.0, 15000.0)"), ("4", "[15000.0, 20000.0)"), ("5", "[20000.0, 25000.0)"), ("6", "[25000.0, 30000.0)"), ("7", "[30000.0, 35000.0)"), ("8", "[35000.0, 40000.0)"),
+        ("9", "[40000.0, 45000.0)"), ("10", "[45000.0, 50000.0)"), ("11", "[50000.0, 60000.0)"), ("12", "[60000.0, 75000.0)"), ("13", "[75000.0, 100000.0)"), ("14", "[100000.0, 125000.0)"), ("15", "[125000.0, 150000.0)"),
+        ("16", "[150000.0, 200000.0)"), ("17", "[200000.0, inf)")),
+    "B23025": _codes("ESR_16p", ("4", "employed"), ("5", "unemployed"), ("6", "armed_forces"), ("7", "not_in_labor_force")),
+    "B08303": _codes(
+        "COMMUTE_TIME", ("2", "[0, 5)"), ("3", "[5, 10)"), ("4", "[10, 15)"), ("5", "[15, 20)"), ("6", "[20, 25)"), ("7", "[25, 30)"), ("8", "[30, 35)"), ("9", "[35, 40)"), ("10", "[40, 45)"), ("11", "[45, 60)"),
+        ("12", "[60, 90)"), ("13", "[90, inf)")),
+    "B11016": _codes(
+        "HH_SIZE", ("3", "family_2"), ("4", "family_3"), ("5", "family_4"), ("6", "family_5"), ("7", "family_6"), ("8", "family_7"), ("10", "nonfamily_1"), ("11", "nonfamily_2"), ("12", "nonfamily_3"), ("13", "nonfamily_4"),
+        ("14", "nonfamily_5"), ("15", "nonfamily_6"), ("16", "nonfamily_7")),
+    "B08301": _codes(
+        "COMMUTE_MODE", ("3", "drove_alone"), ("4", "carpooled"), ("10", "public_transit"), ("16", "taxi"), ("17", "motorcycle"), ("18", "bicycle"), ("19", "walked"), ("20", "other"), ("21", "worked_from_home")),
+}
+
+
 def _recode(spark, d, table_id: str, first: int, cells: int):
     wide = _wide(spark, d, table_id, first, cells).withColumnRenamed("tract", "puma")
     return marginals.table_recode(wide, table_id, "puma", marginals.recodes()[table_id])
 
 
-@query(_recode_sql("B01001", 3, 47))
+@query(_recode_sql("B01001", 2, 48))
 def agg12_sex_by_age(spark, d):
-    return _recode(spark, d, "B01001", 3, 47)
+    return _recode(spark, d, "B01001", 2, 48)
 
 
 @query(_recode_sql("B19001", 2, 16))
@@ -232,6 +265,16 @@ def ext21_commute_time(spark, d):
     return _recode(spark, d, "B08303", 2, 12)
 
 
+@query(_recode_sql("B11016", 2, 15))
+def ext21_household_size(spark, d):
+    return _recode(spark, d, "B11016", 2, 15)
+
+
+@query(_recode_sql("B08301", 2, 20))
+def ext21_commute_mode(spark, d):
+    return _recode(spark, d, "B08301", 2, 20)
+
+
 @query("""WITH n AS (SELECT n_regionkey AS puma, o_orderkey % 4 AS i, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)
   SELECT puma, sum(n) FILTER (i = 0)::DOUBLE AS "B23025_004E", sum(n) FILTER (i = 1)::DOUBLE AS "B23025_005E", sum(n) FILTER (i = 2)::DOUBLE AS "B23025_006E", sum(n) FILTER (i = 3)::DOUBLE AS "B23025_007E" FROM n GROUP BY puma""")
 def agg11_tract_rollup(spark, d):
@@ -239,10 +282,15 @@ def agg11_tract_rollup(spark, d):
     return marginals.rolled_up(_wide(spark, d, "B23025", 4, 4), cw, "tract", "puma", "B23025")
 
 
-@query("SELECT count(*) AS n FROM (SELECT DISTINCT c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey) CROSS JOIN range(4 + 16)")
+@query(f"""SELECT *, 'B23025' AS table_id, 'stand-in' AS source, 2023 AS acs_year, 'puma' AS geo_level FROM ({_recode_sql("B23025", 4, 4)})
+  UNION ALL SELECT *, 'B19001', 'stand-in', 2023, 'puma' FROM ({_recode_sql("B19001", 2, 16)})""")
 def set2_marginals_union(spark, d):
+    return census_marginals(spark, d)
+
+
+def census_marginals(spark, d):
     t = {k: _wide(spark, d, k, a, b).withColumnRenamed("tract", "puma") for k, a, b in (("B23025", 4, 4), ("B19001", 2, 16))}
-    return marginals.marginals(t, "puma", "stand-in", 2023, "puma").agg(F.count("*").alias("n"))
+    return marginals.marginals(t, "puma", "stand-in", 2023, "puma")
 
 
 # -- summaries

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cityportrait.functions import expr
+from cityportrait.functions import expr, geo
 from cityportrait.functions.checks import first_present, require_columns
 
 PARCELS = "type string, features array<struct<type: string, properties: map<string,string>, geometry: struct<type: string, coordinates: string>>>"
@@ -22,9 +22,14 @@ def persons(spark: SparkSession, path: str, columns: list[str], n_rows: int | No
     return d.limit(n_rows) if n_rows else d
 
 
-def census(spark: SparkSession, path: str) -> DataFrame:
-    """A wide census table (also gzip), with tract_geoid where state, county and tract are there."""
+def census(spark: SparkSession, path: str, table: str | None = None) -> DataFrame:
+    """A wide census table (also gzip), with tract_geoid where state, county and tract are there.
+
+    With `table` only its estimate cells and the area codes are read.
+    """
     d = _csv(spark, path)
+    if table:
+        d = d.select(*[c for c in d.columns if c in ("state", "county", "tract") or (c.startswith(f"{table}_") and c.endswith("E"))])
     return d.withColumn("tract_geoid", expr.geoid("state", "county", "tract")) if {"state", "county", "tract"} <= set(d.columns) else d
 
 
@@ -35,7 +40,7 @@ def buildings(spark: SparkSession, path: str, needed: list[str]) -> DataFrame:
 
 
 def parcels(spark: SparkSession, folder: str, pattern: str = "parcels_offset*.geojson") -> DataFrame:
-    """(parcel_id, assessed_value, ring) of chunked GeoJSON files, one task a file; empty chunks give no rows."""
+    """(parcel_id, assessed_value, part, ring) of chunked GeoJSON files, one task a file, in degrees; empty chunks give no rows."""
     raw = spark.read.schema(PARCELS).option("multiLine", True).option("pathGlobFilter", pattern).json(folder)
     f = raw.select(F.explode("features").alias("f")).select(F.col("f.properties").alias("p"), F.col("f.geometry").alias("g"))
     low = F.transform_keys("p", lambda k, v: F.lower(k))
@@ -45,7 +50,11 @@ def parcels(spark: SparkSession, folder: str, pattern: str = "parcels_offset*.ge
     multi = F.from_json("g.coordinates", "array<array<array<array<double>>>>")
     rings = F.when(F.col("g.type") == "Polygon", polygon).when(F.col("g.type") == "MultiPolygon", F.flatten(multi))
     d = f.select(pick(PARCEL_IDS).alias("parcel_id"), expr.non_negative(pick(PARCEL_VALUES)).alias("assessed_value"), F.posexplode(rings).alias("part", "_r"))
-    return d.select("parcel_id", "assessed_value", "part", F.transform("_r", lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("ring"))
+    def corner(p):
+        lon, lat = geo.degrees(p[0], p[1])
+        return F.struct(lon.alias("x"), lat.alias("y"))
+
+    return d.select("parcel_id", "assessed_value", "part", F.transform("_r", corner).alias("ring"))
 
 
 def areas(spark: SparkSession, path: str) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def rows(df: DataFrame, path: str, form: str = "parquet", overwrite: bool = False) -> None:
-    """Parquet or CSV; an existing output is left as it is unless overwrite."""
-    w = df.write.mode("overwrite" if overwrite else "ignore")
+def rows(df: DataFrame, path: str, form: str = "parquet", overwrite: bool = False, order: list[str] | None = None, compression: str | None = None) -> None:
+    """Parquet or CSV; an existing output is left as it is unless overwrite. With `order` the files follow these columns."""
+    d = df.orderBy(*order) if order else df
+    w = (d.write.option("compression", compression) if compression else d.write).mode("overwrite" if overwrite else "ignore")
     w.option("header", True).csv(path) if form == "csv" else w.parquet(path)
 
 

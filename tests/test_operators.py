@@ -1,11 +1,11 @@
 """The reference's own fixtures, invariants, plans, and edge cases."""
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from cityportrait.functions import expr
 from cityportrait.functions.checks import first_present, require_columns, split_requested
-from cityportrait.operators import allocation, calibration, marginals, microdata, mobility, portrait, ranks, spatial, tiers, validation
+from cityportrait.operators import allocation, calibration, lineage, marginals, microdata, mobility, portrait, ranks, spatial, tiers, validation
 from cityportrait.plans import places
 from cityportrait.sources import scans, sinks
 from cityportrait.streaming import visits as stream
@@ -168,7 +168,9 @@ def test_checks():
 
 def test_recode_labels():
     r = marginals.recodes()
-    assert r["B01001"][0] == ("B01001_003E", "SEX", "1") and ("B01001_049E", "AGEP_bin", "[75.0, 100.0)") in r["B01001"]
+    assert r["B01001"][0] == ("B01001_002E", "SEX", "1") and ("B01001_026E", "SEX", "2") in r["B01001"] and len(r["B01001"]) == 48
+    for cell, label in (("003", "[0.0, 5.0)"), ("004", "[5.0, 18.0)"), ("030", "[5.0, 18.0)"), ("007", "[18.0, 25.0)"), ("024", "[75.0, 85.0)"), ("049", "[85.0, 1000.0)")):
+        assert (f"B01001_{cell}E", "AGEP_bin", label) in r["B01001"]
     assert r["B19001"][-1] == ("B19001_017E", "HHINCP_bin", "[200000.0, inf)")
 
 
@@ -201,3 +203,73 @@ def test_hourly_stream(spark, tmp_path):
     want = mobility.hourly_visits(batch.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("area"), F.col("value").alias("dwell")), "area")
     full = {(r.hour, r.area): r.n for r in want.collect()}
     assert got and all(full[k] == n for k, n in got.items()) and len(got) >= 0.9 * len(full)
+
+
+def test_bin_edges_can_be_given(spark):
+    d = spark.createDataFrame([("1", 3.0), ("1", 70.0)], "puma string, AGEP double")
+    got = {r.category for r in validation.long_form(d, "puma", validation.standard_variables(d, bin_edges={"AGEP": [0.0, 50.0, 100.0]})).collect()}
+    assert got == {"[0.0, 50.0)", "[50.0, 100.0)"}
+    assert {r.category for r in validation.long_form(d, "puma", validation.standard_variables(d)).collect()} == {"[0.0, 5.0)", "[65.0, 75.0)"}
+
+
+@pytest.mark.parametrize("tie", ["id", "concat('k', lpad(id, 7, '0'))"])
+def test_equal_values_are_dealt_to_many_buckets(spark, tie):
+    """A constant column, and a column without values, fill as many buckets as any other, in the order of the tie key."""
+    for value in (F.lit(5.0), F.lit(None).cast("double"), F.when(F.col("id") % 3 == 0, F.col("id") % 7).otherwise(2).cast("double")):
+        d = spark.range(100_000).select(value.alias("v"), F.expr(tie).alias("k"))
+        b = ranks.with_bucket(d, "v", "k")
+        # a text's first bytes tell fewer keys apart
+        assert b.select("_bucket").distinct().count() >= 16 or dict(d.dtypes)["k"] == "string"
+        w = W.orderBy("v", "k")
+        assert b.withColumn("before", F.lag("_bucket").over(w)).filter("before > _bucket").isEmpty()
+
+
+def test_parts_of_the_unit_interval_meet(spark):
+    d = spark.range(5000).select(F.lit("g").alias("g"), F.col("id").alias("i"), (F.col("id") % 13 / 7.0).alias("w"))
+    parts = sorted((r.lo, r.hi) for r in allocation.weight_slices(d, ["g"], "i", F.col("w")).collect())
+    assert parts[0][0] == 0.0 and parts[-1][1] == 1.0 and all(a[1] == b[0] for a, b in zip(parts, parts[1:]))
+
+
+def test_nearest_building_equals_brute_force(spark):
+    """Clusters, equal buildings, outliers and missing values, in two features and one."""
+    import random
+
+    rng = random.Random(1)
+    place = lambda: rng.choice([(rng.random(), rng.random()), (5 + rng.random() / 1000, 7.0), (rng.gauss(0, 50), rng.gauss(0, 1))])
+    b = [(i, "ab"[i % 2], *place()) for i in range(400)] + [(900 + i, "a", 5.0, 7.0) for i in range(5)]
+    p = [(i, "abc"[i % 3], *place()) for i in range(300)] + [(700, "a", 1e4, 0.0), (701, "a", None, 1.0)]
+    bd, pd_ = spark.createDataFrame(b, "bldg_id long, g string, x double, y double"), spark.createDataFrame(p, "person_id long, g string, u double, v double")
+    sd = bd.agg(F.stddev_pop("x"), F.stddev_pop("y")).first()
+    for features, k in (({"u": "x", "v": "y"}, 2), ({"u": "x"}, 1)):
+        got = {r.person_id: r.bldg_id for r in allocation.nearest_building(pd_, bd, "person_id", "bldg_id", "g", features).collect()}
+        want = {}
+        for i, g, *at in p:
+            near = [(round(sum(((at[j] - x[j]) / sd[j]) ** 2 for j in range(k)), 9), n) for n, h, *x in b if h == g] if None not in at[:k] else []
+            if near:
+                want[i] = min(near)[1]
+        assert got == want
+
+
+def test_train_and_holdout_are_not_empty(spark):
+    d = spark.createDataFrame([("a", 1)], "g string, k long")
+    with pytest.raises(ValueError, match="holdout"):
+        allocation.train_and_holdout(d, "g", "k", 0.5)
+
+
+def test_parcels_in_metres_become_degrees(spark, tmp_path):
+    (tmp_path / "parcels_offset0.geojson").write_text('{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"PIN":"1","SEV":"-3"},"geometry":{"type":"Polygon","coordinates":[[[-11169055.58,2800000.0],[-11169000,2800000],[-11169000,2800100]]]}}]}')
+    r = scans.parcels(spark, str(tmp_path)).first()
+    assert round(r.ring[0].x, 5) == -100.33333 and round(r.ring[0].y, 5) == 24.38179 and r.assessed_value == 0.0
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        lineage.shared_dir(Session())
