@@ -4,6 +4,8 @@ Words are runs of ASCII letters and digits and of other characters, with A-Z low
 where its words stand consecutively. The fuzzy search looks for whole notices with up to EDITS edits: a notice is
 split into EDITS + 1 pieces, one of which stands unchanged in any text that is close enough (pigeonhole); the places
 of the pieces give windows, and there the regex library's bounded-error matching verifies the edits and gives spans.
+The words that tell one license from another (KEYS) are whole words in a match and take one edit at most, short ones
+none. The words behind a Creative Commons notice complete its label.
 
 Cases: null and empty texts have no words; texts are scanned whole; repeated rows each get a row; an empty table
 gives an empty table; other columns are ignored.
@@ -37,13 +39,21 @@ NOTICES = {
     "mozilla public license": "mpl",
     "eclipse public license": "epl",
     "creative commons attribution": "cc-by",
-    "licensed under cc by nc": "cc-by-nc",
-    "licensed under cc by sa": "cc-by-sa",
+    "licensed under cc by": "cc-by",
     "this is free and unencumbered software": "unlicense",
 }
-#: Notices whose label another one's words would reach with few edits get fewer.
+#: Words of the notices that name the license, and the conditions that may follow Creative Commons notices (fixed values).
+KEYS = frozenset("gnu lesser apache mit mozilla eclipse creative commons attribution cc by unencumbered".split())
+CONDITIONS = {
+    ("noncommercial",): "nc", ("non", "commercial"): "nc", ("nc",): "nc",
+    ("noderivatives",): "nd", ("no", "derivatives"): "nd", ("noderivs",): "nd", ("no", "derivs"): "nd", ("nd",): "nd",
+    ("sharealike",): "sa", ("share", "alike"): "sa", ("sa",): "sa",
+}
 EDITS = 3
-FEW_EDITS = {"licensed under cc by nc": 0, "licensed under cc by sa": 0, "released under the mit license": 2, "mozilla public license": 2, "eclipse public license": 2}
+#: Keys of fewer letters take no edit.
+EDITED_KEY = 6
+#: Short notices get fewer edits.
+FEW_EDITS = {"licensed under cc by": 1, "released under the mit license": 2, "mozilla public license": 2, "eclipse public license": 2}
 BASE_SCORE = 0.9
 
 #: Every byte below 0x80 but letters and digits separates words; A-Z is lowered.
@@ -65,13 +75,45 @@ def pieces(notice: str, edits: int) -> list[bytes]:
     return [notice[a:b].encode() for a, b in zip(cut, cut[1:], strict=False)]
 
 
+def bounded(notice: str, k: int) -> regex.Pattern:
+    """The notice with up to k edits in each part between keys; the sum is checked on the match."""
+    edge, end = rb"(?<![a-z0-9\x80-\xff])", rb"(?![a-z0-9\x80-\xff])"
+    out, plain = [], ""
+
+    def part(text: str) -> bytes:
+        return rb"(?:" + regex.escape(text, special_only=True).encode() + rb"){e<=%d}" % k if text else b""
+
+    words = notice.split()
+    for i, w in enumerate(words):
+        gap = " " if i else ""
+        if w in KEYS:
+            key = b"(?:" + w.encode() + (b"){e<=1}" if len(w) >= EDITED_KEY else b")")
+            out += [part(plain + gap), edge + key + end]
+            plain = ""
+        else:
+            plain += gap + w
+    out.append(part(plain))
+    return regex.compile(rb"(?b)" + edge + b"".join(out) + end)
+
+
+def completed(label: str, following: bytes) -> str:
+    """A Creative Commons label with the conditions that the text goes on with."""
+    words, found = [w.decode("utf-8", "replace") for w in following[:80].split()], set()
+    while words:
+        n = next((n for n in (1, 2) if tuple(words[:n]) in CONDITIONS), 0)
+        if not n:
+            break
+        found.add(CONDITIONS[tuple(words[:n])])
+        words = words[n:]
+    return "-".join([label, *sorted(found, key=("nc", "nd", "sa").index)])
+
+
 class Searcher:
     def __init__(self) -> None:
         self.notices = []
         for notice, label in NOTICES.items():
             k = FEW_EDITS.get(notice, EDITS)
-            words = regex.escape(notice, special_only=True).encode()
-            pattern = regex.compile(rb"(?b)(?<![a-z0-9\x80-\xff])(?:" + words + rb"){e<=%d}(?![a-z0-9\x80-\xff])" % k)
+            pattern = bounded(notice, k)
             parts, at = [], 0
             for p in pieces(notice, k):
                 parts.append((p, at))
@@ -106,7 +148,9 @@ class Searcher:
                 # one character more on either side, for the word borders
                 lo, hi = max(0, a - 1), min(len(text), b + 1)
                 for m in pattern.finditer(text[lo:hi]):
-                    found.append((label, lo + m.start(), lo + m.end(), sum(m.fuzzy_counts)))
+                    if (edits := sum(m.fuzzy_counts)) <= k:
+                        told = completed(label, text[lo + m.end() :]) if label == "cc-by" else label
+                        found.append((told, lo + m.start(), lo + m.end(), edits))
         return found
 
     def scan(self, text: str | None) -> tuple:
