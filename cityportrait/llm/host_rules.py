@@ -2,9 +2,10 @@
 
 Every document gets rule counts from its whole text. Rule failures are aggregated per host (the `source`
 column), each host's rate is shrunk with a beta prior whose two parameters are fitted to all hosts by the
-method of moments, and the verdict is joined back. A document that fails a base rule is rejected. On a host
-whose shrunk rate is above `max_rate` a document is rejected as well if it fails a soft rule; a clean document
-stays wherever it stands.
+method of moments, and the verdict is joined back. A host is rejected if its shrunk rate lies above `max_rate`, or
+above the prior's mean by more than `deviations` of its standard deviations. A document that fails a base rule is
+rejected. On a rejected host a document is rejected as well if it fails a soft rule; a clean document stays wherever
+it stands.
 
 Cases: null and empty texts have no words and fail the base rule; a null source is one host of its own; repeated
 rows each get a row; an empty table gives an empty table; other columns pass through.
@@ -12,6 +13,8 @@ rows each get a row; an empty table gives an empty table; other columns pass thr
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cityportrait.llm.common import SPACE, small_or, words, written
@@ -20,6 +23,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SOFT = {"max_symbols_per_word": 0.5, "max_dup_line_share": 0.3, "min_mean_word": 2.0, "max_mean_word": 15.0}
 MAX_RATE = 0.5
+#: How far above the prior's mean a host's rate may lie, in standard deviations of the prior.
+DEVIATIONS = 2.0
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -64,14 +69,11 @@ def rule_counts(docs: DataFrame) -> DataFrame:
         | (mean < SOFT["min_mean_word"])
         | (mean > SOFT["max_mean_word"])
     )
-    # tied to the partition number, the flags are computed once: a later filter or aggregate can't pull the counts'
-    # expressions, arrays and all, into its own
-    here = F.spark_partition_id() >= 0
-    return d.withColumns({"base_failed": base & here, "soft_failed": soft & here}).drop("_w", "_n", "_lines", "_n_lines")
+    return d.withColumns({"base_failed": base, "soft_failed": soft}).drop("_w", "_n", "_lines", "_n_lines")
 
 
-def host_verdicts(counted: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
-    """(source, host_rate, host_rejected), one row per host.
+def host_verdicts(counted: DataFrame, max_rate: float = MAX_RATE, deviations: float = DEVIATIONS) -> DataFrame:
+    """(source, host_rate, host_rejected), one row per host of a written table of counts.
 
     The beta prior has the mean and variance of the hosts' rates; without spread between hosts (or with one host)
     its weight is one document.
@@ -85,7 +87,9 @@ def host_verdicts(counted: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
     m = min(max(m if m is not None else 0.0, 1e-3), 1 - 1e-3)
     weight = max(m * (1 - m) / v - 1, 1.0) if v and v > 1e-9 else 1.0
     rate = (F.col("f") + F.lit(m * weight)) / (F.col("n") + F.lit(weight))
-    return hosts.select("source", rate.alias("host_rate"), (rate > max_rate).alias("host_rejected"))
+    # without spread no host can stand out
+    most = min(max_rate, m + deviations * math.sqrt(m * (1 - m) / (weight + 1))) if v and v > 1e-9 else max_rate
+    return hosts.select("source", rate.alias("host_rate"), (rate > most).alias("host_rejected"))
 
 
 def judged(counted: DataFrame, verdicts: DataFrame, max_broadcast_hosts: int = 100_000) -> DataFrame:
@@ -104,7 +108,7 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns. Texts are read twice instead of shuffled."""
+    """The documents that stay, with all their columns. They are written with their flags, so texts are counted once."""
     counted = rule_counts(docs.select(F.struct(*docs.columns).alias("row"), "text", "source"))
-    verdicts = host_verdicts(rule_counts(docs.select("text", "source")))
-    return judged(counted, verdicts).filter("kept").select("row.*")
+    counted = written(counted.select("row", "source", "base_failed", "soft_failed"))
+    return judged(counted, host_verdicts(counted)).filter("kept").select("row.*")
