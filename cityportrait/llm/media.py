@@ -143,11 +143,11 @@ def image_text(media: bytes, n_bytes: int) -> str:
     return decode(media).tobytes()[:n_bytes].decode("utf-8", "surrogatepass")
 
 
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, npy binary"
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """What is read back from every document's stored image; feature: difference hash and the tile's digest."""
+    """What is read back from every document's stored image, and its NPY tile; feature: difference hash and the tile's digest."""
     names = [x.split(" ")[0] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,10 +157,11 @@ def digests(docs: DataFrame) -> DataFrame:
                 n, media = text_image(x.as_py())
                 pixels = decode(media)
                 payload = pixels.tobytes()
-                small = hashlib.sha256(tile(pixels)).hexdigest()[:16]
-                rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-TAIL:]), len(media), hashlib.sha256(media).hexdigest(), f"{difference_hash(pixels)}:{small}"))
+                npy = tile(pixels)
+                small = hashlib.sha256(npy).hexdigest()[:16]
+                rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-TAIL:]), len(media), hashlib.sha256(media).hexdigest(), f"{difference_hash(pixels)}:{small}", npy))
             columns = list(zip(*rows, strict=True)) or [[]] * (len(names) - 1)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names)
 
     return mapped(docs.select("doc_id", "text"), run, SCHEMA)

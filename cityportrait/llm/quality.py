@@ -2,7 +2,7 @@
 
 Statistics of the whole text (lengths, shares, repetition, entropy) are transformed towards normal shape. Each class
 gets a mean and a covariance shrunk towards the pooled one and then towards its diagonal; the score is the logistic
-of the difference of log densities, whose Mahalanobis distances use the inverses of Cholesky factors computed once.
+of the difference of log densities, whose Mahalanobis distances are solved with Cholesky factors computed once.
 The moments are summed by Spark over all labelled rows; only sums of fixed size reach the driver.
 
 Cases: null and empty texts have statistics of their own and a score; repeated rows each get a row; labels other
@@ -102,7 +102,7 @@ def _moment_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 class Discriminant:
-    """Class means and inverse Cholesky factors from the classes' sums."""
+    """Class means and Cholesky factors from the classes' sums."""
 
     def __init__(self, sums: np.ndarray):
         n = sums[:, 0]
@@ -113,18 +113,18 @@ class Discriminant:
         self.mean = sums[:, 1 : 1 + d] / n[:, None]
         scatter = sums[:, 1 + d :].reshape(2, d, d) - n[:, None, None] * self.mean[:, :, None] * self.mean[:, None, :]
         pooled = scatter.sum(0) / n.sum()
-        self.inverse, self.constant = [], []
+        self.factor, self.constant = [], []
         for c in (0, 1):
             s = (1 - TO_POOLED) * scatter[c] / n[c] + TO_POOLED * pooled
             s = (1 - TO_DIAGONAL) * s + TO_DIAGONAL * np.diag(np.diag(s)) + FLOOR * np.eye(d)
             factor = np.linalg.cholesky(s)
-            self.inverse.append(np.linalg.inv(factor))
+            self.factor.append(factor)
             self.constant.append(np.log(n[c] / n.sum()) - np.log(np.diag(factor)).sum())
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if not self.ready:
             return np.full(len(x), 0.5)
-        density = [self.constant[c] - 0.5 * (((x - self.mean[c]) @ self.inverse[c].T) ** 2).sum(1) for c in (0, 1)]
+        density = [self.constant[c] - 0.5 * (np.linalg.solve(self.factor[c], (x - self.mean[c]).T) ** 2).sum(0) for c in (0, 1)]
         return 1 / (1 + np.exp(np.clip(density[0] - density[1], -500, 500)))
 
 

@@ -8,14 +8,18 @@ from cityportrait.llm import host_rules, mixing, neardup, pii, spm
 from cityportrait.llm.common import table, written
 
 
+#: Words of a shingle in the near-duplicate stage.
+SHINGLE = 5
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return host_rules.kept_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest doc_id."""
-    return neardup.deduplicated(docs)
+    """One document of each group of near-duplicates, by five-word shingles, stays: the one with the smallest doc_id."""
+    return neardup.deduplicated(docs, shingle=SHINGLE)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,16 +2,19 @@
 
 import hashlib
 import html as entities
+import io
 import math
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pandas
 import pytest
 from pyspark.sql import functions as F
 
-from cityportrait.llm import host_rules, html, licenses, lm, media, mixing, neardup, pii, quality, spm
+from cityportrait.llm import host_rules, html, licenses, lm, media, mixing, neardup, pii, quality, spm, sql
 
 SF = "/root/testdata/sf0.001"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -124,9 +127,48 @@ def test_host_rules(docs, texts, empty, spark):
     assert 100 in kept and 101 not in kept and 102 in kept
 
 
-def shingles(t):
+def brute_kept(rows):
+    """The rows (doc_id, text, source) that the rules and the hosts' verdicts keep, with their soft failures."""
+    soft, base = {}, {}
+    for k, (_, t, _) in enumerate(rows):
+        n, chars, symbols, dup, _, base[k] = rules(t)
+        lines = sum(bool(words(x)) for x in t.split("\n"))
+        mean = chars / max(n, 1)
+        s = host_rules.SOFT
+        soft[k] = symbols > s["max_symbols_per_word"] * n or dup > s["max_dup_line_share"] * lines or mean < s["min_mean_word"] or mean > s["max_mean_word"]
+    hosts = defaultdict(list)
+    for k, (_, _, source) in enumerate(rows):
+        hosts[source].append(base[k] or soft[k])
+    rates = [sum(x) / len(x) for x in hosts.values()]
+    m = min(max(sum(rates) / len(rates), 1e-3), 1 - 1e-3)
+    v = sum((x - sum(rates) / len(rates)) ** 2 for x in rates) / len(rates)
+    weight = max(m * (1 - m) / v - 1, 1.0) if v > 1e-9 else 1.0
+    most = min(host_rules.MAX_RATE, m + host_rules.DEVIATIONS * math.sqrt(m * (1 - m) / (weight + 1))) if v > 1e-9 else host_rules.MAX_RATE
+    bad = {s for s, x in hosts.items() if (sum(x) + m * weight) / (len(x) + weight) > most}
+    return [r for k, r in enumerate(rows) if not base[k] and not (r[2] in bad and soft[k])], len(bad)
+
+
+def test_host_verdicts_reject_rows(spark):
+    """A host that stands out from the others loses its suspicious documents, below the absolute bound too."""
+    good = " ".join(f"word{i}" for i in range(80))
+    odd = good.replace(" ", "## ")
+    rows = [(h * 1000 + i, "bad" if i % 10 == 0 else odd if i % 10 == 1 else good, f"h{h}") for h in range(12) for i in range(100)]
+    rows += [(90_000 + i, "bad" if i % 10 < 2 else odd if i % 10 < 4 else good, "worse") for i in range(100)]
+    d = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], SCHEMA)
+    want, bad = brute_kept(rows)
+    got = host_rules.quality(d).collect()
+    assert bad == 1 and {r.doc_id for r in got if r.kept} == {i for i, _, _ in want}
+    assert {r.doc_id for r in got if r.kept == r.base_failed} == {90_000 + i for i in range(100) if i % 10 in (2, 3)}
+    assert {r.doc_id for r in host_rules.kept_documents(d).collect()} == {i for i, _, _ in want}
+    db = duckdb.connect()
+    documents = pandas.DataFrame({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows], "source": [r[2] for r in rows]})  # noqa: F841
+    kept = db.execute(f"SELECT doc_id FROM ({sql.HOST_RULES}) WHERE kept").fetchall()
+    assert {i for i, in kept} == {i for i, _, _ in want}
+
+
+def shingles(t, k=2):
     w = words(lowered(t))
-    return set(zip(w, w[1:])) if len(w) > 1 else {tuple(w)} if w else set()
+    return set(zip(*[w[i:] for i in range(k)])) if len(w) >= k else {tuple(w)} if w else set()
 
 
 def brute_components(items):
@@ -257,9 +299,32 @@ def test_quality_held_out(spark, empty):
     assert {r.score for r in quality.scored(d.limit(3), labels.limit(0)).collect()} == {0.5}
 
 
-def test_quality_of_odd_texts(docs, spark):
+def test_quality_scores_equal_brute_force(docs, texts, spark):
+    """Shrunk class covariances and log densities by numpy's own routines, from the statistics of each text."""
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    assert quality.scored(docs, labels).count() == docs.count()
+    named = labels.withColumn("x", F.lit(1)).withColumn("text", F.lit("t"))
+    got = sorted((r.doc_id, r.score) for r in quality.scored(docs, named).collect())
+    assert len(got) == len(texts)
+    y = {r.doc_id: r.quality for r in labels.collect()}
+    x = {i: np.array(quality.statistics(t)) for i, t, _ in texts}
+    rows = [(y[i], quality.statistics(t)) for i, t, _ in texts if i in y and zlib.crc32(str(i).encode()) % 3 != 1]
+    parts = [np.array([s for c, s in rows if c == k]) for k in (0, 1)]
+    cov = [np.cov(p.T, bias=True) for p in parts]
+    pooled = sum(c * len(p) for c, p in zip(cov, parts)) / len(rows)
+    density = []
+    for c, p in zip(cov, parts):
+        s = (1 - quality.TO_POOLED) * c + quality.TO_POOLED * pooled
+        s = (1 - quality.TO_DIAGONAL) * s + quality.TO_DIAGONAL * np.diag(np.diag(s)) + quality.FLOOR * np.eye(len(s))
+        inverse, (_, log_det) = np.linalg.inv(s), np.linalg.slogdet(s)
+        density.append(lambda v, m=p.mean(0), a=inverse, d=log_det, n=len(p): math.log(n / len(rows)) - 0.5 * d - 0.5 * (v - m) @ a @ (v - m))
+    for i, score in got:
+        d = density[0](x[i]) - density[1](x[i])
+        assert math.isclose(score, 1 / (1 + math.exp(min(max(d, -500), 500))), rel_tol=1e-5, abs_tol=1e-9)
+    # equal texts have equal scores
+    by_text = defaultdict(set)
+    for i, t, _ in texts:
+        by_text[t] |= {round(s, 12) for j, s in got if j == i}
+    assert all(len(v) == 1 for v in by_text.values())
 
 
 def test_lm(docs, texts, empty):
@@ -456,6 +521,20 @@ def test_seeds_lose_no_match():
         assert windowed == {label for label, _, k, _, pattern in s.notices if any(sum(m.fuzzy_counts) <= k for m in pattern.finditer(t))}
 
 
+def brute_areas(pixels, rows, columns):
+    """Area averages, weight by weight."""
+
+    def weights(n, k):
+        w = np.zeros((k, n))
+        for i in range(k):
+            lo, hi = n * i / k, n * (i + 1) / k
+            for j in range(int(lo), min(n, math.ceil(hi))):
+                w[i, j] = max(0.0, min(hi, j + 1) - max(lo, j))
+        return w / w.sum(1, keepdims=True)
+
+    return np.einsum("ih,jw,hwc->ijc", weights(pixels.shape[0], rows), weights(pixels.shape[1], columns), pixels, optimize=True)
+
+
 def test_media(docs, texts, empty):
     got = {r.doc_id: r for r in media.digests(docs).collect()}
     for i, t, _ in texts:
@@ -464,6 +543,13 @@ def test_media(docs, texts, empty):
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
         n, stored = media.text_image(t)
+        pixels = np.frombuffer(p, np.uint8).reshape(-1, 64, 3).astype(float)
+        small = brute_areas(pixels, 16, 16)
+        tile = np.load(io.BytesIO(r.npy))
+        assert tile.shape == (16, 16, 3) and np.abs(tile - small).max() <= 0.5 + 1e-6
+        grey = np.round(brute_areas(pixels.mean(2, keepdims=True), 8, 9)[:, :, 0], 6)
+        bits = "".join("01"[int(a < b)] for row in grey for a, b in zip(row, row[1:]))
+        assert r.feature == f"{int(bits, 2):016x}:{hashlib.sha256(r.npy).hexdigest()[:16]}"
         assert r.media_bytes == len(stored) and r.media_sha256 == hashlib.sha256(stored).hexdigest() and media.image_text(stored, n) == t
     assert media.digests(empty).count() == 0
 
