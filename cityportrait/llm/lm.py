@@ -104,8 +104,8 @@ class Words:
 
 
 def _scattered(into: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
-    """Add rows of values at the rows `at`, which may repeat."""
-    order = np.argsort(at, kind="stable")
+    """Add rows of values at the rows `at`, which may repeat; 16-bit numbers are sorted by radix."""
+    order = np.argsort(at.astype(np.uint16), kind="stable")
     at = at[order]
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     into[at[first]] += np.add.reduceat(values[order], first, axis=0)
@@ -163,7 +163,7 @@ class LogBilinear:
     def refine(self, h2: np.ndarray, h1: np.ndarray, w: np.ndarray, rng: np.random.Generator, squares: list[np.ndarray]) -> None:
         """Noise-contrastive steps on tokens w after h1 after h2, in batches in random order, each with its own noise."""
         m = len(self.e)
-        below, lift = np.cumsum(self.q), np.log(DRAWN * self.q)
+        below, lift = np.cumsum(self.q), np.log(DRAWN * self.q).astype(self.e.dtype)
         order = rng.permutation(len(w))
         for k in range(0, len(w), BATCH):
             o = order[k : k + BATCH]
@@ -176,9 +176,9 @@ class LogBilinear:
             back = up[:, None] * real - down @ noise
             g = np.zeros_like(self.e)
             _scattered(g, np.concatenate([a1, a2, y, z]), np.concatenate([back @ self.c1.T, back @ self.c2.T, up[:, None] * made, -down.T @ made]))
-            gb = np.bincount(y, up, m) - np.bincount(z, down.sum(0), m)
+            gb = (np.bincount(y, up, m) - np.bincount(z, down.sum(0), m)).astype(self.e.dtype)
             for x, d, s in zip((self.e, self.c1, self.c2, self.b), (g, x1.T @ back, x2.T @ back, gb), squares, strict=True):
-                d = d / len(o)
+                d /= len(o)
                 s += d * d
                 x += BATCH_RATE * d / np.sqrt(s)
 
@@ -313,14 +313,15 @@ def train(docs: DataFrame) -> Trained:
 
     def refine_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, rng, seen = begun.value, np.random.default_rng(SEED), 0
-        begin = own.state().copy()
-        squares = [np.full(x.shape, 1e-3) for x in (own.e, own.c1, own.c2, own.b)]
-        own.restore(begin.copy())
+        begin = own.state()
+        # single precision halves the time of the steps
+        own.restore(begin.astype(np.float32))
+        squares = [np.full(x.shape, 1e-3, np.float32) for x in (own.e, own.c1, own.c2, own.b)]
         for batch in batches:
             h2, h1, w, _ = contexts(batch.column(0))
             own.refine(h2, h1, w, rng, squares)
             seen += len(w)
-        state = np.append(own.state() * seen, seen)
+        state = np.append(own.state().astype(np.float64) * seen, seen)
         own.restore(begin)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(state), dtype=np.int32)), pa.array(state)], ["place", "value"])
 
