@@ -75,20 +75,21 @@ def rule_counts(docs: DataFrame) -> DataFrame:
 def host_verdicts(counted: DataFrame, max_rate: float = MAX_RATE, deviations: float = DEVIATIONS) -> DataFrame:
     """(source, host_rate, host_rejected), one row per host of a written table of counts.
 
-    The beta prior has the mean and variance of the hosts' rates; without spread between hosts (or with one host)
-    its weight is one document.
+    The beta prior has the mean of the hosts' rates, and their variance less what drawing so many documents from one
+    rate gives by itself; without spread between hosts (or with one host) its weight is one document.
     """
     hosts = written(
         counted.groupBy("source").agg(
             F.count("*").alias("n"), F.count_if(F.col("base_failed") | F.col("soft_failed")).alias("f")
         )
     )
-    m, v = hosts.select(F.avg(F.col("f") / F.col("n")), F.var_pop(F.col("f") / F.col("n"))).first()
+    m, v, each = hosts.select(F.avg(F.col("f") / F.col("n")), F.var_pop(F.col("f") / F.col("n")), F.avg(1 / F.col("n"))).first()
     m = min(max(m if m is not None else 0.0, 1e-3), 1 - 1e-3)
-    weight = max(m * (1 - m) / v - 1, 1.0) if v and v > 1e-9 else 1.0
+    v = v - m * (1 - m) * each if v else 0.0
+    weight = max(m * (1 - m) / v - 1, 1.0) if v > 1e-9 else 1.0
     rate = (F.col("f") + F.lit(m * weight)) / (F.col("n") + F.lit(weight))
     # without spread no host can stand out
-    most = min(max_rate, m + deviations * math.sqrt(m * (1 - m) / (weight + 1))) if v and v > 1e-9 else max_rate
+    most = min(max_rate, m + deviations * math.sqrt(m * (1 - m) / (weight + 1))) if v > 1e-9 else max_rate
     return hosts.select("source", rate.alias("host_rate"), (rate > most).alias("host_rejected"))
 
 

@@ -141,7 +141,7 @@ def brute_kept(rows):
         hosts[source].append(base[k] or soft[k])
     rates = [sum(x) / len(x) for x in hosts.values()]
     m = min(max(sum(rates) / len(rates), 1e-3), 1 - 1e-3)
-    v = sum((x - sum(rates) / len(rates)) ** 2 for x in rates) / len(rates)
+    v = sum((x - sum(rates) / len(rates)) ** 2 for x in rates) / len(rates) - m * (1 - m) * sum(1 / len(x) for x in hosts.values()) / len(hosts)
     weight = max(m * (1 - m) / v - 1, 1.0) if v > 1e-9 else 1.0
     most = min(host_rules.MAX_RATE, m + host_rules.DEVIATIONS * math.sqrt(m * (1 - m) / (weight + 1))) if v > 1e-9 else host_rules.MAX_RATE
     bad = {s for s, x in hosts.items() if (sum(x) + m * weight) / (len(x) + weight) > most}
