@@ -9,7 +9,7 @@ Equal sets are one class and meet only once. Each class is first checked against
 a pivot being the member of a bucket that meets most others. What then remains between components is narrowed by an
 exact rule on how two sets differ from their group's centre, joined on the rare differences only (see
 _between_components), so a group of many near copies is never expanded into its pairs while no link between
-components is lost. Sketches miss a pair at a similarity of 0.8 with probability (1 - 0.8**ROWS)**BANDS, below 8e-6.
+components is lost. Sketches miss a pair at a similarity of 0.8 with probability (1 - 0.8**8)**64, below 8e-6 (see bands_for).
 
 Cases: null and empty texts have an empty set, link with nothing and stay; one word is a set of one; repeated rows of
 a doc_id are copies of each other; rows without a doc_id are never linked and stay; an empty table gives an empty
@@ -30,8 +30,9 @@ from cityportrait.llm.common import mapped, small_or, written
 
 SHINGLE = 2
 PERCENT = 80
-BANDS, ROWS = 64, 8
-T = BANDS * ROWS
+T = 512
+#: A pair at the threshold shares no band with this probability at most.
+MISSED = 1e-5
 SLICE_BYTES = 4 << 20
 MAX_BROADCAST_IDS = 500_000
 #: Members that a group's centre is taken from.
@@ -93,7 +94,15 @@ def sketches(sets: list[np.ndarray], t: int = T) -> np.ndarray:
     return out.reshape(-1, t)
 
 
-def band_keys(sketch: np.ndarray, bands: int = BANDS) -> np.ndarray:
+def bands_for(percent: int) -> int:
+    """The number of bands that T coordinates make: as few as MISSED allows at this similarity; 64 of 8 rows at 80."""
+    for rows in (64, 32, 16, 8, 4, 2):
+        if (1 - (percent / 100) ** rows) ** (T // rows) <= MISSED:
+            return T // rows
+    return T
+
+
+def band_keys(sketch: np.ndarray, bands: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         s = sketch.reshape(len(sketch), bands, -1)
         key = np.broadcast_to(np.arange(bands, dtype=np.uint64), s.shape[:2]).copy()
@@ -115,7 +124,7 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str | None]]
 SKETCH_SCHEMA = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"
 
 
-def _sketch_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+def _sketch_batches(batches: Iterator[pa.RecordBatch], shingle: int, bands: int) -> Iterator[pa.RecordBatch]:
     hashes = _WordHashes()
     for batch in batches:
         for ids, texts in _slices(batch):
@@ -126,8 +135,8 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator
             keys = np.zeros((len(sets), 2), np.int64)
             for i in full:
                 keys[i] = np.frombuffer(xxhash.xxh3_128_digest(sets[i].tobytes()), np.int64)
-            values = band_keys(sketches([sets[i] for i in full])) if full else np.empty((0, BANDS), np.uint64)
-            offsets = np.concatenate([[0], np.cumsum((n > 0) * BANDS)]).astype(np.int32)
+            values = band_keys(sketches([sets[i] for i in full]), bands) if full else np.empty((0, bands), np.uint64)
+            offsets = np.concatenate([[0], np.cumsum((n > 0) * bands)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(n), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.reshape(-1).view(np.int64)))],
                 ["doc_id", "n_shingles", "k1", "k2", "bands"],
@@ -242,7 +251,7 @@ def _between_components(shared: DataFrame, sets: DataFrame, comps: DataFrame, pe
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
-    t = written(mapped(docs.select("doc_id", "text"), partial(_sketch_batches, shingle=shingle), SKETCH_SCHEMA))
+    t = written(mapped(docs.select("doc_id", "text"), partial(_sketch_batches, shingle=shingle, bands=bands_for(percent)), SKETCH_SCHEMA))
     real = t.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(
         real.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).filter("c > 1").drop("c")

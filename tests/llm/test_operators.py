@@ -785,7 +785,7 @@ def test_a_large_group_of_near_copies_stays_linear(spark):
         assert got == brute_components([(i, shingles(t)) for i, t, *_ in rows]) if n == 300 else len(got) == n
         ids = d.select(F.col("doc_id").alias("id"))
         sets = neardup.sets_of(d, neardup.written(ids))
-        t = neardup.mapped(d.select("doc_id", "text"), neardup.partial(neardup._sketch_batches, shingle=2), neardup.SKETCH_SCHEMA)
+        t = neardup.mapped(d.select("doc_id", "text"), neardup.partial(neardup._sketch_batches, shingle=2, bands=64), neardup.SKETCH_SCHEMA)
         shared = t.select("doc_id", F.explode("bands").alias("key")).withColumn("degree", F.lit(1).cast("long"))
         comps = d.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 == 0, F.col("doc_id")).otherwise(1).alias("component"))
         _, pairs = neardup._between_components(neardup.written(shared), sets, comps, 80)
@@ -800,5 +800,6 @@ def test_neardup_shingle_size_and_percent(spark):
         other[j] = f"x{j}"
     d = spark.createDataFrame([(1, " ".join(base), "en", "s", 0), (2, " ".join(other), "en", "s", 0)], SCHEMA)
     linked = lambda **how: neardup.near_duplicates(d, **how).select("component_id").distinct().count() == 1
+    assert neardup.bands_for(80) == 64 and neardup.bands_for(90) == 64 and neardup.bands_for(50) == 256
     # 53 of 65 word pairs are common; of 71 five-word shingles 41
     assert linked() and not linked(shingle=5) and linked(shingle=5, percent=50) and not linked(percent=85)
