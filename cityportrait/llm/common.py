@@ -1,10 +1,12 @@
-"""Shared pieces: folders for written tables, running sums over skewed groups, size-checked broadcasts."""
+"""Shared pieces: folders for written tables, running sums and joins over skewed groups, size-checked broadcasts."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import zipfile
+from functools import reduce
+from operator import and_
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
@@ -48,6 +50,34 @@ def small_or(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     return (F.broadcast(df) if small else df), small
 
 
+#: A key with more rows than this, and than this part of all rows, is hot.
+HOT_ROWS, HOT_PARTS = 1_000, 10_000
+
+
+def hot_keys(counts: DataFrame, total: int) -> DataFrame:
+    """(keys, _parts) of the hot keys of a table of `total` rows, from (keys, count); a part has as many rows as a key may.
+
+    Each has more than total / HOT_PARTS rows, so there are fewer than HOT_PARTS, whatever the table.
+    """
+    most = max(HOT_ROWS, total // HOT_PARTS)
+    return written(counts.filter(F.col("count") > most).withColumn("_parts", F.ceil(F.col("count") / most).cast("int")).drop("count"))
+
+
+def spread_join(many: DataFrame, few: DataFrame, on: list[str], by: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+    """Join `many` to `few`, which has one row a key at most; null keys are equal.
+
+    Rows with a hot key are dealt to the key's parts by a hash of `by`, and the key's row of `few` stands in each of
+    them, so that no key is the work of one task.
+    """
+    keys = F.broadcast(hot.withColumnsRenamed({c: f"_hot_{c}" for c in on}))
+    equal = lambda prefix: reduce(and_, [F.col(c).eqNullSafe(F.col(prefix + c)) for c in on])
+    dealt = many.join(keys, equal("_hot_"), "left").select(*many.columns, F.coalesce(F.pmod(F.xxhash64(*by), F.col("_parts")), F.lit(0)).cast("int").alias("_part"))
+    parts = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)).alias("_few_part")
+    copied = few.join(keys, equal("_hot_"), "left").select(*[F.col(c).alias(f"_few_{c}") if c in on else F.col(c) for c in few.columns], parts)
+    joined = dealt.join(copied, equal("_few_") & (F.col("_part") == F.col("_few_part")), how)
+    return joined.select(*many.columns, *[c for c in few.columns if c not in on])
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null and empty texts have none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+", -1), "")

@@ -9,7 +9,8 @@ Equal sets are one class and meet only once. Each class is first checked against
 a pivot being the member of a bucket that meets most others. What then remains between components is narrowed by an
 exact rule on how two sets differ from their group's centre, joined on the rare differences only (see
 _between_components), so a group of many near copies is never expanded into its pairs while no link between
-components is lost. Sketches miss a pair at a similarity of 0.8 with probability (1 - 0.8**8)**64, below 8e-6 (see bands_for).
+components is lost. Keys that many rows share (a large group's bands, pivot, centre and representative) are joined in
+parts. Sketches miss a pair at a similarity of 0.8 with probability (1 - 0.8**8)**64, below 8e-6 (see bands_for).
 
 Cases: null and empty texts have an empty set, link with nothing and stay; one word is a set of one; repeated rows of
 a doc_id are copies of each other; rows without a doc_id are never linked and stay; an empty table gives an empty
@@ -26,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from cityportrait.llm.common import mapped, small_or, written
+from cityportrait.llm.common import hot_keys, mapped, small_or, spread_join, written
 
 SHINGLE = 2
 PERCENT = 80
@@ -182,9 +183,11 @@ def sets_of(docs: DataFrame, ids: DataFrame, shingle: int = SHINGLE) -> DataFram
 
 
 def confirmed(sets: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a")
-    both = both.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b")
+    """The pairs (a, b) of a written table whose full shingle sets are similar enough; one document may be in most pairs."""
+    n = pairs.count()
+    hot_a, hot_b = (hot_keys(pairs.groupBy(x).count(), n) for x in ("a", "b"))
+    both = spread_join(pairs, sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), ["a"], ["b"], hot_a)
+    both = spread_join(both, sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), ["b"], ["a"], hot_b)
     both = both.withColumn("i", F.size(F.array_intersect("ha", "hb")))
     return both.filter(100 * F.col("i") >= percent * (F.size("ha") + F.size("hb") - F.col("i"))).select("a", "b")
 
@@ -193,7 +196,7 @@ def _pivot(degree: str = "degree", doc: str = "doc_id"):
     return F.max_by(doc, F.struct(degree, -F.col(doc)))
 
 
-def _differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _differences(members: DataFrame, sets: DataFrame, percent: int, hot: DataFrame) -> DataFrame:
     """(g, id, c, w, slack, delta) of the members (g, id, c): how each one's set differs from its group's centre.
 
     The centre holds the shingles of at least half of up to VOTERS members. Any set would do for the rule below; this
@@ -204,7 +207,7 @@ def _differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     votes = voters.join(sets, "id").select("g", F.explode("hashes").alias("e")).groupBy("g", "e").agg(F.count("*").alias("n"))
     of = voters.groupBy("g").agg(F.count("*").alias("of"))
     centre = written(votes.join(of, "g").filter("2 * n >= of").groupBy("g").agg(F.collect_list("e").alias("r")))
-    d = members.join(sets, "id").join(centre, "g")
+    d = spread_join(members.join(sets, "id"), centre, ["g"], ["id"], hot)
     d = d.withColumns({"added": F.array_except("hashes", "r"), "missing": F.array_except("r", "hashes")})
     return d.select(
         "g", "id", "c",
@@ -214,7 +217,7 @@ def _differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     )
 
 
-def _between_components(shared: DataFrame, sets: DataFrame, comps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _between_components(shared: DataFrame, sets: DataFrame, comps: DataFrame, percent: int, hot_bands: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(links known for sure, pairs left to check) among documents of different components that meet in a bucket.
 
     A group is what meets the component that a bucket's best-connected document belongs to. Let R be the group's
@@ -229,17 +232,23 @@ def _between_components(shared: DataFrame, sets: DataFrame, comps: DataFrame, pe
     c = shared.join(comps.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
     c = written(c.select("key", "doc_id", "degree", F.coalesce("component", "doc_id").alias("c")))
     per = c.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max_by("c", F.struct("degree", -F.col("doc_id"))).alias("g"))
-    members = written(c.join(per.filter("c0 < c1").select("key", "g"), "key").select("g", F.col("doc_id").alias("id"), "c").distinct())
-    d = written(_differences(members, sets, percent))
+    if hot_bands is None:
+        hot_bands = hot_keys(c.groupBy("key").count(), c.count())
+    met = spread_join(c, per.filter("c0 < c1").select("key", "g"), ["key"], ["doc_id"], hot_bands)
+    members = written(met.select("g", F.col("doc_id").alias("id"), "c").distinct())
+    hot_groups = hot_keys(members.groupBy("g").count(), members.count())
+    d = written(_differences(members, sets, percent, hot_groups))
     least = d.groupBy("g").agg(F.min(F.struct("w", "id", "c")).alias("least"))
-    d = d.join(least, "g").withColumn("far", F.col("w") + F.col("least.w") > F.col("slack"))
+    d = spread_join(d, least, ["g"], ["id"], hot_groups).withColumn("far", F.col("w") + F.col("least.w") > F.col("slack"))
     sure = d.filter("NOT far AND c <> least.c").select(F.col("least.id").alias("a"), F.col("id").alias("b"))
     # the near ones are all in one component now
     d = d.withColumn("c", F.when(F.col("far"), F.col("c")).otherwise(F.col("least.c"))).drop("least").withColumn("n", F.size("delta"))
     e = written(d.select("g", "id", "c", "w", "slack", "far", "n", F.explode("delta").alias("e")))
     # what no far document has, or one component only, can't link anything: it comes first in the order and is left out
     live = e.groupBy("g", "e").agg(F.count("*").alias("f"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("far").alias("any")).filter("any AND c0 < c1")
-    live = e.join(live.select("g", "e", "f"), ["g", "e"])
+    live = written(live.select("g", "e", "f"))
+    hot = hot_keys(live.withColumnRenamed("f", "count"), e.count())
+    live = spread_join(e, live, ["g", "e"], ["id"], hot)
     order = live.groupBy("g", "id", "c", "w", "slack", "far", "n").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("o"))
     at = order.select("g", "id", "c", "w", "slack", "far", (F.col("n") - F.size("o")).alias("skipped"), "n", F.posexplode("o").alias("place", "fe"))
     at = written(at.select("g", "id", "c", "w", "slack", "far", (F.col("n") - F.col("skipped") - F.col("place")).alias("rest"), F.col("fe.e").alias("e")))
@@ -251,34 +260,39 @@ def _between_components(shared: DataFrame, sets: DataFrame, comps: DataFrame, pe
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
-    t = written(mapped(docs.select("doc_id", "text"), partial(_sketch_batches, shingle=shingle, bands=bands_for(percent)), SKETCH_SCHEMA))
+    bands = bands_for(percent)
+    t = written(mapped(docs.select("doc_id", "text"), partial(_sketch_batches, shingle=shingle, bands=bands), SKETCH_SCHEMA))
     real = t.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = written(
-        real.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    )
-    copies = written(
-        real.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).filter("doc_id <> rep").select(F.col("doc_id").alias("_id")).distinct()
-    )
+    rows = t.count()
+    classes = written(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("count")).filter("count > 1"))
+    hot_classes, hot_reps = (hot_keys(classes.select(*keys, "count"), rows) for keys in (["k1", "k2"], ["rep"]))
+    classes = classes.drop("count")
+    of_class = written(spread_join(real.select("doc_id", "n_shingles", "k1", "k2"), classes, ["k1", "k2"], ["doc_id"], hot_classes, "left"))
+    copies = written(of_class.filter("doc_id <> rep").select(F.col("doc_id").alias("_id")).distinct())
     others, _ = small_or(copies, MAX_BROADCAST_IDS)
     reps = real.join(others, F.col("doc_id") == F.col("_id"), "left_anti").select("doc_id", F.explode("bands").alias("key"))
     buckets = reps.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("c")).filter("low < high")
-    shared = written(reps.join(written(buckets.select("key", "c")), "key"))
+    buckets = written(buckets.select("key", "c"))
+    hot_bands = hot_keys(buckets.withColumnRenamed("c", "count"), rows * bands)
+    shared = written(spread_join(reps, buckets, ["key"], ["doc_id"], hot_bands))
     degrees = written(shared.groupBy("doc_id").agg(F.sum("c").alias("degree")))
     shared = written(shared.select("doc_id", "key").distinct().join(degrees, "doc_id"))
     sets = sets_of(docs, degrees.select(F.col("doc_id").alias("id")), shingle)
 
     # one partner each: the pivot met in most bands
     pivots = shared.groupBy("key").agg(_pivot().alias("a"), F.max("degree").alias("da"))
-    met = shared.select("doc_id", "key").join(pivots, "key").filter("a <> doc_id").groupBy("doc_id", "a").agg(F.count("*").alias("n"), F.max("da").alias("da"))
+    met = spread_join(shared.select("doc_id", "key"), pivots, ["key"], ["doc_id"], hot_bands).filter("a <> doc_id").groupBy("doc_id", "a").agg(F.count("*").alias("n"), F.max("da").alias("da"))
     first = met.groupBy(F.col("doc_id").alias("b")).agg(F.max_by("a", F.struct("n", "da", -F.col("a"))).alias("a"))
-    links = written(confirmed(sets, first, percent))
-    sure, rest = _between_components(shared, sets, components(links), percent)
+    links = written(confirmed(sets, written(first), percent))
+    sure, rest = _between_components(shared, sets, components(links), percent, hot_bands)
     comps = written(components(links.union(sure).union(confirmed(sets, written(rest), percent))))
 
-    found = t.drop("bands").join(classes, ["k1", "k2"], "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
-    found = found.join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    found = of_class.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+    found = spread_join(found, comps.select(F.col("id").alias("rep"), "component"), ["rep"], ["doc_id"], hot_reps, "left")
     component = F.coalesce("component", "rep")
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    linked = found.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    alone = t.filter("NOT (n_shingles > 0 AND doc_id IS NOT NULL)")
+    return linked.union(alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
