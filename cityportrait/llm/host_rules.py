@@ -17,7 +17,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cityportrait.llm.common import SPACE, small_or, words, written
+from cityportrait.llm.common import SPACE, hot_keys, small_or, spread_join, words, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -94,12 +94,17 @@ def host_verdicts(counted: DataFrame, max_rate: float = MAX_RATE, deviations: fl
 
 
 def judged(counted: DataFrame, verdicts: DataFrame, max_broadcast_hosts: int = 100_000) -> DataFrame:
-    """Join host verdicts back and add `kept`. Only rejected hosts are joined; beyond the bound the join shuffles."""
-    bad = verdicts.filter("host_rejected").select(F.col("source").alias("_host"), F.lit(True).alias("_bad"))
-    bad, _ = small_or(bad, max_broadcast_hosts)
-    d = counted.join(bad, counted["source"].eqNullSafe(bad["_host"]), "left")
+    """Join host verdicts back and add `kept`. Only rejected hosts are joined; beyond the bound the join shuffles, hot hosts in parts."""
+    bad = verdicts.filter("host_rejected").select("source", F.lit(True).alias("_bad"))
+    known, small = small_or(bad.withColumnRenamed("source", "_host"), max_broadcast_hosts)
+    if small:
+        d = counted.join(known, F.col("source").eqNullSafe(F.col("_host")), "left").drop("_host")
+    else:
+        # drawn per row of a written table, so a task run again draws the same
+        d = counted.withColumn("_deal", F.rand(0))
+        d = spread_join(d, bad, ["source"], ["_deal"], hot_keys(counted.groupBy("source").count(), counted.count()), "left").drop("_deal")
     kept = ~F.col("base_failed") & ~(F.coalesce(F.col("_bad"), F.lit(False)) & F.col("soft_failed"))
-    return d.withColumn("kept", kept).drop("_host", "_bad")
+    return d.withColumn("kept", kept).drop("_bad")
 
 
 def quality(docs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from cityportrait.llm.common import WORD, running_start, small_or, written
+from cityportrait.llm.common import WORD, hot_keys, running_start, small_or, spread_join, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
@@ -26,7 +26,8 @@ BLOCK_WORDS = 4096
 MIN_SLOTS = 512
 GOLDEN = 0.6180339887498949
 SEED = 17
-CELLS = 1024
+#: Slots meet the sources' intervals on cells: at least CELLS, and one for CELL_SLOTS slots.
+CELLS, CELL_SLOTS = 1024, 4096
 SLOT_CHUNK = 256
 ROWS_PER_BUCKET = 20_000
 MAX_BROADCAST_SOURCES = 50_000
@@ -77,7 +78,7 @@ def schedule(plan: DataFrame) -> DataFrame:
     step = 1 << 20
     point = (F.floor(F.col("id") / step) * ((step * GOLDEN) % 1.0) + (F.col("id") % step) * GOLDEN) % 1.0
     slots = spark.range(n).select(F.col("id").alias("slot"), (point * total).alias("x"))
-    width = max(total, 1.0) / CELLS
+    width = max(total, 1.0) / max(CELLS, n // CELL_SLOTS)
     slots = slots.withColumn("cell", F.floor(F.col("x") / width))
     cells = plan.filter("slots > 0").select(
         "source", "n_blocks", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))).alias("cell")
@@ -99,8 +100,16 @@ def mix(docs: DataFrame) -> DataFrame:
     placed = sized.filter("size > 0").withColumn("h", h).withColumn("bucket", F.shiftrightunsigned("h", 64 - bits))
     # nothing has order within the hash but the id, then the size
     placed = running_start(placed, ["source"], "bucket", ["h", "doc_id", "size"], "size", "at").select("doc_id", "source", "size", "at")
-    known, _ = small_or(plan.select(F.col("source").alias("_s"), "source_size", "target", "block_words"), MAX_BROADCAST_SOURCES)
-    placed = written(placed.join(known, F.col("source").eqNullSafe(F.col("_s"))).drop("_s"))
+    goals = plan.select("source", "source_size", "target", "block_words")
+    known, small = small_or(goals.withColumnRenamed("source", "_s"), MAX_BROADCAST_SOURCES)
+    hot = None if small else hot_keys(sized.groupBy("source").count(), rows)
+
+    def with_goals(d: DataFrame) -> DataFrame:
+        if small:
+            return d.join(known, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+        return spread_join(d, goals, ["source"], ["doc_id", "size"], hot)
+
+    placed = written(with_goals(placed))
     length = F.col("block_words")
     parts = placed.select(
         "*", F.explode(F.sequence(F.floor(F.col("at") / length), F.floor((F.col("at") + F.col("size") - 1) / length))).alias("block")
@@ -112,7 +121,7 @@ def mix(docs: DataFrame) -> DataFrame:
     out = hit.groupBy("doc_id", "source", "size", "at", "source_size", "target").agg(
         F.sum(F.col("overlap") * F.coalesce("times", F.lit(0))).cast("long").alias("taken")
     )
-    none = sized.filter("size = 0").join(known, F.col("source").eqNullSafe(F.col("_s"))).withColumn("taken", F.lit(0).cast("long"))
+    none = with_goals(sized.filter("size = 0")).withColumn("taken", F.lit(0).cast("long"))
     names = ["doc_id", "source", "size", "source_size", "target", "taken"]
     return out.select(*names).union(none.select(*names))
 
