@@ -96,15 +96,15 @@ def bounded(notice: str, k: int) -> regex.Pattern:
     return regex.compile(rb"(?b)" + edge + b"".join(out) + end)
 
 
-def completed(label: str, following: bytes) -> str:
+_CONDITION = regex.compile(rb" (" + b"|".join(" ".join(c).encode() for c in CONDITIONS) + rb")(?= |$)")
+
+
+def completed(label: str, text: bytes, at: int) -> str:
     """A Creative Commons label with the conditions that the text goes on with."""
-    words, found = [w.decode("utf-8", "replace") for w in following[:80].split()], set()
-    while words:
-        n = next((n for n in (1, 2) if tuple(words[:n]) in CONDITIONS), 0)
-        if not n:
-            break
-        found.add(CONDITIONS[tuple(words[:n])])
-        words = words[n:]
+    found = set()
+    while m := _CONDITION.match(text, at):
+        found.add(CONDITIONS[tuple(m[1].decode().split())])
+        at = m.end()
     return "-".join([label, *sorted(found, key=("nc", "nd", "sa").index)])
 
 
@@ -149,7 +149,7 @@ class Searcher:
                 lo, hi = max(0, a - 1), min(len(text), b + 1)
                 for m in pattern.finditer(text[lo:hi]):
                     if (edits := sum(m.fuzzy_counts)) <= k:
-                        told = completed(label, text[lo + m.end() :]) if label == "cc-by" else label
+                        told = completed(label, text, lo + m.end()) if label == "cc-by" else label
                         found.append((told, lo + m.start(), lo + m.end(), edits))
         return found
 

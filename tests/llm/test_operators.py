@@ -14,7 +14,7 @@ import pandas
 import pytest
 from pyspark.sql import functions as F
 
-from cityportrait.llm import host_rules, html, licenses, lm, media, mixing, neardup, pii, quality, spm, sql
+from cityportrait.llm import common, host_rules, html, licenses, lm, media, mixing, neardup, pii, quality, spm, sql
 
 SF = "/root/testdata/sf0.001"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -502,6 +502,12 @@ def test_fuzzy_search_equals_brute_force():
         assert found == want, text
 
 
+def test_all_conditions_of_a_notice_count():
+    labels = licenses.Searcher().scan("Creative Commons Attribution " + "non commercial " * 40 + "share alike, nd rules")[5]
+    assert labels == "cc-by-nc-nd-sa"
+    assert licenses.Searcher().scan("Creative Commons Attribution ncx share alike")[5] == "cc-by"
+
+
 def test_licenses_of_long_texts():
     row = licenses.Searcher().scan("word " * 400_000 + "GNU General Public License" + " word" * 10)
     assert row[:6] == (400_014, 1, 400_000, 400_000, "gpl", "gpl")
@@ -769,6 +775,36 @@ def test_html_hosts_beyond_a_broadcast(spark, monkeypatch):
     assert sorted(map(tuple, html.extracted(pages).collect())) == want
 
 
+def test_joins_deal_hot_keys_to_parts(spark, monkeypatch):
+    """A key with a third of all rows, and the null key, in an inner and a left join."""
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    many = common.written(spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("k"), F.col("id") % 500)).alias("key")))
+    few = spark.createDataFrame([("hot", 1), (None, 2), ("k7", 3), ("none", 4)], "key string, v int")
+    hot = common.hot_keys(many.groupBy("key").count(), many.count())
+    assert {r.key: r._parts for r in hot.collect()} == {"hot": 20, None: 20}
+    values = {r.key: r.v for r in few.collect()}
+    rows = [(r.id, r.key, values.get(r.key)) for r in many.collect()]
+    joined = common.spread_join(many, few, ["key"], ["id"], hot, "left")
+    assert joined.columns == ["id", "key", "v"] and as_bag(joined.collect()) == as_bag(rows)
+    assert as_bag(common.spread_join(many, few, ["key"], ["id"], hot).collect()) == as_bag(r for r in rows if r[2])
+
+
+def test_operators_with_hot_keys_and_beyond_broadcasts(docs, spark, monkeypatch):
+    bad = spark.createDataFrame([(r.source, r.source is None or i % 2 == 0) for i, r in enumerate(docs.select("source").distinct().collect())], "source string, host_rejected boolean")
+    counted = host_rules.written(host_rules.rule_counts(docs.select("doc_id", "text", "source")).drop("text"))
+    operators = [
+        lambda: mixing.mix(docs), lambda: neardup.near_duplicates(docs),
+        lambda: host_rules.judged(counted, bad, most), lambda: neardup.near_duplicates(docs, shingle=5),
+    ]
+    most = 100
+    want = [as_bag(f().collect()) for f in operators]
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    monkeypatch.setattr(common, "HOT_PARTS", 10**9)
+    monkeypatch.setattr(mixing, "MAX_BROADCAST_SOURCES", 0)
+    most = 0
+    assert [as_bag(f().collect()) for f in operators] == want
+
+
 def test_a_large_group_of_near_copies_stays_linear(spark):
     """Copies of which every third is too far from most others: rows out of the join on differences grow with the group."""
     made = []
