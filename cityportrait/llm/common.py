@@ -25,9 +25,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _SHIPPED: set[str] = set()
 
 
-def mapped(df: DataFrame, function, schema: str) -> DataFrame:
-    """mapInArrow, after sending this package to the executors (once per application)."""
-    sc = df.sparkSession.sparkContext
+def shipped(spark: SparkSession) -> None:
+    """Send this package to the executors (once per application)."""
+    sc = spark.sparkContext
     if sc.applicationId not in _SHIPPED:
         root = Path(__file__).resolve().parents[1]
         path = os.path.join(tempfile.mkdtemp(prefix="package-"), f"{root.name}.zip")
@@ -36,12 +36,28 @@ def mapped(df: DataFrame, function, schema: str) -> DataFrame:
                 z.write(f, f.relative_to(root.parent))
         sc.addPyFile(path)
         _SHIPPED.add(sc.applicationId)
+
+
+def mapped(df: DataFrame, function, schema: str) -> DataFrame:
+    """mapInArrow, after sending this package to the executors."""
+    shipped(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
-    return settled(df)
+def written(df: DataFrame, batch: int | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    batch: rows of an Arrow batch meanwhile, where rows are large.
+    """
+    if batch is None:
+        return settled(df)
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(batch))
+    try:
+        return settled(df)
+    finally:
+        conf.set(key, before)
 
 
 def small_or(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cityportrait.llm import host_rules, html, licenses, lm, media, mixing, neardup, pii, quality, spm, sql
+from cityportrait.llm import conversations, host_rules, html, licenses, lm, media, mixing, neardup, negatives, pii, quality, spm, sql, warc
 from cityportrait.llm.common import table
 
 
@@ -50,6 +50,18 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(table(spark, sf_dir, "conversations"))
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -62,8 +74,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_host_rules": op8_host_rules,
         "op9_neardup": op9_neardup,
         "op10_media": op10_media,
+        "op11_conversations": op11_conversations,
+        "op12_negatives": op12_negatives,
+        "op13_warc": op13_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_host_rules": sql.HOST_RULES, "op9_neardup": sql.NEAR_DUPLICATES}
+    return {
+        "op8_host_rules": sql.HOST_RULES,
+        "op9_neardup": sql.NEAR_DUPLICATES,
+        "op11_conversations": sql.CONVERSATIONS,
+        "op12_negatives": sql.HARD_NEGATIVES,
+        "op13_warc": sql.WARC,
+    }

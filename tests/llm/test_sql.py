@@ -22,7 +22,7 @@ def test_query_equals_sql(spark, name):
     assert sorted(df.columns) == sorted(columns) and rows(df.columns, df.collect()) == rows(columns, cur.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(queries.queries()))
+@pytest.mark.parametrize("name", sorted(set(queries.queries()) - {"op11_conversations", "op12_negatives"}))
 def test_query_returns_its_whole_table(spark, name):
-    source = "pages" if name == "op4_html" else "documents"
+    source = "pages" if name in ("op4_html", "op13_warc") else "documents"
     assert queries.queries()[name](spark, "/root/testdata/sf0.001").count() == spark.read.parquet(f"/root/testdata/sf0.001/{source}.parquet").count()
