@@ -21,7 +21,7 @@ def features(footprints: DataFrame) -> DataFrame:
     return d.dropna(subset=["footprint_area_m2", "height_m", "cap_proxy", "dist_cbd_km"])
 
 
-def feature_table(footprints: DataFrame, pumas: DataFrame, tracts: DataFrame | None = None, city: DataFrame | None = None, cell: float = spatial.CELL) -> DataFrame:
+def feature_table(footprints: DataFrame, pumas: DataFrame, tracts: DataFrame | None = None, city: DataFrame | None = None) -> DataFrame:
     """Features of the footprints in the city with the PUMA (and tract) that holds their centroid; rows lacking one go.
 
     Areas are ring tables; area_id is the PUMA's code or the tract's id. Of several areas the largest id counts.
@@ -29,10 +29,10 @@ def feature_table(footprints: DataFrame, pumas: DataFrame, tracts: DataFrame | N
     d = features(footprints)
     x, y = "centroid_lon", "centroid_lat"
     if city is not None:
-        d = spatial.inside_area(d, city, "bldg_id", x, y, cell)
+        d = spatial.inside_area(d, city, "bldg_id", x, y)
     for areas, name in ((pumas, "puma"), (tracts, "tract_geoid")):
         if areas is not None:
-            hit = spatial.points_in_areas(d, areas, "bldg_id", x=x, y=y, cell=cell).groupBy("bldg_id").agg(F.max("area_id").alias(name))
+            hit = spatial.points_in_areas(d, areas, "bldg_id", x=x, y=y).groupBy("bldg_id").agg(F.max("area_id").alias(name))
             d = d.drop(name).join(hit, "bldg_id")
     return front_columns(d.withColumn("puma", expr.area_code("puma")).dropna(subset=["puma"]))
 

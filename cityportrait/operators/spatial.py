@@ -1,4 +1,4 @@
-"""Spatial joins as equi-joins on grid cells, refined by bounds and ray casting in SQL expressions.
+"""Spatial joins as equi-joins on cells of each area's own grid, with ray casting in border cells only.
 
 Areas are ring tables (area_id, part, is_hole, ring). A point matches an area if the ray crosses the rings of its
 parts, holes among them, an odd number of times; left and lower borders count as inside.
@@ -6,31 +6,107 @@ parts, holes among them, an odd number of times; left and lower borders count as
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
-
-from cityportrait.functions import geo
-
-CELL = 0.01
-
-
-def _cells(areas: DataFrame, area_id: str, cell: float) -> DataFrame:
-    x0, y0, x1, y1 = geo.bounds(F.col("ring"))
-    b = areas.withColumns({"_x0": x0, "_y0": y0, "_x1": x1, "_y1": y1})
-    b = b.withColumn("_cx", F.explode(F.sequence(F.floor(F.col("_x0") / cell), F.floor(F.col("_x1") / cell))))
-    b = b.withColumn("_cy", F.explode(F.sequence(F.floor(F.col("_y0") / cell), F.floor(F.col("_y1") / cell))))
-    return b.select(area_id, "ring", "_x0", "_y0", "_x1", "_y1", "_cx", "_cy")
-
-
-def points_in_areas(points: DataFrame, areas: DataFrame, key: str, area_id: str = "area_id", x: str = "x", y: str = "y", cell: float = CELL, how: str = "inner") -> DataFrame:
+import math
+
+from pyspark.sql import DataFrame, Window as W, functions as F
+
+from cityportrait.functions import expr, geo
+from cityportrait.operators.lineage import settled
+
+#: Edges of a border cell, about: they set an area's cell size, which is a power of GROW; rows of more edges are halved.
+EDGES, GROW, BAND_EDGES = 8, 4, 8
+MOST_HALVINGS = 40
+
+
+def _edges(areas: DataFrame, area_id: str) -> DataFrame:
+    """(a, e, size, x1, y1, x2, y2): every edge once, written, with the cell size that its area's border asks for."""
+    e = areas.select(F.col(area_id).alias("a"), F.inline(geo.edges(F.col("ring")))).dropna()
+    extent = F.sum(F.abs(F.col("x2") - F.col("x1")) + F.abs(F.col("y2") - F.col("y1")))
+    sizes = e.groupBy("a").agg(F.count("*").alias("n"), extent.alias("w")).filter("w > 0")
+    power = F.floor(F.log(F.col("w") * EDGES / F.col("n")) / math.log(GROW)).cast("int")
+    sizes = sizes.select("a", power.alias("e")).withColumn("size", F.pow(F.lit(float(GROW)), F.col("e")))
+    return settled(e.join(sizes, "a"))
+
+
+def _rows(edges: DataFrame) -> DataFrame:
+    """The edges by row of their area's cells: cy, and the part of the edge in it (lo, hi along y, cx0 to cx1 along x)."""
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    r = edges.withColumn("cy", F.explode(F.sequence(F.floor(low / F.col("size")), F.floor(high / F.col("size")))))
+    r = r.withColumns({"lo": F.greatest(low, F.col("cy") * F.col("size")), "hi": F.least(high, (F.col("cy") + 1) * F.col("size"))})
+    at = lambda y: F.col("x1") + (F.col(y) - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+    flat = F.col("y1") == F.col("y2")
+    xa, xb = F.when(flat, F.col("x1")).otherwise(at("lo")), F.when(flat, F.col("x2")).otherwise(at("hi"))
+    # a cell too many at the side of an edge costs a ray cast, one too few would be wrong
+    slack = F.col("size") * 1e-6 + F.greatest(F.abs("x1"), F.abs("x2")) * 1e-14
+    return r.withColumns({"cx0": F.floor((F.least(xa, xb) - slack) / F.col("size")), "cx1": F.floor((F.greatest(xa, xb) + slack) / F.col("size"))})
+
+
+def _border(rows: DataFrame) -> DataFrame:
+    """(a, e, size, cy, cx, odd, next): the cells that edges touch. Where `next` is not the following cell, there is a
+    gap without edges; it is inside if `odd`: an odd number of edges cross the middle of the row up to here."""
+    middle = (F.col("cy") + 0.5) * F.col("size")
+    crosses = (F.col("y1") > middle) != (F.col("y2") > middle)
+    x = (F.col("x2") - F.col("x1")) * (middle - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
+    own = F.when(crosses, F.greatest(F.least(F.floor(x / F.col("size")), F.col("cx1")), F.col("cx0")))
+    c = rows.withColumn("own", own).withColumn("cx", F.explode(F.sequence("cx0", "cx1")))
+    c = c.groupBy("a", "e", "size", "cy", "cx").agg(F.count_if(F.col("own") == F.col("cx")).alias("n"))
+    w = W.partitionBy("a", "e", "size", "cy").orderBy("cx")
+    return c.withColumns({"odd": F.sum("n").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)) % 2 == 1, "next": F.lead("cx").over(w)}).drop("n")
+
+
+def _inner(border: DataFrame) -> DataFrame:
+    """(a, e, size, k, cy, cx): the gaps inside, cut into runs of GROW ** k cells that begin at a multiple of it."""
+    g = border.filter("odd AND next > cx + 1").select("a", "e", "size", "cy", (F.col("cx") + 1).alias("p"), F.col("next").alias("q"))
+    g = g.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.log2(F.col("q") - F.col("p")) / 2).cast("int"))))
+    # runs of this length lie from f to t, those of the next length cover from c to d
+    up, down = "-shiftright(-{v}, {s})", "shiftright({v}, {s})"
+    g = g.withColumns({n: F.expr(how.format(v=v, s=s)) for n, how, v, s in (("f", up, "p", "2 * k"), ("t", down, "q", "2 * k"), ("c", up, "p", "2 * k + 2"), ("d", down, "q", "2 * k + 2"))})
+    some = lambda lo, hi: F.expr(f"CASE WHEN {lo} < {hi} THEN sequence({lo}, {hi} - 1) ELSE cast(array() AS array<bigint>) END")
+    runs = F.when(F.col("c") < F.col("d"), F.concat(some("f", "4 * c"), some("4 * d", "t"))).otherwise(some("f", "t"))
+    return g.select("a", "e", "size", "k", "cy", F.explode(runs).alias("cx"))
+
+
+def _bands(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, cy, halvings) and (a, cy, band, edges): the edges of a row, halved along y as long as that makes lists shorter.
+
+    Edges as high as the row stay in all its bands, so a row has at most four times its edges.
+    """
+    r = rows.filter("y1 <> y2")
+    high = F.sum((F.col("hi") - F.col("lo")) / F.col("size"))
+    h = r.groupBy("a", "cy").agg(F.count("*").alias("n"), high.alias("s"))
+    halvings = F.least(F.floor(F.log2(3 * F.col("n") / F.greatest("s", F.lit(1e-12)))), F.lit(MOST_HALVINGS))
+    h = h.select("a", "cy", F.when(F.col("n") > BAND_EDGES, F.greatest(halvings, F.lit(0))).otherwise(0).cast("int").alias("halvings"))
+    b = r.join(h, ["a", "cy"])
+    band = lambda y: F.floor(F.col(y) / F.col("size") * F.pow(F.lit(2.0), F.col("halvings")))
+    b = b.withColumn("band", F.explode(F.sequence(band("lo"), band("hi"))))
+    return h, b.groupBy("a", "cy", "band").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
+
+
+def points_in_areas(points: DataFrame, areas: DataFrame, key: str, area_id: str = "area_id", x: str = "x", y: str = "y", how: str = "inner") -> DataFrame:
     """(key, area_id) of every area that holds the point; with how="left" also points without one, with null.
 
-    Catalyst picks a broadcast or a shuffle of the cells; every point is in one cell, so no pair comes twice.
+    Each area has a grid of its own size, so its cells are as many as its edges, whatever its extent. A point meets the
+    cells of its place by an equi-join: in a cell without edges it is inside without further tests, in a border cell
+    the edges of its row tell. Every point has one cell of an area, so no pair comes twice.
     """
-    p = points.select(key, F.col(x).alias("_px"), F.col(y).alias("_py")).withColumns({"_pcx": F.floor(F.col("_px") / cell), "_pcy": F.floor(F.col("_py") / cell)})
-    a = _cells(areas, area_id, cell)
-    j = p.join(a, (F.col("_pcx") == F.col("_cx")) & (F.col("_pcy") == F.col("_cy")))
-    j = j.filter((F.col("_px") >= F.col("_x0")) & (F.col("_px") <= F.col("_x1")) & (F.col("_py") >= F.col("_y0")) & (F.col("_py") <= F.col("_y1")))
-    hit = j.groupBy(key, area_id).agg((F.sum(geo.crossings(F.col("_px"), F.col("_py"), F.col("ring"))) % 2).alias("_odd")).filter("_odd = 1").select(key, area_id)
+    edges = _edges(areas, area_id)
+    rows = _rows(edges)
+    halvings, bands = _bands(rows)
+    border = _border(rows)
+    touched = border.join(halvings, ["a", "cy"], "left").select("a", "e", "size", F.lit(0).alias("k"), "cy", "cx", F.lit(False).alias("inside"), "halvings")
+    inner = _inner(border).select("a", "e", "size", "k", "cy", "cx", F.lit(True).alias("inside"), F.lit(None).cast("int").alias("halvings"))
+    cells = settled(touched.unionByName(inner))
+    # one pair for each cell size and length of runs: powers, so a few dozen
+    grids = [(r.e, r.size, r.k) for r in cells.select("e", "size", "k").distinct().collect()]
+    if not grids:
+        return points.select(key, F.lit(None).cast(dict(areas.dtypes)[area_id]).alias(area_id)).filter(F.lit(how != "inner")).distinct()
+    p = points.select(F.col(key).alias("_key"), F.col(x).cast("double").alias("_px"), F.col(y).cast("double").alias("_py")).filter(expr.finite("_px") & expr.finite("_py"))
+    p = p.withColumn("_g", F.explode(F.array(*[F.struct(F.lit(e).alias("e"), F.lit(size).alias("size"), F.lit(k).alias("k")) for e, size, k in sorted(grids)])))
+    p = p.select("_key", "_px", "_py", F.col("_g.e").alias("e"), F.col("_g.k").alias("k"), F.floor(F.col("_py") / F.col("_g.size")).alias("cy"), F.expr("shiftright(floor(_px / _g.size), 2 * _g.k)").alias("cx"))
+    j = p.join(cells, ["e", "k", "cy", "cx"])
+    near = j.filter("NOT inside").withColumn("band", F.floor(F.col("_py") / F.col("size") * F.pow(F.lit(2.0), F.col("halvings"))))
+    cast = near.join(bands, ["a", "cy", "band"]).filter(geo.crossings_of(F.col("_px"), F.col("_py"), F.col("edges")) % 2 == 1)
+    hit = j.filter("inside").select("_key", "a").unionByName(cast.select("_key", "a")).toDF(key, area_id)
     if how == "inner":
         return hit
     return points.select(key).distinct().join(hit, key, "left")
@@ -47,16 +123,16 @@ def area_centroids(areas: DataFrame, area_id: str = "area_id") -> DataFrame:
     return s.select(area_id, "area", F.try_divide("_mx", "area").alias("x"), F.try_divide("_my", "area").alias("y"))
 
 
-def crosswalk(inner: DataFrame, outer: DataFrame, inner_id: str = "area_id", outer_id: str = "area_id", cell: float = CELL) -> DataFrame:
+def crosswalk(inner: DataFrame, outer: DataFrame, inner_id: str = "area_id", outer_id: str = "area_id") -> DataFrame:
     """(from_id, to_id): the outer area that holds each inner area's centroid; of several the last; unmatched ones go."""
     points = area_centroids(inner, inner_id).select(F.col(inner_id).alias("from_id"), "x", "y")
-    hit = points_in_areas(points, outer.withColumnRenamed(outer_id, "to_id"), "from_id", "to_id", cell=cell)
+    hit = points_in_areas(points, outer.withColumnRenamed(outer_id, "to_id"), "from_id", "to_id")
     return hit.groupBy("from_id").agg(F.max("to_id").alias("to_id"))
 
 
-def inside_area(points: DataFrame, areas: DataFrame, key: str, x: str = "x", y: str = "y", cell: float = CELL) -> DataFrame:
+def inside_area(points: DataFrame, areas: DataFrame, key: str, x: str = "x", y: str = "y") -> DataFrame:
     """The points, all columns, that lie in any of the areas."""
-    return points.join(points_in_areas(points, areas, key, x=x, y=y, cell=cell).select(key).distinct(), key, "left_semi")
+    return points.join(points_in_areas(points, areas, key, x=x, y=y).select(key).distinct(), key, "left_semi")
 
 
 def select_area(areas: DataFrame, name: str, column: str = "name") -> DataFrame:

@@ -64,7 +64,7 @@ def ext13_household_consistency(spark, d):
 def joi2_centroid_crosswalk(spark, d):
     corner = lambda i, j: F.struct((F.col("x") + i).alias("x"), (F.col("y") + j).alias("y"))
     squares = parts(spark, d).select("bldg_id", F.lit(False).alias("is_hole"), F.array(corner(-0.25, -0.25), corner(0.25, -0.25), corner(0.25, 0.25), corner(-0.25, 0.25)).alias("ring"))
-    return spatial.crosswalk(squares, areas(spark), "bldg_id", "area_id", cell=0.5)
+    return spatial.crosswalk(squares, areas(spark), "bldg_id", "area_id")
 
 
 @query("""WITH p AS (SELECT c_custkey, c_nationkey FROM customer), s AS (SELECT s_nationkey, min(s_suppkey) AS first_bldg, count(*) AS n FROM supplier GROUP BY 1)

@@ -49,19 +49,19 @@ _PIP = f"""WITH {PARTS}, {_edges_sql()}, hit AS (SELECT bldg_id, area_id FROM pr
 
 @query(_PIP + " SELECT prt.bldg_id, hit.area_id FROM prt LEFT JOIN hit ON prt.bldg_id = hit.bldg_id")
 def joi1_point_in_polygon(spark, d):
-    return spatial.points_in_areas(parts(spark, d), areas(spark), "bldg_id", cell=0.5, how="left")
+    return spatial.points_in_areas(parts(spark, d), areas(spark), "bldg_id", how="left")
 
 
 @query(_PIP + " SELECT area_id, arg_max(prt.bldg_id, lpad((value * 100)::BIGINT::VARCHAR, 15, '0') || lpad((100000000 - prt.bldg_id)::VARCHAR, 12, '0')) AS bldg_id FROM prt JOIN hit ON prt.bldg_id = hit.bldg_id GROUP BY area_id")
 def joi3_best_match(spark, d):
-    hit = spatial.points_in_areas(parts(spark, d), areas(spark), "bldg_id", cell=0.5).join(parts(spark, d).select("bldg_id", "value"), "bldg_id")
+    hit = spatial.points_in_areas(parts(spark, d), areas(spark), "bldg_id").join(parts(spark, d).select("bldg_id", "value"), "bldg_id")
     return spatial.best_per_key(hit, "area_id", "value", "bldg_id").select("area_id", "bldg_id")
 
 
 @query(_PIP + " SELECT DISTINCT prt.bldg_id, value FROM prt JOIN hit ON prt.bldg_id = hit.bldg_id WHERE area_id = 'B'")
 def joi5_inside_city(spark, d):
     city = spatial.select_area(areas(spark), " b ")
-    return spatial.inside_area(parts(spark, d), city, "bldg_id", cell=0.5).select("bldg_id", "value")
+    return spatial.inside_area(parts(spark, d), city, "bldg_id").select("bldg_id", "value")
 
 
 def blocks(p: DataFrame) -> DataFrame:
@@ -249,7 +249,7 @@ def joi6_left_attributes(spark, d):
 def building_feature_table(spark, d):
     p = parts(spark, d).select("bldg_id", "footprint_area_m2", "height_m", F.col("x").alias("centroid_lon"), F.col("y").alias("centroid_lat"))
     pumas = areas(spark).withColumn("area_id", (F.ascii("area_id") - 64).cast("string"))
-    f = buildings.feature_table(p, pumas, _tracts(spark, d).withColumn("area_id", F.lpad(F.col("area_id").cast("string"), 6, "0")), areas(spark), cell=0.5)
+    f = buildings.feature_table(p, pumas, _tracts(spark, d).withColumn("area_id", F.lpad(F.col("area_id").cast("string"), 6, "0")), areas(spark))
     return f.select("bldg_id", "puma", "tract_geoid", "footprint_area_m2", "height_m", "cap_proxy")
 
 
@@ -264,7 +264,7 @@ def _tracts(spark, d):
   SELECT bldg_id, parcel, greatest(coalesce(s_acctbal, 0), 0)::DOUBLE AS parcel_assessed_value FROM prt LEFT JOIN tr ON x >= cx - 0.5 AND x < cx + 0.5 AND y >= cy - 0.5 AND y < cy + 0.5""")
 def joi4_parcels_without_dedup(spark, d):
     """Overlapping parcels multiply a building's rows; buildings without a parcel stay."""
-    hit = spatial.points_in_areas(parts(spark, d), _tracts(spark, d), "bldg_id", cell=0.5, how="left").withColumnRenamed("area_id", "parcel")
+    hit = spatial.points_in_areas(parts(spark, d), _tracts(spark, d), "bldg_id", how="left").withColumnRenamed("area_id", "parcel")
     values = table(spark, d, "supplier").select(F.col("s_suppkey").alias("parcel"), expr.non_negative("s_acctbal").alias("parcel_assessed_value"))
     return portrait.with_attributes(hit, values, "parcel").fillna(0.0, ["parcel_assessed_value"])
 

@@ -131,11 +131,11 @@ def test_repair_changes_only_the_named_field(spark):
 
 def test_spatial_join_plan_and_hole(spark):
     points = spark.createDataFrame([(1, 1.5, 1.2), (2, 2.5, 2.0), (3, 20.0, 20.0)], "k int, x double, y double")
-    j = spatial.points_in_areas(points, places.areas(spark), "k", cell=0.5, how="left")
+    j = spatial.points_in_areas(points, places.areas(spark), "k", how="left")
     plan = j._jdf.queryExecution().toString()
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan and "Python" not in plan
     assert {r.k: r.area_id for r in j.collect()} == {1: "A", 2: None, 3: None}
-    cw = spatial.crosswalk(places.areas(spark), places.areas(spark).withColumnRenamed("area_id", "outer_id"), "area_id", "outer_id", cell=0.5)
+    cw = spatial.crosswalk(places.areas(spark), places.areas(spark).withColumnRenamed("area_id", "outer_id"), "area_id", "outer_id")
     assert cw.filter("from_id = to_id").count() >= 2
     with pytest.raises(ValueError):
         spatial.select_area(places.areas(spark), "nowhere")
