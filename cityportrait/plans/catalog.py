@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cityportrait.plans import allocation, extras, places, tables, validation
+from cityportrait.plans import allocation, extras, households, places, tables, validation
 
-_MODULES = (allocation, validation, places, extras, tables)
+_MODULES = (allocation, validation, places, extras, households, tables)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
