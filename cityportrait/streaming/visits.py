@@ -37,9 +37,11 @@ def home_work_pairs(home: DataFrame, work: DataFrame, device: str, home_area: st
     """(device, month, home, work): every home of a month with the device's workplaces of that month, and either alone.
 
     Works on batches and on streams. On streams both sides have a watermark and times at most `within` apart, so a
-    row that finds no partner is emitted with a null when none can come any more, and its state goes.
+    row that finds no partner is emitted with a null when none can come any more, and its state goes. Rows without a
+    device are left out.
     """
     month = F.date_trunc("month", F.col(ts).cast("timestamp"))
+    home, work = (d.filter(F.col(device).isNotNull()) for d in (home, work))
     h = home.select(F.col(device).alias("h_device"), F.col(home_area).alias("home"), month.alias("h_month"), F.col(ts).cast("timestamp").alias("h_ts")).withWatermark("h_ts", late)
     w = work.select(F.col(device).alias("w_device"), F.col(work_area).alias("work"), month.alias("w_month"), F.col(ts).cast("timestamp").alias("w_ts")).withWatermark("w_ts", late)
     on = F.expr(f"h_device = w_device AND h_month = w_month AND w_ts >= h_ts - INTERVAL {within} AND w_ts <= h_ts + INTERVAL {within}")
