@@ -6,20 +6,47 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cityportrait.functions import expr, geo
 from cityportrait.functions.checks import first_present, require_columns
+from cityportrait.sources import features
 
-PARCELS = "type string, features array<struct<type: string, properties: map<string,string>, geometry: struct<type: string, coordinates: string>>>"
+PARCEL = "type: string, properties: map<string,string>, geometry: struct<type: string, coordinates: string>"
 PARCEL_IDS = ["parcel_id", "parcelnum", "parcel_num", "parcelno", "pin", "objectid"]
 PARCEL_VALUES = ["assessed_value", "assessedvalue", "amt_assessed_value", "total_assessed_value", "sev"]
 
 
-def _csv(spark: SparkSession, path: str) -> DataFrame:
+def _csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.option("header", True).csv(path)
 
 
+def first_rows(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """The first n rows of CSV files in file order: by file name, and within a file by place.
+
+    Rows are counted by split, for one file first and then for twice as many at a time, until there are n; later
+    files are not read. Whole splits before the last one are taken as they are, of the last one its first rows.
+    """
+    names = [r.path for r in spark.read.format("binaryFile").load(path).select("path").orderBy("path").collect()]
+    split = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
+    taken: list[str] = []
+    counts: list = []
+    step = 1
+    while len(taken) < len(names) and sum(r["n"] for r in counts) < n:
+        more = names[len(taken) : len(taken) + step]
+        taken, step = taken + more, 2 * step
+        counts += _csv(spark, more).select(*split).groupBy("_file", "_block").agg(F.count("*").alias("n")).collect()
+    d = _csv(spark, taken or names)
+    before = 0
+    for r in sorted(counts, key=lambda r: (r["_file"], r["_block"])):
+        if before + r["n"] > n:
+            own = d.filter((split[0] == r["_file"]) & (split[1] == r["_block"]))
+            whole = d.filter((split[0] < r["_file"]) | ((split[0] == r["_file"]) & (split[1] < r["_block"])))
+            return whole.unionByName(own.orderBy(F.monotonically_increasing_id()).limit(n - before))
+        before += r["n"]
+    return d
+
+
 def persons(spark: SparkSession, path: str, columns: list[str], n_rows: int | None = None) -> DataFrame:
-    """Person microdata as text columns; with n_rows the first rows in file order (one file)."""
-    d = require_columns(_csv(spark, path), columns, "persons").select(*columns)
-    return d.limit(n_rows) if n_rows else d
+    """Person microdata as text columns; with n_rows the first rows in file order."""
+    d = first_rows(spark, path, n_rows) if n_rows else _csv(spark, path)
+    return require_columns(d, columns, "persons").select(*columns)
 
 
 def census(spark: SparkSession, path: str, table: str | None = None) -> DataFrame:
@@ -39,10 +66,12 @@ def buildings(spark: SparkSession, path: str, needed: list[str]) -> DataFrame:
     return d.withColumn("puma", expr.area_code("puma")) if "puma" in d.columns else d
 
 
-def parcels(spark: SparkSession, folder: str, pattern: str = "parcels_offset*.geojson") -> DataFrame:
-    """(parcel_id, assessed_value, part, ring) of chunked GeoJSON files, one task a file, in degrees; empty chunks give no rows."""
-    raw = spark.read.schema(PARCELS).option("multiLine", True).option("pathGlobFilter", pattern).json(folder)
-    f = raw.select(F.explode("features").alias("f")).select(F.col("f.properties").alias("p"), F.col("f.geometry").alias("g"))
+def parcels(spark: SparkSession, folder: str, pattern: str = "parcels_offset*.geojson", one_task_bytes: int = features.ONE_TASK_BYTES) -> DataFrame:
+    """(parcel_id, assessed_value, part, ring) of GeoJSON files, in degrees; empty chunks give no rows.
+
+    Files beyond one_task_bytes are read by many tasks.
+    """
+    f = features.features(spark, folder, pattern, PARCEL, one_task_bytes).select(F.col("properties").alias("p"), F.col("geometry").alias("g"))
     low = F.transform_keys("p", lambda k, v: F.lower(k))
     f = f.withColumn("p", low)
     pick = lambda names: F.coalesce(*[F.try_element_at("p", F.lit(n)) for n in names])
