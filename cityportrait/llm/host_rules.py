@@ -2,7 +2,7 @@
 
 Every document gets rule counts from its whole text. Rule failures are aggregated per host (the `source`
 column), each host's rate is shrunk with a beta prior whose two parameters are fitted to all hosts by the
-method of moments, and the verdict is joined back. A host is rejected if its shrunk rate lies above `max_rate`, or
+method of moments, hosts counting by their documents, and the verdict is joined back. A host is rejected if its shrunk rate lies above `max_rate`, or
 above the prior's mean by more than `deviations` of its standard deviations. A document that fails a base rule is
 rejected. On a rejected host a document is rejected as well if it fails a soft rule; a clean document stays wherever
 it stands.
@@ -25,6 +25,8 @@ SOFT = {"max_symbols_per_word": 0.5, "max_dup_line_share": 0.3, "min_mean_word":
 MAX_RATE = 0.5
 #: How far above the prior's mean a host's rate may lie, in standard deviations of the prior.
 DEVIATIONS = 2.0
+#: The prior counts at least as so many documents, so no host goes by a single one as long as a quarter fails at most.
+LEAST_WEIGHT = 2.0
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -75,21 +77,26 @@ def rule_counts(docs: DataFrame) -> DataFrame:
 def host_verdicts(counted: DataFrame, max_rate: float = MAX_RATE, deviations: float = DEVIATIONS) -> DataFrame:
     """(source, host_rate, host_rejected), one row per host of a written table of counts.
 
-    The beta prior has the mean of the hosts' rates, and their variance less what drawing so many documents from one
-    rate gives by itself; without spread between hosts (or with one host) its weight is one document.
+    The beta prior's mean is the share of all documents that fail. Its weight follows from the correlation within
+    hosts, the part of the hosts' spread that drawing so many documents from one rate would not give by itself, every
+    host counting by its documents. Without any such correlation, or where it can't be told (one host, or hosts of one
+    document each), rates are shrunk fully to the mean, so no host stands out.
     """
     hosts = written(
         counted.groupBy("source").agg(
             F.count("*").alias("n"), F.count_if(F.col("base_failed") | F.col("soft_failed")).alias("f")
         )
     )
-    m, v, each = hosts.select(F.avg(F.col("f") / F.col("n")), F.var_pop(F.col("f") / F.col("n")), F.avg(1 / F.col("n"))).first()
-    m = min(max(m if m is not None else 0.0, 1e-3), 1 - 1e-3)
-    v = v - m * (1 - m) * each if v else 0.0
-    weight = max(m * (1 - m) / v - 1, 1.0) if v > 1e-9 else 1.0
-    rate = (F.col("f") + F.lit(m * weight)) / (F.col("n") + F.lit(weight))
-    # without spread no host can stand out
-    most = min(max_rate, m + deviations * math.sqrt(m * (1 - m) / (weight + 1))) if v > 1e-9 else max_rate
+    k, n, f, squares, parts = hosts.select(F.count("*"), F.sum("n"), F.sum("f"), F.sum(F.col("n") * F.col("n").cast("double")), F.sum(F.col("f") * F.col("f").cast("double") / F.col("n"))).first()
+    m = min(max(f / n if n else 0.0, 1e-3), 1 - 1e-3)
+    spread, able = (parts - f * f / n, n - squares / n - (k - 1)) if n else (0.0, 0.0)
+    within = (spread / (m * (1 - m)) - (k - 1)) / able if able > 1e-6 else 0.0
+    if within > 1e-9:
+        weight = max(1 / min(within, 1.0) - 1, LEAST_WEIGHT)
+        rate = (F.col("f") + F.lit(m * weight)) / (F.col("n") + F.lit(weight))
+        most = min(max_rate, m + deviations * math.sqrt(m * (1 - m) / (weight + 1)))
+    else:
+        rate, most = F.lit(m), max_rate
     return hosts.select("source", rate.alias("host_rate"), (rate > most).alias("host_rejected"))
 
 

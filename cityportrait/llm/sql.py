@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from cityportrait.llm.conversations import DAMAGES, DELETE, INSERT, REROLE
-from cityportrait.llm.host_rules import DEVIATIONS, MAX_RATE, MAX_REPEAT_PERCENT, MIN_WORDS, SOFT
+from cityportrait.llm.host_rules import DEVIATIONS, LEAST_WEIGHT, MAX_RATE, MAX_REPEAT_PERCENT, MIN_WORDS, SOFT
 from cityportrait.llm.neardup import PERCENT
 from cityportrait.llm.negatives import ANCHOR_EVERY, LABELS, LEAST, MOST, MOVED_EVERY, NEGATIVES, POSITIVES, SCALE
 from cityportrait.llm.warc import BASE32, MIN_BYTES
@@ -24,10 +24,10 @@ j AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERC
         n_symbols > {SOFT["max_symbols_per_word"]} * n_words OR n_dup_lines > {SOFT["max_dup_line_share"]} * n_lines
         OR word_chars / greatest(n_words, 1)::DOUBLE < {SOFT["min_mean_word"]} OR word_chars / greatest(n_words, 1)::DOUBLE > {SOFT["max_mean_word"]} AS soft_failed FROM f),
 h AS (SELECT source, count(*) AS n, count_if(base_failed OR soft_failed) AS f FROM j GROUP BY 1),
-o AS (SELECT least(greatest(avg(f / n::DOUBLE), 0.001), 0.999) AS m, var_pop(f / n::DOUBLE) AS spread, avg(1 / n::DOUBLE) AS each FROM h),
-p AS (SELECT m, spread - m * (1 - m) * each AS v FROM o),
-q AS (SELECT m, v, CASE WHEN v > 1e-9 THEN greatest(m * (1 - m) / v - 1, 1.0) ELSE 1.0 END AS weight FROM p),
-b AS (SELECT source, (f + m * weight) / (n + weight) > CASE WHEN v > 1e-9 THEN least({MAX_RATE}, m + {DEVIATIONS} * sqrt(m * (1 - m) / (weight + 1))) ELSE {MAX_RATE} END AS bad FROM h, q)
+o AS (SELECT count(*) AS k, sum(n)::DOUBLE AS n, least(greatest(sum(f) / sum(n)::DOUBLE, 0.001), 0.999) AS m, sum(f * f / n::DOUBLE) - sum(f)::DOUBLE * sum(f) / sum(n) AS spread, sum(n * n::DOUBLE) AS squares FROM h),
+p AS (SELECT m, CASE WHEN n - squares / n - (k - 1) > 1e-6 THEN (spread / (m * (1 - m)) - (k - 1)) / (n - squares / n - (k - 1)) ELSE 0 END AS within FROM o),
+q AS (SELECT m, within, CASE WHEN within > 1e-9 THEN greatest(1 / least(within, 1.0) - 1, {LEAST_WEIGHT}) END AS weight FROM p),
+b AS (SELECT source, CASE WHEN weight IS NULL THEN m > {MAX_RATE} ELSE (f + m * weight) / (n + weight) > least({MAX_RATE}, m + {DEVIATIONS} * sqrt(m * (1 - m) / (weight + 1))) END AS bad FROM h, q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (bad AND soft_failed) AS kept
 FROM j JOIN b ON j.source IS NOT DISTINCT FROM b.source
 """

@@ -139,11 +139,16 @@ def brute_kept(rows):
     hosts = defaultdict(list)
     for k, (_, _, source) in enumerate(rows):
         hosts[source].append(base[k] or soft[k])
-    rates = [sum(x) / len(x) for x in hosts.values()]
-    m = min(max(sum(rates) / len(rates), 1e-3), 1 - 1e-3)
-    v = sum((x - sum(rates) / len(rates)) ** 2 for x in rates) / len(rates) - m * (1 - m) * sum(1 / len(x) for x in hosts.values()) / len(hosts)
-    weight = max(m * (1 - m) / v - 1, 1.0) if v > 1e-9 else 1.0
-    most = min(host_rules.MAX_RATE, m + host_rules.DEVIATIONS * math.sqrt(m * (1 - m) / (weight + 1))) if v > 1e-9 else host_rules.MAX_RATE
+    every = [x for own in hosts.values() for x in own]
+    m = min(max(sum(every) / len(every), 1e-3), 1 - 1e-3)
+    spread = sum(len(x) * (sum(x) / len(x) - sum(every) / len(every)) ** 2 for x in hosts.values())
+    able = len(every) - sum(len(x) ** 2 for x in hosts.values()) / len(every) - (len(hosts) - 1)
+    within = (spread / (m * (1 - m)) - (len(hosts) - 1)) / able if able > 1e-6 else 0
+    if within > 1e-9:
+        weight = max(1 / min(within, 1) - 1, host_rules.LEAST_WEIGHT)
+        most = min(host_rules.MAX_RATE, m + host_rules.DEVIATIONS * math.sqrt(m * (1 - m) / (weight + 1)))
+    else:
+        weight, most = 1e12, host_rules.MAX_RATE
     bad = {s for s, x in hosts.items() if (sum(x) + m * weight) / (len(x) + weight) > most}
     return [r for k, r in enumerate(rows) if not base[k] and not (r[2] in bad and soft[k])], len(bad)
 
@@ -166,6 +171,32 @@ def test_host_verdicts_reject_rows(spark):
     assert {i for i, in kept} == {i for i, _, _ in want}
 
 
+@pytest.mark.parametrize("per", [1, 3])
+def test_hosts_that_do_not_differ_reject_nothing(spark, per):
+    """Each host has a document or a few, one in seven odd, as one rate for all would give: every document stays."""
+    good = " ".join(f"word{i}" for i in range(80))
+    rng = np.random.default_rng(8)
+    rows = [(i, good.replace(" ", "## ") if rng.random() < 1 / 7 else good, f"h{i // per}") for i in range(700)]
+    d = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], SCHEMA)
+    assert host_rules.quality(d).filter("kept").count() == 700 and len(brute_kept(rows)[0]) == 700
+
+
+def test_hosts_of_any_size_that_differ(spark):
+    """Bad hosts among small and large ones: verdicts equal brute force, and a host never goes by a single document."""
+    good = " ".join(f"word{i}" for i in range(80))
+    odd, rng, rows = good.replace(" ", "## "), np.random.default_rng(9), []
+    for h in range(150):
+        rate = 0.8 if h % 10 == 0 else 0.05
+        rows += [(len(rows) + i, odd if rng.random() < rate else good, f"h{h}") for i in range(int(rng.choice([1, 2, 5, 40, 100])))]
+    d = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], SCHEMA)
+    want, bad = brute_kept(rows)
+    got = host_rules.quality(d).collect()
+    assert {r.doc_id for r in got if r.kept} == {r[0] for r in want} and 5 <= bad <= 20
+    sizes = Counter(s for *_, s in rows)
+    lost = {rows[r.doc_id][2] for r in got if not r.kept}
+    assert lost and all(sizes[s] > 1 for s in lost)
+
+
 def shingles(t, k=2):
     w = words(lowered(t))
     return set(zip(*[w[i:] for i in range(k)])) if len(w) >= k else {tuple(w)} if w else set()
