@@ -3,7 +3,8 @@
 Words are runs of ASCII letters and digits and of other characters, with A-Z lowered. A phrase's base places are
 where its words stand consecutively. The fuzzy search looks for whole notices with up to EDITS edits: a notice is
 split into EDITS + 1 pieces, one of which stands unchanged in any text that is close enough (pigeonhole); the places
-of the pieces give windows, and there the regex library's bounded-error matching verifies the edits and gives spans.
+of the pieces give stretches of words, and on each the regex library's bounded-error matching verifies the edits, so
+notices next to each other all count.
 The words that tell one license from another (KEYS) are whole words in a match and take one edit at most, short ones
 none. The words behind a Creative Commons notice complete its label.
 
@@ -13,6 +14,7 @@ gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -87,7 +89,7 @@ def bounded(notice: str, k: int) -> regex.Pattern:
     for i, w in enumerate(words):
         gap = " " if i else ""
         if w in KEYS:
-            key = b"(?:" + w.encode() + (b"){e<=1}" if len(w) >= EDITED_KEY else b")")
+            key = b"(?:" + w.encode() + (b"){e<=1:[^ ]}" if len(w) >= EDITED_KEY else b")")
             out += [part(plain + gap), edge + key + end]
             plain = ""
         else:
@@ -120,37 +122,47 @@ class Searcher:
                 at += len(p)
             self.notices.append((label, len(notice), k, parts, pattern))
 
-    def windows(self, text: bytes, length: int, k: int, parts: list[tuple[bytes, int]]) -> list[tuple[int, int]]:
-        """Merged stretches in which the notice can stand, by its pieces' exact places."""
-        out = []
+    def stretches(self, text: bytes, length: int, k: int, parts: list[tuple[bytes, int]]) -> set[tuple[int, int]]:
+        """Stretches of whole words in which the notice can stand, by its pieces' exact places.
+
+        Up to k edits move a match's beginning from where a piece says it is, and its end from its beginning, by k.
+        """
+        out: set[tuple[int, int]] = set()
         for p, at in parts:
             i = text.find(p)
             while i >= 0:
-                out.append((max(0, i - at - k - 1), min(len(text), i - at + length + k + 1)))
+                # a word begins after a space and ends before one
+                a = text.find(b" ", max(0, i - at - k - 1))
+                while 0 <= a < i - at + k:
+                    e = text.find(b" ", max(a + 2, a + 1 + length - k))
+                    while 0 <= e <= a + 1 + length + k:
+                        out.add((a + 1, e))
+                        e = text.find(b" ", e + 1)
+                    a = text.find(b" ", a + 1)
                 i = text.find(p, i + 1)
-        out.sort()
-        merged: list[tuple[int, int]] = []
-        for a, b in out:
-            if merged and a <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-            else:
-                merged.append((a, b))
-        return merged
+        return out
 
     def fuzzy(self, text: bytes) -> list[tuple[str, int, int, int]]:
-        """(label, start, end, edits) in the joined words."""
+        """(label, start, end, edits) in the joined words.
+
+        Of a notice's matches that overlap, the one of fewest edits counts, of equals the first and then the longest.
+        """
         found = []
         for label, length, k, parts, pattern in self.notices:
             # no piece, no place; a rare piece is asked for first
             if not any(p in text for p, _ in parts):
                 continue
-            for a, b in self.windows(text, length, k, parts):
-                # one character more on either side, for the word borders
-                lo, hi = max(0, a - 1), min(len(text), b + 1)
-                for m in pattern.finditer(text[lo:hi]):
-                    if (edits := sum(m.fuzzy_counts)) <= k:
-                        told = completed(label, text, lo + m.end()) if label == "cc-by" else label
-                        found.append((told, lo + m.start(), lo + m.end(), edits))
+            matches = []
+            for a, e in self.stretches(text, length, k, parts):
+                if (m := pattern.fullmatch(text, a, e)) and (edits := sum(m.fuzzy_counts)) <= k:
+                    matches.append((edits, a, -e))
+            taken: list[tuple[int, int]] = []
+            for edits, a, e in sorted(matches):
+                place = bisect(taken, (a, len(text)))
+                if (place and taken[place - 1][1] > a) or (place < len(taken) and taken[place][0] < -e):
+                    continue
+                taken.insert(place, (a, -e))
+                found.append((completed(label, text, -e) if label == "cc-by" else label, a, -e, edits))
         return found
 
     def scan(self, text: str | None) -> tuple:
@@ -173,7 +185,7 @@ class Searcher:
             best = min(e for _, _, _, e in spans)
             score = max(score, 1.0 - 0.1 * best)
         first, last = (word(min(starts)), word(max(starts))) if starts else (None, None)
-        told = [(lab, word(a + 1) - 1 if t[a : a + 1] == b" " else word(a) - 1, t[a:b].decode("utf-8", "replace").strip(), e) for lab, a, b, e in spans]
+        told = [(lab, word(a) - 1, t[a:b].decode("utf-8", "replace"), e) for lab, a, b, e in sorted(spans, key=lambda x: x[1:])]
         return n_words, places, first, last, ",".join(sorted(labels)), ",".join(sorted(more)), score, told
 
 

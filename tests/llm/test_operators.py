@@ -476,8 +476,8 @@ def distance(a, b):
     return row[-1]
 
 
-def brute_edits(text, notice, k):
-    """The least edits of a stretch of whole words, each key of the notice aligned to a whole word; None beyond k."""
+def brute_matches(text, notice, k):
+    """{(start, end): least edits} of all stretches of whole words, each key of the notice aligned to a whole word."""
     words = notice.split()
     keys = [i for i, w in enumerate(words) if w in licenses.KEYS]
 
@@ -490,27 +490,39 @@ def brute_edits(text, notice, k):
 
     starts = [m.start() for m in re.finditer(r"(?<![^ ])[^ ]", text)]
     ends = [m.end() for m in re.finditer(r"[^ ](?![^ ])", text)]
-    best = None
+    best = {}
 
-    def walk(i, at, used):
-        nonlocal best
-        if used > k or (best is not None and used >= best):
+    def walk(i, at, used, begin):
+        if used > k:
             return
         if i == len(keys):
             for e in ends:
-                if e >= at and abs(e - at - len(parts(i))) <= k and (d := distance(text[at:e], parts(i))) <= k and used + d <= k:
-                    best = used + d if best is None else min(best, used + d)
+                if e >= at and e > begin and abs(e - at - len(parts(i))) <= k and used + (d := distance(text[at:e], parts(i))) <= k:
+                    best[begin, e] = min(used + d, best.get((begin, e), k))
             return
         key = words[keys[i]]
         for a, e in zip(starts, ends):
             if a >= at and abs(a - at - len(parts(i))) <= k and (w := distance(text[a:e], key)) <= (len(key) >= licenses.EDITED_KEY):
-                walk(i + 1, e, used + w + distance(text[at:a], parts(i)))
+                walk(i + 1, e, used + w + distance(text[at:a], parts(i)), begin)
 
     for a in starts:
-        walk(0, a, 0)
+        walk(0, a, 0, a)
     return best
 
 
+def brute_edits(text, notice, k):
+    return min(brute_matches(text, notice, k).values(), default=None)
+
+
+def brute_spans(text, notice, k):
+    """Matches of fewest edits, then the first, then the longest, as long as they don't overlap."""
+    out = []
+    for e, a, b in sorted((e, a, -b) for (a, b), e in brute_matches(text, notice, k).items()):
+        if all(-b <= x or a >= y for x, y, _ in out):
+            out.append((a, -b, e))
+    return sorted(out)
+
+
 def test_fuzzy_search_equals_brute_force():
     rng = np.random.default_rng(7)
     s = licenses.Searcher()
@@ -533,6 +545,33 @@ def test_fuzzy_search_equals_brute_force():
         assert found == want, text
 
 
+def test_several_damaged_notices_give_all_spans():
+    rng = np.random.default_rng(11)
+    s = licenses.Searcher()
+    notices = list(licenses.NOTICES)
+    for _ in range(60):
+        some = [notices[i] for i in rng.integers(len(notices), size=2)]
+        pieces = []
+        for _ in range(rng.integers(2, 5)):
+            notice = list(some[rng.integers(2)])
+            for _ in range(rng.integers(0, 4)):
+                k = rng.integers(len(notice))
+                notice[k : k + 1] = [[], ["q"], [notice[k], "z"], [" "]][rng.integers(4)]
+            pieces.append("".join(notice).strip())
+        text = ["", " and ", " "][rng.integers(1, 3)].join(pieces)
+        joined = licenses.normal(text)
+        got = sorted((a, b, e) for label, a, b, e in s.fuzzy(joined))
+        plain = joined.decode()
+        want = sorted(x for n in licenses.NOTICES for x in brute_spans(plain, n, licenses.FEW_EDITS.get(n, licenses.EDITS)))
+        assert got == want, text
+
+
+@pytest.mark.parametrize("text", ["mozila public license mozilla public license", "released under the mit licence and released under the mit license", "mozilla public license mozilla public license mozila public license"])
+def test_notices_next_to_each_other_all_count(text):
+    told = licenses.Searcher().scan(text)[-1]
+    assert len(told) == text.count("public") + text.count("released") and [t[1] for t in told] == sorted(t[1] for t in told)
+
+
 def test_all_conditions_of_a_notice_count():
     labels = licenses.Searcher().scan("Creative Commons Attribution " + "non commercial " * 40 + "share alike, nd rules")[5]
     assert labels == "cc-by-nc-nd-sa"
