@@ -821,6 +821,23 @@ def test_classes_and_forms_that_hold_the_article(page, text):
     assert html.main_text(page, None) == text
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<section aria-label='A hidden gem'>article</section>", "article"), ("<p title='hidden treasures of the town'>para</p>", "para"), ("<div data-id='nav'>text</div>", "text"),
+    ("<article data-role='navigation'>text</article>", "text"), ("<div data-class='nav' data-hidden title=class=nav>text</div>", "text"),
+    *[(f"<{tag}>Some words here.</{tag.split()[0]}>", "Some words here.") for tag in ("article class='share'", "div class='content form'", "div class='widget'", "div class='story search'", "div class='ad'", "div class=comments")],
+    ("<article class='banner'><p>One of it</p></article><article><p>A longer one is here, with more words</p></article>", "One of it\n\nA longer one is here, with more words"),
+    ("<article>a <span hidden>secret</span> b <span class='advert'>x <span>y</span> z</span> c <ins class='adsbygoogle'>y</ins> d <b style='display: none'>e</b></article>", "a b c d"),
+    ("<article><p>a <span hidden>open</p><p>b</p></article>", "a\n\nb"), ("<article><p>x <span class='comment'>// code</span></p></article>", "x // code"),
+    ("<p class=a class=ads>first</p>", "first"), ("<div HIDDEN>no</div><div Class='Ad-Slot'>no</div><p>yes of course</p>", "yes of course"), ('<p title="5" tall" hidden="">no</p><p>yes', "yes"),
+    *[(f"<article><p>words of it</p><div {k}='{c}'>noise</div></article>", "words of it") for k in ("class", "id") for c in "post-comments comment-body commentlist disqus_thread ad-slot google-ads cookie-law-info-bar related-articles".split()],
+    *[(f"<article><p>words of it</p><div class='{c}'>more</div></article>", "words of it\n\nmore") for c in "comments-open has-comments no-sidebar category-cookies adhoc shared-values navigate".split()],
+    ("<div class=post><p>Short.</p></div><div id=comments>" + "<p>A long comment by a reader.</p>" * 9 + "</div>", "Short."),
+    ("<div class=menu>" + "<a href=x>A link of many words</a> " * 9 + "</div><p>Short one.</p>", "Short one."),
+])
+def test_attributes_and_names_neither_lose_articles_nor_keep_furniture(page, text):
+    assert html.main_text(page, None) == text
+
+
 def test_html_repeated_text_of_the_article_stays(spark):
     """Headings and closing words that all pages have are the article's, in an article; between slots elsewhere."""
     one = "<div class=c1>Home News</div><article><h1>Title {i}</h1><h2>Intro</h2><p>{a}</p><p>Thanks for reading.</p></article>"
