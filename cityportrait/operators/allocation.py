@@ -83,14 +83,15 @@ def allocate(
     if method != "income_price_match":
         weight = F.lit(1.0) if method == "random" else F.col(capacity)
         return draw(p, weight_slices(b, [group], building, weight), [group], building, "_u").drop("_u")
-    p = settled(tiers.income_tier(p, group, income, person, n_tiers))
-    b = settled(b.withColumn("_tier", F.coalesce(F.col(tier).try_cast("int"), F.lit(0))))
+    p = tiers.income_tier(p, group, income, person, n_tiers)
+    b = b.withColumn("_tier", F.coalesce(F.col(tier).try_cast("int"), F.lit(0))).select(group, building, capacity, "_tier")
     offered = b.filter("_tier > 0").groupBy(F.col(group).alias("_og")).agg(F.array_sort(F.collect_set("_tier")).alias("_tiers"))
-    p = p.join(offered, F.col(group) == F.col("_og"), "left").drop("_og")
     # tier 0 stands for a group without tiers, whose buildings are all offered
+    offered = settled(offered)
+    options = b.join(offered, F.col(group) == F.col("_og"), "left").filter(F.col("_og").isNull() | (F.col("_tier") > 0))
+    options = settled(options.select(group, building, capacity, F.when(F.col("_og").isNull(), 0).otherwise(F.col("_tier")).alias("_tier")))
+    p = p.join(offered, F.col(group) == F.col("_og"), "left").drop("_og")
     p = p.withColumn("_tier", F.coalesce(expr.nearest_tier(F.col("_tiers"), F.col("desired_tier")), F.lit(0)))
-    untiered = b.join(offered.select("_og"), F.col(group) == F.col("_og"), "left_anti")
-    options = b.filter("_tier > 0").unionByName(untiered.withColumn("_tier", F.lit(0)))
     out = draw(p, weight_slices(options, [group, "_tier"], building, F.col(capacity)), [group, "_tier"], building, "_u")
     used = F.when(F.col("_tier") > 0, F.col("_tier"))
     return out.select(*persons.columns, building, "desired_tier", used.alias("used_tier"), (used.isNotNull() & (used != F.col("desired_tier"))).alias("tier_fallback"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 #: Quantiles taken of a column, and the least number of buckets; the number grows with the rows up to CUTS.
 CUTS, BUCKETS = 1024, 64
 ROWS_PER_BUCKET = 1_000_000
+WIDTH = 32
 
 
 def renamed(df: DataFrame, names: list[str], prefix: str = "_k_") -> DataFrame:
@@ -56,35 +57,54 @@ def _number(df: DataFrame, column: str) -> Column:
     return F.col(column).cast("double")
 
 
-def _place(cuts: list[float], v: str, alone: bool) -> str:
-    """SQL of the number of cuts at or below v, as a search tree; with `alone` doubled, odd where v is a cut itself."""
+def _place(cuts: list[float], v: str) -> str:
+    """SQL of the number of cuts at or below v: first among every WIDTH-th cut, then among the WIDTH behind it."""
+    if not cuts:
+        return "0"
+    array = lambda x: f"array({', '.join(f'{c!r}D' for c in x)})"
+    if len(cuts) <= 2 * WIDTH:
+        return f"size(filter({array(cuts)}, c -> c <= {v}))"
+    coarse = f"size(filter({array(cuts[WIDTH - 1 :: WIDTH])}, c -> c <= {v}))"
+    return f"{WIDTH} * {coarse} + size(filter(slice({array(cuts)}, {WIDTH} * {coarse} + 1, {WIDTH}), c -> c <= {v}))"
 
-    def tree(lo: int, hi: int) -> str:
-        if lo == hi:
-            return (f"CASE WHEN {v} = {cuts[lo - 1]!r}D THEN {2 * lo - 1} ELSE {2 * lo} END" if lo else "0") if alone else str(lo)
-        mid = (lo + hi) // 2
-        return f"CASE WHEN {v} < {cuts[mid]!r}D THEN {tree(lo, mid)} ELSE {tree(mid + 1, hi)} END"
 
-    return tree(0, len(cuts))
+def _cuts(d: DataFrame, column: str, n: int) -> tuple[list[float], list[float]]:
+    """The finite approximate quantiles of a column that deal n rows to buckets, and those that come more than once."""
+    many = min(CUTS, max(BUCKETS, n // ROWS_PER_BUCKET + 1))
+    found = d.agg(F.percentile_approx(column, [i / many for i in range(1, many)], 10 * many)).first()[0] or []
+    found = [float(c) for c in found if c == c and abs(c) != float("inf")]
+    return sorted(set(found)), sorted({x for x, y in zip(found, found[1:], strict=False) if x == y})
 
 
 def with_bucket(df: DataFrame, value: str, tie: str) -> DataFrame:
     """Add `_bucket`, which never falls along (value, tie); nulls come first.
 
     Cuts are approximate quantiles of the whole column. A row whose value is a cut shares its bucket with equal values
-    only, so these are dealt again by quantiles of the tie key.
+    only. A value that is a cut more than once has more rows than a bucket should, so these are dealt again by
+    quantiles of the tie key; so are null values if there are as many. Only then is the tie key looked at.
     """
-    points = [i / CUTS for i in range(1, CUTS)]
     d = df.select(_number(df, value).alias("v"), _number(df, tie).alias("t"))
-    n, vs, ts = d.agg(F.count("*"), F.percentile_approx("v", points, 10_000), F.percentile_approx("t", points, 10_000)).first()
-    step = max(1, CUTS // max(BUCKETS, n // ROWS_PER_BUCKET + 1))
-    some = lambda cuts: sorted({float(c) for c in (cuts or [])[step - 1 :: step] if c == c and abs(c) != float("inf")})
-    vs, ts = some(vs), some(ts)
+    few = [i / BUCKETS for i in range(1, BUCKETS)]
+    n, nulls, found = d.agg(F.count("*"), F.count_if(F.col("v").isNull()), F.percentile_approx("v", few, 10 * BUCKETS)).first()
+    if n > BUCKETS * ROWS_PER_BUCKET:
+        vs, heavy = _cuts(d, "v", n)
+    else:
+        found = [float(c) for c in (found or []) if c == c and abs(c) != float("inf")]
+        vs, heavy = sorted(set(found)), sorted({x for x, y in zip(found, found[1:], strict=False) if x == y})
+    again = F.col("v").isin(heavy) if heavy else F.lit(False)
+    if nulls > n / BUCKETS:
+        again = again | F.col("v").isNull()
+    ts = _cuts(d.filter(again), "t", n)[0] if heavy or nulls > n / BUCKETS else []
     d = df.withColumns({"_bv": _number(df, value), "_bt": _number(df, tie)})
-    d = d.withColumn("_at", F.expr(f"CASE WHEN _bv IS NULL THEN -1 ELSE {_place(vs, '_bv', True)} END"))
-    # null values are all equal, so they are dealt by the tie key too
-    alone = (F.col("_at") % 2 != 0) & F.col("_bt").isNotNull()
-    return d.withColumn("_bucket", F.col("_at") * CUTS + F.when(alone, F.expr(_place(ts, "_bt", False))).otherwise(0)).drop("_bv", "_bt", "_at")
+    at = F.expr(f"CASE WHEN _bv IS NULL THEN -1 ELSE 2 * ({_place(vs, '_bv')}) END")
+    if vs:
+        # odd where the value is a cut itself
+        cut = F.array_contains(F.array(*[F.lit(c) for c in vs]), F.col("_bv"))
+        at = at - F.when(F.col("_bv").isNotNull() & cut, 1).otherwise(0)
+    bucket = at * CUTS
+    if ts:
+        bucket = bucket + F.when((F.col("_bv").isNull() | (F.col("_bv").isin(heavy) if heavy else F.lit(False))) & F.col("_bt").isNotNull(), F.expr(_place(ts, "_bt"))).otherwise(0)
+    return d.withColumn("_bucket", bucket.cast("int")).drop("_bv", "_bt")
 
 
 def placed(df: DataFrame, group: list[str], value: str, tie: str, rank: str = "rank", n: str = "n") -> DataFrame:
