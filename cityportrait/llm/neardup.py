@@ -8,12 +8,13 @@ are candidates; a link counts once the full sets confirm it.
 Equal sets are one class and meet only once. Each class is first checked against the pivot it meets in most bands,
 a pivot being the member of a bucket that meets most others. What then remains between components is narrowed by an
 exact rule on how two sets differ from their group's centre, joined on the rare differences only (see
-_between_components), so a group of many near copies is never expanded into its pairs while no link between
-components is lost. Keys that many rows share (a large group's bands, pivot, centre and representative) are joined in
+_between_components), so a group of many near copies is not expanded into its pairs, and no link between components is
+lost. Where most documents of a group share many differences with each other and yet are too far apart to be linked,
+as pages filled in from one list of a few dozen phrases, most of their pairs do meet and are checked. Keys that many rows share (a large group's bands, pivot, centre and representative) are joined in
 parts. Sketches miss a pair at a similarity of 0.8 with probability (1 - 0.8**8)**64, below 8e-6 (see bands_for).
 
 Cases: null and empty texts have an empty set, link with nothing and stay; one word is a set of one; repeated rows of
-a doc_id are copies of each other; rows without a doc_id are never linked and stay; an empty table gives an empty
+a doc_id count as one document, with different texts by the first of them in order; rows without a doc_id are never linked and stay; an empty table gives an empty
 table; other columns are ignored.
 """
 
@@ -179,7 +180,13 @@ def sets_of(docs: DataFrame, ids: DataFrame, shingle: int = SHINGLE) -> DataFram
     """(id, hashes): the shingle sets of the documents whose id is in the written table `ids`. No other text is read."""
     near, _ = small_or(ids, MAX_BROADCAST_IDS)
     picked = docs.select("doc_id", "text").join(near, F.col("doc_id") == F.col("id"), "left_semi")
-    return written(mapped(picked.dropDuplicates(["doc_id"]), partial(_set_batches, shingle=shingle), "id long, hashes array<long>"))
+    # only texts of ids that stand in several rows are moved
+    twice = written(picked.groupBy(F.col("doc_id").alias("_twice")).count().filter("count > 1").select("_twice"))
+    twice, _ = small_or(twice, MAX_BROADCAST_IDS)
+    again = F.col("doc_id") == F.col("_twice")
+    first = picked.join(twice, again, "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    once = picked.join(twice, again, "left_anti").unionByName(first)
+    return written(mapped(once, partial(_set_batches, shingle=shingle), "id long, hashes array<long>"))
 
 
 def confirmed(sets: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
