@@ -7,8 +7,9 @@ from its own count. With h1 the symbol before, h2 the one before that, E the emb
 position, a symbol w scores s = (E_h1 C1 + E_h2 C2) . E_w + b_w.
 
 Training starts on the table of symbol pairs, counted by Spark over all training documents: there the expectation of
-the noise-contrastive objective of E, C1 and b is exact. Then every task trains all parameters on its share of all
-training tokens, in batches with drawn noise symbols, and the tasks' parameters are averaged by tokens.
+the noise-contrastive objective of E, C1 and b is exact. Then all parameters are trained on each share of the training
+tokens, in batches with drawn noise symbols, and the shares' parameters are averaged by tokens. A document's share, the
+order within it and the draws follow from hashes, so the model does not depend on how the input is split.
 
 The sum over all symbols of exp(s) for every pair of context symbols is one matrix product, exp(S1) exp(S2)', so
 scores are normalised exactly and a token costs three look-ups.
@@ -27,6 +28,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +36,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from cityportrait.llm.common import mapped, written
 
-#: A word is a symbol of its own from this share and count of the training tokens on: at most 10,000 words by
-#: arithmetic, some 900 in natural text. Symbol tables have that size squared.
-LEAST_SHARE, LEAST_COUNT = 1e-4, 50
+#: A word is a symbol of its own from this share and count of the training tokens on, some 900 in natural text. Symbol
+#: tables have that size squared, so however even the words are, only the most frequent ones are; the others are in
+#: the classes, with their own counts' shares of them.
+LEAST_SHARE, LEAST_COUNT, MOST_WORDS = 1e-4, 50, 1_800
 N_CLASSES = 256
 DIM = 32
 #: Noise symbols a token in the objective on the pair table, and drawn ones a batch of tokens.
@@ -45,6 +48,8 @@ NOISE, DRAWN = 10, 32
 SMOOTH = 30.0
 STEPS, RATE = 250, 0.05
 BATCH, BATCH_RATE = 2048, 0.02
+#: Training tokens of a share, about, the most shares, and documents of a share that are trained on at a time.
+SHARE_TOKENS, MOST_SHARES, SHARE_ROWS = 1_000_000, 1_000, 2_000
 SEED = 11
 #: Words whose counts are broadcast.
 HEAD = 200_000
@@ -246,7 +251,7 @@ def train(docs: DataFrame) -> Trained:
     counts = written(mapped(d.filter(~F.col("held_out")).select("text"), _count_batches, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     head = frequent(counts, HEAD)
-    n_words = sum(r.c >= max(LEAST_COUNT, LEAST_SHARE * n) and bytes(r.word) != END for r in head)
+    n_words = min(MOST_WORDS, sum(r.c >= max(LEAST_COUNT, LEAST_SHARE * n) and bytes(r.word) != END for r in head))
     words = Words([bytes(r.word) for r in head], [r.c for r in head], n_words)
     shared, m = spark.sparkContext.broadcast(words), words.n_symbols
 
@@ -311,21 +316,38 @@ def train(docs: DataFrame) -> Trained:
     model = LogBilinear(pairs.reshape(m, m))
     begun = spark.sparkContext.broadcast(model)
 
+    shares = min(MOST_SHARES, max(1, -(-n // SHARE_TOKENS)))
+    hashed = F.xxhash64("doc_id", "symbols")
+    dealt = encoded.filter(~F.col("held_out")).select(F.pmod(hashed, F.lit(shares)).cast("int").alias("share"), hashed.alias("hash"), "symbols")
+    dealt = dealt.repartition(shares, "share").sortWithinPartitions("share", "hash").select("share", "symbols")
+
     def refine_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, rng, seen = begun.value, np.random.default_rng(SEED), 0
+        own = begun.value
         begin = own.state()
-        # single precision halves the time of the steps
-        own.restore(begin.astype(np.float32))
-        squares = [np.full(x.shape, 1e-3, np.float32) for x in (own.e, own.c1, own.c2, own.b)]
-        for batch in batches:
-            h2, h1, w, _ = contexts(batch.column(0))
-            own.refine(h2, h1, w, rng, squares)
-            seen += len(w)
-        state = np.append(own.state().astype(np.float64) * seen, seen)
+
+        def trained(rows: Iterator[list]) -> np.ndarray:
+            """One share's parameters, times its tokens, and these; rows come in lists of SHARE_ROWS."""
+            # single precision halves the time of the steps
+            own.restore(begin.astype(np.float32))
+            squares = [np.full(x.shape, 1e-3, np.float32) for x in (own.e, own.c1, own.c2, own.b)]
+            seen = 0
+            for part in rows:
+                h2, h1, w, _ = contexts(pa.array(part, pa.binary()))
+                own.refine(h2, h1, w, rng, squares)
+                seen += len(w)
+            return np.append(own.state().astype(np.float64) * seen, seen)
+
+        def flat() -> Iterator[tuple[int, bytes]]:
+            for batch in batches:
+                yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+
+        for share, rows in groupby(flat(), lambda r: r[0]):
+            rng = np.random.default_rng([SEED, share])
+            state = trained(iter(lambda rows=rows: [r[1] for r in islice(rows, SHARE_ROWS)], []))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(state), dtype=np.int32)), pa.array(state)], ["place", "value"])
         own.restore(begin)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(state), dtype=np.int32)), pa.array(state)], ["place", "value"])
 
-    summed = mapped(learnt, refine_batches, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).toArrow()
+    summed = mapped(dealt, refine_batches, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).toArrow()
     state = np.zeros(len(model.state()) + 1)
     state[summed.column("place").to_numpy()] = summed.column("value").to_numpy()
     if state[-1]:

@@ -404,13 +404,28 @@ def test_lm_is_normalised_and_learns():
     assert held(m) > before + 0.2
 
 
-def test_lm_score_equals_brute_force(spark):
-    """Every token's probability by the formula, over all symbols, and its share of its class."""
+def test_lm_does_not_depend_on_partitions(spark, monkeypatch):
+    """Shares, their order and the draws follow from the documents: also with several shares, repeated rows and nulls."""
+    monkeypatch.setattr(lm, "SHARE_TOKENS", 20_000)
+    monkeypatch.setattr(lm, "SHARE_ROWS", 30)
+    d = spark.read.parquet(f"{SF}/documents.parquet").unionByName(spark.createDataFrame(EXTRA, SCHEMA))
+    runs = []
+    for n in (1, 3, 8):
+        runs.append({(r.doc_id, r.n_tokens): r.score for r in lm.scored(d.repartition(n, F.rand(n))).collect()})
+    for other in runs[1:]:
+        assert set(other) == set(runs[0]) and all(math.isclose(other[k], x, rel_tol=1e-6, abs_tol=1e-6) for k, x in runs[0].items())
+
+
+@pytest.mark.parametrize("most", [1_800, 4])
+def test_lm_score_equals_brute_force(spark, monkeypatch, most):
+    """Every token's probability by the formula, over all symbols, and its share of its class; also where few words may be symbols."""
+    monkeypatch.setattr(lm, "MOST_WORDS", most)
     rows = [(i, " ".join(f"w{(i * 7 + j * j) % (5 + i % 9)}" for j in range(60)) + (" rare%d" % i if i % 3 else ""), "en", "s", 0) for i in range(40)] + [(50, None, "en", "s", 0), (51, "", "en", "s", 0), (52, "unseen words only", "en", "s", 0)]
     t = lm.train(spark.createDataFrame(rows, SCHEMA))
     c = {bytes(r.word): r.c for r in t.counts.collect()}
     k, m = t.words, t.model
-    assert {w for w, n in c.items() if n >= lm.LEAST_COUNT} - {lm.END} == {w for w, i in k.place.items() if 0 < i <= k.n_words} and 0 < k.n_words < len(c)
+    able = sorted((w for w, n in c.items() if n >= lm.LEAST_COUNT and w != lm.END), key=lambda w: (-c[w], w))
+    assert set(able[:most]) == {w for w, i in k.place.items() if 0 < i <= k.n_words} and 0 < k.n_words < len(c) and (most > 4 or len(able) > 4)
     symbol = lambda w: 0 if w == lm.END else k.place[w] if 0 < k.place.get(w, -1) <= k.n_words else k.word_class(w)
     mass, kinds = Counter(), Counter()
     for w, n in c.items():
