@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cityportrait.functions import expr
+from cityportrait.functions import checks, expr
 from cityportrait.operators.lineage import new_path
 from cityportrait.plans.common import PARTS, PERSONS, SUPPLIERS, parts, persons, suppliers, table
 from cityportrait.plans.places import blocks
@@ -110,3 +110,50 @@ def snk5_geojson_file(spark, d):
     sinks.geojson(parts(spark, d), path, "x", "y", ["bldg_id", "height_m"])
     f = spark.read.schema("type string, geometry struct<type: string, coordinates: array<double>>, properties struct<bldg_id: long, height_m: double>").json(path)
     return f.select("properties.bldg_id", F.col("geometry.coordinates")[0].alias("lon"), F.col("geometry.coordinates")[1].alias("lat"), "properties.height_m")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 2500")
+def srt2_first_rows(spark, d):
+    """The first rows of a table in six files, whose order is that of the keys."""
+    path = new_path(spark)
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    o.repartitionByRange(6, "o_orderkey").sortWithinPartitions("o_orderkey").write.option("header", True).csv(path)
+    p = scans.persons(spark, path, ["o_orderkey", "o_totalprice"], 2500)
+    return p.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), expr.number("o_totalprice").alias("o_totalprice"))
+
+
+@query(f"""WITH {PERSONS} SELECT puma, max("AGEP") AS oldest, 'persons lacks the columns [''ESR'', ''WAGP'']' AS refusal FROM persons GROUP BY puma""")
+def prj1_required_columns(spark, d):
+    p = checks.require_columns(persons(spark, d), ["puma", "AGEP"], "persons")
+    try:
+        checks.require_columns(p, ["AGEP", "ESR", "WAGP"], "persons")
+        refusal = "none"
+    except ValueError as e:
+        refusal = str(e)
+    return p.groupBy("puma").agg(F.max("AGEP").alias("oldest"), F.lit(refusal).alias("refusal"))
+
+
+@query("SELECT p_partkey, p_retailprice AS value, p_size AS size FROM part")
+def prj8_first_present_column(spark, d):
+    p = table(spark, d, "part")
+    value, size = checks.first_present(p, ["assessed_value", "P_RetailPrice", "p_size"]), checks.first_present(p, ["P_SIZE", "p_retailprice"])
+    return p.select("p_partkey", F.col(value).alias("value"), F.col(size).alias("size"))
+
+
+def _by_flag(spark, d, requested):
+    l = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("variable")).agg(F.count("*").alias("n"))
+    available = [r.variable for r in l.select("variable").distinct().collect()]
+    scored, skipped = checks.split_requested(requested, available)
+    asked = spark.createDataFrame([(v, i + 1, False) for i, v in enumerate(scored)] + [(v, i + 1, True) for i, v in enumerate(skipped)], "variable string, place int, skipped boolean")
+    return asked.join(F.broadcast(l), "variable", "left").select("variable", "place", "skipped", "n")
+
+
+@query("SELECT l_returnflag AS variable, row_number() OVER (ORDER BY l_returnflag)::INT AS place, false AS skipped, count(*) AS n FROM lineitem GROUP BY l_returnflag")
+def prj19_all_variables(spark, d):
+    return _by_flag(spark, d, None)
+
+
+@query("""WITH q(variable, i) AS (VALUES ('R', 1), ('X', 2), ('A', 3), ('Z', 4)), l AS (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1)
+  SELECT variable, (row_number() OVER (PARTITION BY n IS NULL ORDER BY i))::INT AS place, n IS NULL AS skipped, n FROM q LEFT JOIN l ON variable = l_returnflag""")
+def set4_requested_minus_available(spark, d):
+    return _by_flag(spark, d, ["R", "X", "A", "R", "Z"])
