@@ -6,6 +6,7 @@ Every draw is hash_uniform(seed, key): the rows do not depend on partitioning. A
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -159,8 +160,8 @@ def subsample(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     return df.orderBy(expr.hash_uniform(seed, key), key).limit(n)
 
 
-#: Grids of the nearest-building search: so many, each cell STEP times as wide as the next one's.
-LEVELS, STEP = 10, 4
+#: Grids of the nearest-building search: so many, each cell STEP times as wide as the next one's, over so many features at most.
+LEVELS, STEP, AXES = 10, 4, 3
 
 
 def nearest_building(persons: DataFrame, buildings: DataFrame, person: str, building: str, area: str, features: dict[str, str], tier: str | None = None) -> DataFrame:
@@ -171,7 +172,9 @@ def nearest_building(persons: DataFrame, buildings: DataFrame, person: str, buil
 
     A person's own cell tells, from fine to coarse grids, how far the closest building can be; only the cells around
     the person on the next coarser grid are compared, so candidates follow the local density and not the area's size.
-    Buildings with equal features count once.
+    Grids lie over the AXES features that vary most; with more features than that, the closest building of the own
+    cell is found first, in all features, and its distance tells the grid. So a person looks at 27 cells at most,
+    however many features there are. Buildings with equal features count once.
     """
     n = len(features)
     both = [F.min(b) for b in features.values()] + [F.max(b) for b in features.values()] + [F.stddev_pop(b) for b in features.values()]
@@ -181,9 +184,10 @@ def nearest_building(persons: DataFrame, buildings: DataFrame, person: str, buil
     ends = [[float(v) for v in (stats[i], stats[n + i], mine[i], mine[n + i]) if v is not None] or [0.0] for i in range(n)]
     # the coarsest cells are as wide as everything, so that the cells next to a person's hold all buildings
     width = max((max(e) - min(e)) / s for e, s in zip(ends, scale, strict=True)) or 1.0
+    axes = sorted(sorted(range(n), key=lambda i: (-(max(ends[i][:2]) - min(ends[i][:2])) / scale[i], i))[:AXES])
     keys = [area, *([tier] if tier else [])]
     groups = [f"_k{i}" for i in range(len(keys))]
-    cells = [f"_c{i}" for i in range(n)]
+    cells = [f"_c{i}" for i in axes]
 
     def side(df: DataFrame, columns: list[str], name: str, value: str) -> DataFrame:
         d = df.select(F.col(name).alias(name), *[F.col(k).alias(g) for k, g in zip(keys, groups, strict=True)], *[F.col(c).cast("double").alias(f"{value}{i}") for i, c in enumerate(columns)])
@@ -191,7 +195,7 @@ def nearest_building(persons: DataFrame, buildings: DataFrame, person: str, buil
 
     def on_level(df: DataFrame, value: str) -> DataFrame:
         size = width / F.pow(F.lit(float(STEP)), F.col("_level"))
-        return df.withColumns({c: F.floor(F.col(f"{value}{i}") / scale[i] / size) for i, c in enumerate(cells)})
+        return df.withColumns({c: F.floor(F.col(f"{value}{i}") / scale[i] / size) for i, c in zip(axes, cells, strict=True)})
 
     every = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("_level")
     b = side(buildings, list(features.values()), building, "_b").groupBy(*groups, *[f"_b{i}" for i in range(n)]).agg(F.min(building).alias(building))
@@ -199,13 +203,19 @@ def nearest_building(persons: DataFrame, buildings: DataFrame, person: str, buil
     p = settled(side(persons, list(features), person, "_p"))
     occupied = b.select(*groups, "_level", *cells).distinct()
     hit = on_level(p.select("*", every), "_p").join(occupied, [*groups, "_level", *cells]).groupBy(person).agg(F.max("_level").alias("_hit"))
-    q = p.join(hit, person, "left").withColumn("_level", F.greatest(F.coalesce("_hit", F.lit(0)) - 1, F.lit(0)))
+    d = F.lit(0.0)
+    for i in range(n):
+        d = d + F.pow((F.col(f"_p{i}") - F.col(f"_b{i}")) / scale[i], 2)
+    if n <= AXES:
+        q = p.join(hit, person, "left").withColumn("_level", F.greatest(F.coalesce("_hit", F.lit(0)) - 1, F.lit(0)))
+    else:
+        own = on_level(p.join(hit, person).withColumn("_level", F.col("_hit")), "_p").join(b, [*groups, "_level", *cells])
+        bound = own.groupBy(person).agg(F.sqrt(F.min(d) + 2e-9).alias("_d"))
+        # the finest grid whose cells are as wide as that distance, and as what rounding makes equal to it
+        level = F.floor(F.log(F.lit(width) / F.col("_d")) / math.log(STEP)).cast("int")
+        q = p.join(bound, person, "left").withColumn("_level", F.greatest(F.least(F.coalesce(level, F.lit(0)), F.lit(LEVELS - 1)), F.lit(0)))
     q = on_level(q, "_p")
     for c in cells:
         q = q.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
-    d = None
-    for i in range(n):
-        part = F.pow((F.col(f"_p{i}") - F.col(f"_b{i}")) / scale[i], 2)
-        d = part if d is None else d + part
     j = q.join(b, [*groups, "_level", *cells])
     return j.groupBy(person).agg(F.min_by(building, F.struct(F.round(d, 9), F.col(building))).alias(building))

@@ -250,6 +250,30 @@ def test_nearest_building_equals_brute_force(spark):
         assert got == want
 
 
+def test_nearest_building_in_many_features(spark):
+    """Eight features, clusters and outliers in some of them only; persons without any occupied cell near them."""
+    import random
+
+    rng = random.Random(2)
+    n = 8
+    centres = [[rng.gauss(0, 3) for _ in range(n)] for _ in range(12)]
+    place = lambda: [round(x + rng.gauss(0, 0.05), 4) for x in rng.choice(centres)] if rng.random() < 0.9 else [round(rng.gauss(0, 9), 4) for _ in range(n)]
+    b = [(i, "ab"[i % 2], *place()) for i in range(600)]
+    b += [(900 + i, *b[i][1:]) for i in range(5)]
+    p = [(i, "abc"[i % 3], *place()) for i in range(250)] + [(500, *b[3][1:]), (501, "a", *[1e3] * n), (502, "a", None, *[0.0] * (n - 1))]
+    names = [f"x{i}" for i in range(n)]
+    bd = spark.createDataFrame(b, "bldg_id long, g string, " + ", ".join(f"{c} double" for c in names))
+    pd_ = spark.createDataFrame(p, "person_id long, g string, " + ", ".join(f"{c} double" for c in names))
+    sd = bd.agg(*[F.stddev_pop(c) for c in names]).first()
+    got = {r.person_id: r.bldg_id for r in allocation.nearest_building(pd_, bd, "person_id", "bldg_id", "g", {c: c for c in names}).collect()}
+    want = {}
+    for i, g, *at in p:
+        near = [(round(sum(((at[j] - x[j]) / sd[j]) ** 2 for j in range(n)), 9), m) for m, h, *x in b if h == g] if None not in at else []
+        if near:
+            want[i] = min(near)[1]
+    assert got == want
+
+
 def test_train_and_holdout_are_not_empty(spark):
     d = spark.createDataFrame([("a", 1)], "g string, k long")
     with pytest.raises(ValueError, match="holdout"):
