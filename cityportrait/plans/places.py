@@ -64,6 +64,13 @@ def joi5_inside_city(spark, d):
     return spatial.inside_area(parts(spark, d), city, "bldg_id").select("bldg_id", "value")
 
 
+@query(_PIP + " SELECT bldg_id, area_id FROM hit WHERE area_id IN ('A', 'C')")
+def prj10_area_by_part_of_its_name(spark, d):
+    """No area has this name, so those whose name contains it count."""
+    named = areas(spark).withColumn("name", F.concat(F.when(F.col("area_id") == "B", "Town of ").otherwise("City of "), "area_id"))
+    return spatial.points_in_areas(parts(spark, d), spatial.select_area(named, " CITY of"), "bldg_id")
+
+
 def blocks(p: DataFrame) -> DataFrame:
     """The parts as rectangles around their places, areas of several parts by brand; flat ones are holes."""
     w, h = F.col("footprint_area_m2") / 20, (F.col("height_m") + 1) / 2
