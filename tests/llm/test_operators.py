@@ -931,6 +931,29 @@ def test_a_large_group_of_near_copies_stays_linear(spark):
     assert made[1] <= 8 * made[0] + 400
 
 
+def test_documents_that_share_many_differences(spark):
+    """Pages filled in from one list: each replaces a part of the same places by the same words, and few pairs are close enough."""
+    rng, rows = np.random.default_rng(3), []
+    base = [f"w{i}" for i in range(200)]
+    for k in range(120):
+        w = list(base)
+        for j in rng.choice(40, size=14, replace=False):
+            w[3 * j] = f"e{j}"
+        rows.append((k, " ".join(w), "en", "s", 0))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = brute_components([(i, shingles(t)) for i, t, *_ in rows])
+    assert got == want and 1 < len(set(want.values())) < 120
+
+
+def test_rows_of_one_id_with_different_texts_count_once(spark):
+    """The first text in order tells the document's links; a rerun on other partitions agrees."""
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base, "en", "s", 0), (2, base + " x", "en", "s", 0), (2, "another text " + base[:150], "en", "s", 0), (3, base + " y", "en", "s", 0)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    runs = [sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(d.repartition(n)).collect()) for n in (1, 4)]
+    assert runs[0] == runs[1] and {c for i, _, c in runs[0] if i != 2} == {1}
+
+
 def test_neardup_shingle_size_and_percent(spark):
     base = [f"w{i}" for i in range(60)]
     other = [*base]
