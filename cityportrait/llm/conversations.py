@@ -45,7 +45,8 @@ BATCH = 500
 #: Re-Pair: rounds, new symbols a round and in all, and the least count of a pair.
 ROUNDS, PER_ROUND, SYMBOLS, LEAST = 8, 64, 512, 4
 MAX_BROADCAST_CONVERSATIONS = 100_000
-MEMO = 50_000
+#: Sequences whose matrices a task keeps, and the longest of them.
+MEMO, MEMO_LENGTH = 10_000, 64
 SPACE = " \t\n\v\f\r"
 
 #: Terminals are single characters: a row that must go, or a role's letter (x for any other), in capitals if truncated.
@@ -158,7 +159,8 @@ class Grammar:
             found = {k: (cost, text_of(rope)) for k, (cost, rope) in whole.items()}
             if len(self.memo) >= MEMO:
                 self.memo.clear()
-            self.memo[sequence] = found
+            if len(sequence) <= MEMO_LENGTH:
+                self.memo[sequence] = found
         return found
 
 
