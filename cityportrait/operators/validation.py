@@ -166,6 +166,7 @@ def run_counts(df: DataFrame, group: str) -> DataFrame:
 
 
 def cosine(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
-    """One row: cosine similarity of two curves, missing points 0."""
-    j = left.select(key, F.col(value).alias("_a")).join(right.select(key, F.col(value).alias("_b")), key, "full_outer").fillna(0, ["_a", "_b"])
+    """One row: cosine similarity of two curves, missing points 0. Sums are doubles: a product of two sums of squared counts is beyond a long."""
+    number = lambda name: F.col(value).cast("double").alias(name)
+    j = left.select(key, number("_a")).join(right.select(key, number("_b")), key, "full_outer").fillna(0.0, ["_a", "_b"])
     return j.agg(F.try_divide(F.sum(F.col("_a") * F.col("_b")), F.sqrt(F.sum(F.col("_a") * F.col("_a")) * F.sum(F.col("_b") * F.col("_b")))).alias("cosine"))

@@ -297,3 +297,9 @@ def test_shared_folder_is_asked_for_on_a_cluster():
 
     with pytest.raises(ValueError, match="checkpoint"):
         lineage.shared_dir(Session())
+
+def test_cosine_of_counts_beyond_the_root_of_a_long(spark):
+    """The product of the two sums of squares is far beyond a long."""
+    a = spark.createDataFrame([(h, 100_000 + h) for h in range(24)], "h int, n long")
+    b = spark.createDataFrame([(h, 200_000 + 2 * h) for h in range(24)], "h int, n long")
+    assert validation.cosine(a, b, "h", "n").first().cosine == pytest.approx(1.0, abs=1e-12)
