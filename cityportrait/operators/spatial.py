@@ -113,14 +113,19 @@ def points_in_areas(points: DataFrame, areas: DataFrame, key: str, area_id: str
 
 
 def area_centroids(areas: DataFrame, area_id: str = "area_id") -> DataFrame:
-    """(area_id, area, x, y): holes are taken off, parts are added up."""
-    sign = F.when(F.col("is_hole"), -1.0).otherwise(1.0)
-    s = areas.groupBy(area_id).agg(
-        F.sum(sign * geo.area(F.col("ring"))).alias("area"),
-        F.sum(sign * geo.moment(F.col("ring"), "x")).alias("_mx"),
-        F.sum(sign * geo.moment(F.col("ring"), "y")).alias("_my"),
-    )
-    return s.select(area_id, "area", F.try_divide("_mx", "area").alias("x"), F.try_divide("_my", "area").alias("y"))
+    """(area_id, area, x, y): holes are taken off, parts are added up.
+
+    Moments are taken from each ring's first corner. Where all rings of an area begin at one place, so in any area of
+    one ring, the centroid is that place and a shift, exact to its last digit: one on a border stays there.
+    """
+    sign, size = F.when(F.col("is_hole"), -1.0).otherwise(1.0), geo.area(F.col("ring"))
+    corner = lambda axis: F.get("ring", F.lit(0))[axis]
+    sums = [F.sum(sign * size).alias("area")]
+    for axis in "xy":
+        sums += [F.min(corner(axis)).alias(f"_lo{axis}"), F.max(corner(axis)).alias(f"_hi{axis}"), F.sum(sign * size * corner(axis)).alias(f"_at{axis}"), F.sum(sign * geo.moment(F.col("ring"), axis)).alias(f"_m{axis}")]
+    s = areas.groupBy(area_id).agg(*sums)
+    place = lambda axis: F.when(F.col(f"_lo{axis}") == F.col(f"_hi{axis}"), F.col(f"_lo{axis}")).otherwise(F.try_divide(f"_at{axis}", "area")) + F.try_divide(f"_m{axis}", "area")
+    return s.select(area_id, "area", place("x").alias("x"), place("y").alias("y"))
 
 
 def crosswalk(inner: DataFrame, outer: DataFrame, inner_id: str = "area_id", outer_id: str = "area_id") -> DataFrame:

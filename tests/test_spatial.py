@@ -92,3 +92,24 @@ def test_a_detail_on_a_large_area_keeps_its_lists_short(spark):
     assert s["all"] < 8 * n and s["most"] < n / 8
     points = [(i, random.Random(i).uniform(-2e-3, 2e-3), 5 + random.Random(-i).uniform(0, 2e-3)) for i in range(300)]
     assert joined(spark, points, [("a", ring)]) == by_hand(points, [("a", ring)])
+
+def test_centroids_on_a_border_stay_on_it(spark):
+    """Centres of squares on the slope y = 0.8 (x - 7) + 2 and on other borders: the centroid is the centre to its last digit."""
+    at = [(i / 1000, (0.8 * (i - 7000) + 2000) / 1000) for i in range(7005, 7700, 5)] + [(i / 1000, 7.0) for i in range(5000, 6000, 7)]
+    h = 0.25
+    rows = [(k, False, [(x - h, y - h), (x + h, y - h), (x + h, y + h), (x - h, y + h)]) for k, (x, y) in enumerate(at)]
+    d = spark.createDataFrame(rows, "area_id int, is_hole boolean, ring array<struct<x:double,y:double>>")
+    got = {r.area_id: (r.x, r.y) for r in spatial.area_centroids(d).collect()}
+    exact = {k: p for k, p in enumerate(at) if all(v + h - h == v and v - h + h == v for v in p)}
+    assert len(exact) > 200 and {k: got[k] for k in exact} == exact
+
+
+def test_centroids_of_several_rings(spark):
+    box = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s)]
+    rows = [("a", False, box(1e6, 1e6, 4.0)), ("a", False, box(1e6 + 8, 1e6, 4.0)), ("a", True, box(1e6, 1e6, 2.0)), ("b", False, []), ("c", False, box(0.0, 0.0, 2.0)), ("c", True, box(0.0, 0.0, 1.0))]
+    d = spark.createDataFrame(rows, "area_id string, is_hole boolean, ring array<struct<x:double,y:double>>")
+    got = {r.area_id: (r.area, r.x, r.y) for r in spatial.area_centroids(d).collect()}
+    # the same sums by hand: 16 at 2, 16 at 10, less 4 at 1
+    assert got["a"] == pytest.approx((28.0, 1e6 + (32 + 160 - 4) / 28, 1e6 + (32 + 32 - 4) / 28), rel=1e-12)
+    assert got["b"][0] == 0.0 and got["b"][1] is None
+    assert got["c"] == pytest.approx((3.0, (4 - 0.5) / 3, (4 - 0.5) / 3), rel=1e-12)
