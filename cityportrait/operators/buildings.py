@@ -32,7 +32,7 @@ def feature_table(footprints: DataFrame, pumas: DataFrame, tracts: DataFrame | N
         d = spatial.inside_area(d, city, "bldg_id", x, y)
     for areas, name in ((pumas, "puma"), (tracts, "tract_geoid")):
         if areas is not None:
-            hit = spatial.points_in_areas(d, areas, "bldg_id", x=x, y=y).groupBy("bldg_id").agg(F.max("area_id").alias(name))
+            hit = spatial.points_in_areas(d, areas, "bldg_id", x=x, y=y, how="largest").withColumnRenamed("area_id", name)
             d = d.drop(name).join(hit, "bldg_id")
     return front_columns(d.withColumn("puma", expr.area_code("puma")).dropna(subset=["puma"]))
 

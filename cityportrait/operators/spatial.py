@@ -8,13 +8,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cityportrait.functions import expr, geo
 from cityportrait.operators.lineage import settled
 
 #: Edges of a border cell, about: they set an area's cell size, which is a power of GROW; rows of more edges are halved.
 EDGES, GROW, BAND_EDGES = 8, 4, 8
+#: Cells along an area's border at least, so that a cell is a small part of an area of few corners.
+LEAST_CELLS = 16
+CELL = ["e", "k", "cy", "cx"]
 MOST_HALVINGS = 40
 
 
@@ -23,7 +26,8 @@ def _edges(areas: DataFrame, area_id: str) -> DataFrame:
     e = areas.select(F.col(area_id).alias("a"), F.inline(geo.edges(F.col("ring")))).dropna()
     extent = F.sum(F.abs(F.col("x2") - F.col("x1")) + F.abs(F.col("y2") - F.col("y1")))
     sizes = e.groupBy("a").agg(F.count("*").alias("n"), extent.alias("w")).filter("w > 0")
-    power = F.floor(F.log(F.col("w") * EDGES / F.col("n")) / math.log(GROW)).cast("int")
+    # the slack keeps equal areas at different places on one grid
+    power = F.floor(F.log(F.col("w") * F.least(EDGES / F.col("n"), F.lit(1 / LEAST_CELLS))) / math.log(GROW) + 1e-9).cast("int")
     sizes = sizes.select("a", power.alias("e")).withColumn("size", F.pow(F.lit(float(GROW)), F.col("e")))
     return settled(e.join(sizes, "a"))
 
@@ -82,34 +86,90 @@ def _bands(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return h, b.groupBy("a", "cy", "band").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
 
 
+def _cells(areas: DataFrame, area_id: str) -> tuple[DataFrame, DataFrame]:
+    """The areas' cells, written: (a, e, size, k, cy, cx, inside, halvings, edges), and the bands of rows with more edges.
+
+    A border cell has the edges of its row where these are BAND_EDGES at most; else `edges` is null and the row's bands
+    have them. A row with flat edges only holds no point.
+    """
+    rows = _rows(_edges(areas, area_id))
+    halvings, bands = _bands(rows)
+    border = _border(rows)
+    short = bands.filter((F.col("band") == F.col("cy")) & (F.size("edges") <= BAND_EDGES)).join(halvings.filter("halvings = 0").drop("halvings"), ["a", "cy"]).select("a", "cy", "edges")
+    touched = border.join(halvings, ["a", "cy"]).join(short, ["a", "cy"], "left").select("a", "e", "size", F.lit(0).alias("k"), "cy", "cx", F.lit(False).alias("inside"), "halvings", "edges")
+    inner = _inner(border).select("a", "e", "size", "k", "cy", "cx", F.lit(True).alias("inside"), F.lit(None).cast("int").alias("halvings"), F.lit(None).cast(dict(short.dtypes)["edges"]).alias("edges"))
+    return settled(touched.unionByName(inner)), bands
+
+
+def _largest(cells: DataFrame, lengths: list[int]) -> DataFrame:
+    """The cells that a point's largest area may come from.
+
+    A cell's points are in all areas that it is inner to, so only the largest of these stays, and of the areas whose
+    border it has only larger ones. Every point keeps an area if it has any.
+    """
+    names = cells.columns
+    best = cells.filter("inside").groupBy(*CELL).agg(F.max_by(F.struct(*names), "a").alias("_c")).select("_c.*")
+    border = cells.filter("NOT inside")
+    at = border.select("e", "cy", "cx").distinct().withColumn("k", F.explode(F.array(*map(F.lit, lengths)))).withColumn("_cx", F.col("cx")).withColumn("cx", F.expr("shiftright(cx, 2 * k)"))
+    known = at.join(best.select(*CELL, F.col("a").alias("_best")), CELL).groupBy("e", "cy", F.col("_cx").alias("cx")).agg(F.max("_best").alias("_best"))
+    border = border.join(known, ["e", "cy", "cx"], "left").filter("_best IS NULL OR a > _best").select(*names)
+    return settled(border.unionByName(best))
+
+
+def _odd(x: str, y: str) -> Column:
+    """Whether a ray crosses an odd number of a cell's edges, BAND_EDGES at most: a plain sum, so that Spark compiles it."""
+    n = F.lit(0)
+    for i in range(BAND_EDGES):
+        e = F.get("edges", F.lit(i))
+        crosses = ((e["y1"] > F.col(y)) != (e["y2"] > F.col(y))) & (F.col(x) < (e["x2"] - e["x1"]) * (F.col(y) - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"])
+        n = n + F.when(crosses, 1).otherwise(0)
+    return n % 2 == 1
+
+
+def _placed(points: DataFrame, key: str, x: str, y: str, grids: list[tuple[int, float, int]]) -> DataFrame:
+    """(_key, _px, _py, e, k, cy, cx): every point with its cell on each grid."""
+    p = points.select(F.col(key).alias("_key"), F.col(x).cast("double").alias("_px"), F.col(y).cast("double").alias("_py")).filter(expr.finite("_px") & expr.finite("_py"))
+    p = p.withColumn("_g", F.explode(F.array(*[F.struct(F.lit(e).alias("e"), F.lit(size).alias("size"), F.lit(k).alias("k")) for e, size, k in sorted(grids)])))
+    return p.select("_key", "_px", "_py", F.col("_g.e").alias("e"), F.col("_g.k").alias("k"), F.floor(F.col("_py") / F.col("_g.size")).alias("cy"), F.expr("shiftright(floor(_px / _g.size), 2 * _g.k)").alias("cx"))
+
+
+def _pairs(p: DataFrame, cells: DataFrame, bands: DataFrame) -> DataFrame:
+    """(_key, a) of the points in the areas of `cells`. Pairs are decided in the task that makes them and not moved,
+    except for those in rows of more than BAND_EDGES edges."""
+    # pairs may be many more than the rows they come from, so tasks are not merged by the rows' size
+    tasks = int(p.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = p.repartition(tasks, *CELL).join(cells.filter("inside OR edges IS NOT NULL").repartition(tasks, *CELL), CELL).filter(F.col("inside") | _odd("_px", "_py")).select("_key", "a")
+    rest = cells.filter("NOT inside AND edges IS NULL")
+    if rest.isEmpty():
+        return held
+    near = p.join(rest, CELL).withColumn("band", F.floor(F.col("_py") / F.col("size") * F.pow(F.lit(2.0), F.col("halvings"))))
+    cast = near.drop("edges").join(bands, ["a", "cy", "band"]).filter(geo.crossings_of(F.col("_px"), F.col("_py"), F.col("edges")) % 2 == 1)
+    return held.unionByName(cast.select("_key", "a"))
+
+
 def points_in_areas(points: DataFrame, areas: DataFrame, key: str, area_id: str = "area_id", x: str = "x", y: str = "y", how: str = "inner") -> DataFrame:
-    """(key, area_id) of every area that holds the point; with how="left" also points without one, with null.
+    """(key, area_id) of every area that holds the point; with how="left" also points without one, with null; with
+    how="largest" only the largest area_id of each point.
 
     Each area has a grid of its own size, so its cells are as many as its edges, whatever its extent. A point meets the
     cells of its place by an equi-join: in a cell without edges it is inside without further tests, in a border cell
     the edges of its row tell. Every point has one cell of an area, so no pair comes twice.
     """
-    edges = _edges(areas, area_id)
-    rows = _rows(edges)
-    halvings, bands = _bands(rows)
-    border = _border(rows)
-    touched = border.join(halvings, ["a", "cy"], "left").select("a", "e", "size", F.lit(0).alias("k"), "cy", "cx", F.lit(False).alias("inside"), "halvings")
-    inner = _inner(border).select("a", "e", "size", "k", "cy", "cx", F.lit(True).alias("inside"), F.lit(None).cast("int").alias("halvings"))
-    cells = settled(touched.unionByName(inner))
+    cells, bands = _cells(areas, area_id)
     # one pair for each cell size and length of runs: powers, so a few dozen
     grids = [(r.e, r.size, r.k) for r in cells.select("e", "size", "k").distinct().collect()]
     if not grids:
-        return points.select(key, F.lit(None).cast(dict(areas.dtypes)[area_id]).alias(area_id)).filter(F.lit(how != "inner")).distinct()
-    p = points.select(F.col(key).alias("_key"), F.col(x).cast("double").alias("_px"), F.col(y).cast("double").alias("_py")).filter(expr.finite("_px") & expr.finite("_py"))
-    p = p.withColumn("_g", F.explode(F.array(*[F.struct(F.lit(e).alias("e"), F.lit(size).alias("size"), F.lit(k).alias("k")) for e, size, k in sorted(grids)])))
-    p = p.select("_key", "_px", "_py", F.col("_g.e").alias("e"), F.col("_g.k").alias("k"), F.floor(F.col("_py") / F.col("_g.size")).alias("cy"), F.expr("shiftright(floor(_px / _g.size), 2 * _g.k)").alias("cx"))
-    j = p.join(cells, ["e", "k", "cy", "cx"])
-    near = j.filter("NOT inside").withColumn("band", F.floor(F.col("_py") / F.col("size") * F.pow(F.lit(2.0), F.col("halvings"))))
-    cast = near.join(bands, ["a", "cy", "band"]).filter(geo.crossings_of(F.col("_px"), F.col("_py"), F.col("edges")) % 2 == 1)
-    hit = j.filter("inside").select("_key", "a").unionByName(cast.select("_key", "a")).toDF(key, area_id)
+        return points.select(key, F.lit(None).cast(dict(areas.dtypes)[area_id]).alias(area_id)).filter(F.lit(how == "left")).distinct()
+    p = _placed(points, key, x, y, grids)
     if how == "inner":
-        return hit
-    return points.select(key).distinct().join(hit, key, "left")
+        return _pairs(p, cells, bands).toDF(key, area_id)
+    few = _largest(cells, sorted({k for *_, k in grids}))
+    if how == "largest":
+        return _pairs(p, few, bands).groupBy("_key").agg(F.max("a").alias("a")).toDF(key, area_id)
+    # which points have an area is known by the few cells, so the pairs themselves are not moved
+    none = points.select(key).distinct().join(_pairs(p, few, bands).select(F.col("_key").alias("_k")).distinct(), F.col(key) == F.col("_k"), "left_anti")
+    hit = _pairs(p, cells, bands).filter("_key IS NOT NULL").toDF(key, area_id)
+    return hit.unionByName(none.select(key, F.lit(None).cast(dict(areas.dtypes)[area_id]).alias(area_id)))
 
 
 def area_centroids(areas: DataFrame, area_id: str = "area_id") -> DataFrame:
@@ -131,13 +191,12 @@ def area_centroids(areas: DataFrame, area_id: str = "area_id") -> DataFrame:
 def crosswalk(inner: DataFrame, outer: DataFrame, inner_id: str = "area_id", outer_id: str = "area_id") -> DataFrame:
     """(from_id, to_id): the outer area that holds each inner area's centroid; of several the last; unmatched ones go."""
     points = area_centroids(inner, inner_id).select(F.col(inner_id).alias("from_id"), "x", "y")
-    hit = points_in_areas(points, outer.withColumnRenamed(outer_id, "to_id"), "from_id", "to_id")
-    return hit.groupBy("from_id").agg(F.max("to_id").alias("to_id"))
+    return points_in_areas(points, outer.withColumnRenamed(outer_id, "to_id"), "from_id", "to_id", how="largest")
 
 
 def inside_area(points: DataFrame, areas: DataFrame, key: str, x: str = "x", y: str = "y") -> DataFrame:
     """The points, all columns, that lie in any of the areas."""
-    return points.join(points_in_areas(points, areas, key, x=x, y=y).select(key).distinct(), key, "left_semi")
+    return points.join(points_in_areas(points, areas, key, x=x, y=y, how="largest").select(key), key, "left_semi")
 
 
 def select_area(areas: DataFrame, name: str, column: str = "name") -> DataFrame:

@@ -113,3 +113,31 @@ def test_centroids_of_several_rings(spark):
     assert got["a"] == pytest.approx((28.0, 1e6 + (32 + 160 - 4) / 28, 1e6 + (32 + 32 - 4) / 28), rel=1e-12)
     assert got["b"][0] == 0.0 and got["b"][1] is None
     assert got["c"] == pytest.approx((3.0, (4 - 0.5) / 3, (4 - 0.5) / 3), rel=1e-12)
+
+
+def overlapping(n):
+    """n unit squares around few places, many of them on each other, and points on and off their borders."""
+    rng = random.Random(n)
+    rings = [(f"{i:06d}", [(cx - 0.5, cy - 0.5), (cx + 0.5, cy - 0.5), (cx + 0.5, cy + 0.5), (cx - 0.5, cy + 0.5)]) for i in range(n) for cx, cy in [(i * 37 % 97 / 10, i * 53 % 89 / 10)]]
+    return rings, [(i, rng.randrange(-20, 110) / 10, rng.uniform(-2, 11)) for i in range(200)] + [(900, None, 1.0)]
+
+
+def test_overlapping_areas_all_and_the_largest(spark):
+    rings, points = overlapping(600)
+    want = by_hand(points[:-1], rings)
+    hit = {k for k, _ in want}
+    assert joined(spark, points, rings) == want
+    assert joined(spark, points, rings, "left") == want | {(k, None) for k, *_ in points if k not in hit}
+    assert joined(spark, points, rings, "largest") == {(k, max(a for j, a in want if j == k)) for k in hit}
+
+
+def test_overlapping_areas_give_few_candidates(spark):
+    """A point meets about as many areas as hold it, and a few where only the largest counts."""
+    rings, points = overlapping(600)
+    p = spark.createDataFrame(points, "k long, x double, y double")
+    cells, _ = spatial._cells(spark.createDataFrame(rows_of(rings), SCHEMA), "area_id")
+    grids = [tuple(r) for r in cells.select("e", "size", "k").distinct().collect()]
+    placed = spatial._placed(p, "k", "x", "y", grids)
+    met = placed.join(cells, spatial.CELL).count()
+    assert met < 2.5 * len(by_hand(points[:-1], rings))
+    assert placed.join(spatial._largest(cells, [0]), spatial.CELL).count() < met / 2
