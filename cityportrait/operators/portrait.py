@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from cityportrait.operators import ranks
 
+#: Building tables up to this many rows are sent to all tasks.
+MAX_BROADCAST_BUILDINGS = 500_000
+
 
 def portrait(persons: DataFrame, building: str = "bldg_id", age: str = "AGEP", income: str = "PINCP") -> DataFrame:
     """Size, mean, median and 90th percentile of age and income of each building; persons without one are left out."""
@@ -21,8 +24,10 @@ def portrait(persons: DataFrame, building: str = "bldg_id", age: str = "AGEP", i
 
 def with_attributes(portraits: DataFrame, buildings: DataFrame, building: str = "bldg_id") -> DataFrame:
     """Building columns behind the portrait's."""
-    more = [c for c in buildings.columns if c == building or c not in portraits.columns]
-    return portraits.join(buildings.select(*more), building, "left")
+    more = buildings.select(*[c for c in buildings.columns if c == building or c not in portraits.columns])
+    # the portraits may be many more rows, pairs of an overlay for one: then they are not moved
+    few = more.limit(MAX_BROADCAST_BUILDINGS + 1).count() <= MAX_BROADCAST_BUILDINGS
+    return portraits.join(F.broadcast(more) if few else more, building, "left")
 
 
 def distribution(df: DataFrame, value: str, key: str) -> DataFrame:
