@@ -303,3 +303,18 @@ def test_cosine_of_counts_beyond_the_root_of_a_long(spark):
     a = spark.createDataFrame([(h, 100_000 + h) for h in range(24)], "h int, n long")
     b = spark.createDataFrame([(h, 200_000 + 2 * h) for h in range(24)], "h int, n long")
     assert validation.cosine(a, b, "h", "n").first().cosine == pytest.approx(1.0, abs=1e-12)
+
+
+def test_building_scores_move_no_pairs(spark):
+    """Pairs of devices and buildings are not shuffled: no exchange in the plan stands over the join that makes them."""
+    c = spark.createDataFrame([(i, i % 2, -83 + i / 100, 42.0) for i in range(30)], "caid long, z int, centre_lon double, centre_lat double")
+    b = spark.createDataFrame([(j, j % 2, -83 + j % 9 / 50, 42 + j % 7 / 50) for j in range(2500)], "bldg_id long, z int, lon double, lat double")
+    s = mobility.building_scores(c, b, "caid", "z")
+    plan = s._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Join") == 1 and "Exchange" not in plan[: plan.index("Join")]
+    rows = s.collect()
+    assert len(rows) == 30 * 1250 and len({(r.caid, r.bldg_id) for r in rows}) == len(rows)
+    total = {}
+    for r in rows:
+        total[r.caid] = total.get(r.caid, 0.0) + r.score
+    assert all(t == pytest.approx(1.0, abs=1e-9) for t in total.values())
