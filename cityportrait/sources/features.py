@@ -62,11 +62,13 @@ def features(spark: SparkSession, folder: str, pattern: str, schema: str, one_ta
     sizes = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "length")
     large = [r.path for r in sizes.filter(F.col("length") > one_task_bytes).select("path").collect()]
     collection = f"type string, features array<struct<{schema}>>"
-    small = spark.read.schema(collection).option("multiLine", True).option("pathGlobFilter", pattern).json(folder)
+    # the JSON reader goes back into the file for every object that is read as a text, so texts are read first
+    small = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(folder)
     if large:
         # a file's length is in its metadata, so larger ones are not opened
         small = small.filter(F.col("_metadata.file_size") <= one_task_bytes)
-    out = small.select(F.explode("features").alias("f")).select("f.*")
+    parsed = F.from_json(F.regexp_replace("value", "^\ufeff", ""), collection)
+    out = small.select(F.explode(parsed["features"]).alias("f")).select("f.*")
     if not large:
         return out
     f = feature_texts(spark, large).select(F.from_json("text", f"struct<{schema}>").alias("f")).select("f.*")

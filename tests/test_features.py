@@ -65,3 +65,18 @@ def test_a_large_file_is_read_by_many_tasks(spark, tmp_path, small_splits):
     assert raw.rdd.getNumPartitions() >= 8
     digest = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("parcel_id", "assessed_value", "part", "ring").cast("decimal(38,0)"))).first()
     assert digest(small) == digest(large) and small.count() == n
+
+
+def test_files_are_read_once(spark, tmp_path):
+    """A file's bytes are read about once (and its length asked for), however many features it has."""
+    n = 3000
+    one = '{"type":"Feature","properties":{"PIN":"%d","SEV":"7"},"geometry":{"type":"Polygon","coordinates":[[[0.5,1],[2,1],[2,3]]]}}'
+    for i in range(3):
+        text = '{"type":"FeatureCollection","features":[' + ",".join(one % (i * n + j) for j in range(n)) + "]}"
+        (tmp_path / f"parcels_offset{i}.geojson").write_text(("\ufeff" if i == 2 else "") + text, encoding="utf-8")
+    whole = sum(f.stat().st_size for f in tmp_path.glob("*.geojson"))
+    read = lambda: sum(s.getBytesRead() for s in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics())
+    before = read()
+    rows = scans.parcels(spark, str(tmp_path)).collect()
+    assert read() - before < 3 * whole
+    assert sorted(int(r.parcel_id) for r in rows) == list(range(3 * n)) and {r.ring[0].x for r in rows} == {0.5}
