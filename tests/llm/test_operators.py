@@ -863,6 +863,76 @@ def test_html_repeated_text_of_the_article_stays(spark):
     assert all(t.startswith(f"Title {i}\n\nIntro\n\nWords") and "Home" not in t for i, t in enumerate(got))
 
 
+def test_html_texts_of_optional_and_repeated_classes_go(spark):
+    """Text that most pages have with its element, once or repeated, is the template's too; in an element of many texts it is content."""
+    page = "<div class=c1>Home News</div><div class=c2>{x}<h1>Title {i}</h1><p>{a}</p>{y}</div>"
+    notice, again = "<div class=x1><div class=x2>We store small files</div></div>", "<div class=r><div class=s>Read on</div></div>"
+    got = extracted_texts(spark, [page.format(x=notice * (i < 6), i=i, a=f"Words of page {i} " * 9, y=again * (i % 3 + 1)) for i in range(10)])
+    assert got == [f"Title {i}\n\n" + " ".join([f"Words of page {i}"] * 9) for i in range(10)]
+    near = "<p>One of the copies</p><p>Second of them</p><p>Third of them</p>"
+    got = extracted_texts(spark, [page.format(x="", i=i, a=f"Words of page {i} " * 9, y=near * (i < 6)) for i in range(10)])
+    assert all(("Third of them" in t) == (i < 6) for i, t in enumerate(got))
+
+
+def test_html_classes_are_ordered_and_nested_on_all_pages(spark):
+    page = "<div class=c2>{x}<h1>Title {i}</h1>{y}<p>{a}</p><h2>At last</h2><p>{a}</p>{z}</div>"
+    words = [" ".join([f"Words of page {i}"] * 9) for i in range(12)]
+    texts = lambda at, text: extracted_texts(spark, [page.format(i=i, a=words[i], **{k: text if at(i) == k else "" for k in "xyz"}) for i in range(12)])
+    want = [f"Title {i}\n\n{words[i]}\n\nAt last\n\n{words[i]}" for i in range(12)]
+    # a text that every page has, at one of two places: both are the template's, but not a place that only one page has
+    assert texts(lambda i: "xz"[i % 2], "<p>Kept in two places</p>") == want
+    got = texts(lambda i: "zx"[i == 3], "<p>Kept in two places</p>")
+    assert got[3] == "Kept in two places\n\n" + want[3] and got[:3] + got[4:] == want[:3] + want[4:]
+    # a class that stands at several places of the root's is not nested in it
+    quote = "<div class=q><div class=w>Said before</div></div>"
+    assert texts(lambda i: "z" if i < 9 else "", quote) == want
+    got = texts(lambda i: ("x" if i < 5 else "z") if i < 9 else "", quote)
+    assert all(("Said before" in t) == (i < 9) for i, t in enumerate(got))
+
+
+def test_html_order_and_nesting_against_all_pairs():
+    """What is left of classes is in order on every page, as much as can be; places of classes in each other against their spans."""
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        classes = [[1, 2, 3, 4, -1], [11, 12, 13], [21, -21, 22]]
+        known = html._Numbered(classes)
+        ids = [0, *rng.permutation([1, 2, 3]), 4] + [5, 6, 7] * int(rng.integers(0, 3))
+        ids = tuple(int(i) for i in ids)
+        wrong = html._disordered(ids, known)
+        left = [i for i in ids[:5] if i not in wrong]
+        best = max(bin(m).count("1") for m in range(32) if (x := [i for k, i in enumerate(ids[:5]) if m >> k & 1]) == sorted(x))
+        assert left == sorted(left) and len(left) == best and not wrong & {5, 6, 7}
+        # occurrences of three classes, dealt to one another at random
+        parts = [[0, 1, 2, 3, 4]] + [[5, 6, 7]] * int(rng.integers(1, 3)) + [[8, 9, 10]]
+        spots = [sorted(rng.choice(1000, len(p), replace=False)) for p in parts]
+        if len(parts) == 4 and spots[1][-1] >= spots[2][0]:
+            continue
+        page = sorted((int(s), i, o) for o, (p, at) in enumerate(zip(parts, spots)) for s, i in zip(at, p))
+        pairs = {}
+        for inner, outer, lo, hi in html._nesting([i for _, i, _ in page], known):
+            x = pairs.get((inner, outer), (lo, hi, 0))
+            pairs[inner, outer] = min(x[0], lo), max(x[1], hi), x[2] + 1
+        order, owner = [o for _, _, o in page], [known.owner[p[0]] for p in parts]
+        before = lambda o, x: {order[:k].count(x) for k, y in enumerate(order) if y == o}
+
+        def place(o, x):
+            """The tokens of x before o, if o stands inside x; None if it does not, -1 if both overlap in part."""
+            n = before(o, x)
+            if len(n) > 1:
+                return -1 if len(before(x, o)) > 1 else None
+            return n.pop() if n <= set(range(1, len(parts[x]))) else None
+
+        def apart(c, d):
+            places = [[p for x in range(len(parts)) if owner[x] == d and (p := place(o, x)) is not None] for o in range(len(parts)) if owner[o] == c]
+            return all(-1 not in p for p in places) and len(set(map(tuple, places))) == 1
+
+        valid = [0]
+        for c in (1, 2):
+            if all(apart(c, d) and apart(d, c) for d in valid):
+                valid.append(c)
+        assert html._nested(3, pairs) == valid
+
+
 def test_html_long_class_values_are_told_apart(spark):
     long = "k" * 70
     page = "<div class='" + long + "1'><p>Menu of page {i} and more</p></div><div class='" + long + "2'><article><p>{a}</p></article></div>"
