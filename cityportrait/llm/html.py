@@ -7,14 +7,15 @@ one task. Classes with enough support and tokens are candidates, besides the roo
 all pages are read again as sequences of the classes' tokens:
 
 * ordered: a class's tokens follow one order, again and again, on every page. The order is taken from one page; tokens
-  that break it on any page leave the class. Texts that leave the root's are told apart by their place among its
-  tokens, and belong to the template at places that several pages have.
+  that break it on any page leave the class. A text that leaves the root's with its element, which holds no other
+  prose, is a class of the two; others are told apart by their place among the root's tokens, and belong to the
+  template at places that several pages have.
 * nested: all of a class's occurrences stand at one place of every class around them, and no two classes overlap in
   part. Of two classes that break this the one with more support stays.
 
 The valid classes, nested in the root's, are the template. Texts of the root's class belong to it; so do texts of
-other classes whose element is of the same class, so never stands there with another text (a repeated text in
-an element of many texts is content, as of near copies). The remaining blocks stand in slots. The template's main
+other classes whose element is of the same class, so every such element has it (a text that repeats in a few of many
+such elements is content, as of near copies). The remaining blocks stand in slots. The template's main
 containers are the articles and mains, or else the deepest element that holds all of the slots' prose; text comes from
 inside them, without menus, headers, footers, sidebars, notices, adverts, forms and comments. Repeated text inside an
 article or main, or between slots, is the article's own (see _without_template). A host with too few pages to deduce
@@ -561,6 +562,7 @@ def _template_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             pairs = {(x["inner"], x["outer"]): (x["lo"], x["hi"], x["times"]) for x in nesting}
             # every page with an element has its parent too, so the parent has at least its support: all paths nest
             held = {t["path"]: t["good"] for t in tokens if not t["text_hash"]}
+            once = {t["path"]: t["good"] for t in classes[0] if not t["text_hash"]}
             texts: list[int] = []
             places: dict[int, list[int]] = {}
 
@@ -581,7 +583,12 @@ def _template_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 if inner < 0 and times >= PLACE_PAGES:
                     roles[known.keys[-1 - inner]].append((outer, times))
             for t in classes[0]:
-                if t["text_hash"] in roles:
+                if not t["text_hash"] or known.number[t["text_hash"]] in known.owner:
+                    continue
+                if once.get(t["path"]) == t["good"]:
+                    texts.append(t["text_hash"])
+                    take(t, t["good"])
+                elif t["text_hash"] in roles:
                     places[t["text_hash"]] = sorted(place for place, _ in roles[t["text_hash"]])
                     take(t, t["good"] * sum(times for _, times in roles[t["text_hash"]]) // t["pages"])
             root = [known.keys[i] for i, c in known.owner.items() if c == 0] if places else []

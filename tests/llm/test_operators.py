@@ -883,6 +883,8 @@ def test_html_classes_are_ordered_and_nested_on_all_pages(spark):
     assert texts(lambda i: "xz"[i % 2], "<p>Kept in two places</p>") == want
     got = texts(lambda i: "zx"[i == 3], "<p>Kept in two places</p>")
     assert got[3] == "Kept in two places\n\n" + want[3] and got[:3] + got[4:] == want[:3] + want[4:]
+    # with an element of its own it is the template's anywhere
+    assert texts(lambda i: "zx"[i == 3], "<div class=v>On all pages</div>") == want
     # a class that stands at several places of the root's is not nested in it
     quote = "<div class=q><div class=w>Said before</div></div>"
     assert texts(lambda i: "z" if i < 9 else "", quote) == want
