@@ -175,15 +175,18 @@ def points_in_areas(points: DataFrame, areas: DataFrame, key: str, area_id: str
 def area_centroids(areas: DataFrame, area_id: str = "area_id") -> DataFrame:
     """(area_id, area, x, y): holes are taken off, parts are added up.
 
-    Moments are taken from each ring's first corner. Where all rings of an area begin at one place, so in any area of
-    one ring, the centroid is that place and a shift, exact to its last digit: one on a border stays there.
+    Moments are taken from each ring's origin. Where all rings of an area have one origin, so in any area of one ring,
+    the centroid is that place and a shift, exact to its last digit: one on a border stays there, and where opposite
+    corners were rounded, it is the place that they lie around.
     """
-    sign, size = F.when(F.col("is_hole"), -1.0).otherwise(1.0), geo.area(F.col("ring"))
-    corner = lambda axis: F.get("ring", F.lit(0))[axis]
-    sums = [F.sum(sign * size).alias("area")]
+    r = areas.select(area_id, F.when(F.col("is_hole"), -1.0).otherwise(1.0).alias("_sign"), geo.origin(F.col("ring")).alias("_from"), geo.from_origin(F.col("ring")).alias("_near"))
+    r = r.select(area_id, "_sign", "_from", geo.moments(F.col("_near")).alias("_of"))
+    size, turn = F.col("_sign") * F.abs("_of.area"), F.col("_sign") * F.when(F.col("_of.area") < 0, -1.0).otherwise(1.0)
+    sums = [F.sum(size).alias("area")]
     for axis in "xy":
-        sums += [F.min(corner(axis)).alias(f"_lo{axis}"), F.max(corner(axis)).alias(f"_hi{axis}"), F.sum(sign * size * corner(axis)).alias(f"_at{axis}"), F.sum(sign * geo.moment(F.col("ring"), axis)).alias(f"_m{axis}")]
-    s = areas.groupBy(area_id).agg(*sums)
+        corner = F.col(f"_from.{axis}")
+        sums += [F.min(corner).alias(f"_lo{axis}"), F.max(corner).alias(f"_hi{axis}"), F.sum(size * corner).alias(f"_at{axis}"), F.sum(turn * F.col(f"_of.{axis}")).alias(f"_m{axis}")]
+    s = r.groupBy(area_id).agg(*sums)
     place = lambda axis: F.when(F.col(f"_lo{axis}") == F.col(f"_hi{axis}"), F.col(f"_lo{axis}")).otherwise(F.try_divide(f"_at{axis}", "area")) + F.try_divide(f"_m{axis}", "area")
     return s.select(area_id, "area", place("x").alias("x"), place("y").alias("y"))
 

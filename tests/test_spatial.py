@@ -104,6 +104,20 @@ def test_centroids_on_a_border_stay_on_it(spark):
     assert len(exact) > 200 and {k: got[k] for k in exact} == exact
 
 
+def test_centroids_of_squares_whose_corners_were_rounded(spark):
+    """Half of all x + 0.25 are no doubles: the square's centre is x nevertheless, in both directions of the ring."""
+    at = [i / 1000 for i in range(125, 10_011)]
+    lost = [v for v in at if v + 0.25 - 0.25 != v]
+    assert len(lost) > 500
+    ring = lambda v, w: [(v - 0.25, w - 0.25), (v + 0.25, w - 0.25), (v + 0.25, w + 0.25), (v - 0.25, w + 0.25)]
+    rows = [(k, False, ring(v, at[-k - 1])[:: 1 - k % 2 * 2]) for k, v in enumerate(at)]
+    rows += [(-1, False, []), (-2, False, None), (-3, False, [(0.0, 0.0), (0.0, 0.0)]), (-4, False, [(-5e-324, 0.0), (5e-324, 0.0), (0.0, 5e-324)])]
+    d = spark.createDataFrame(rows, "area_id int, is_hole boolean, ring array<struct<x:double,y:double>>")
+    got = {r.area_id: (r.area, r.x, r.y) for r in spatial.area_centroids(d).collect()}
+    assert [(k, v, got[k]) for k, v in enumerate(at) if got[k] != (0.25, v, at[-k - 1])] == []
+    assert got[-1][1:] == got[-2][1:] == got[-3][1:] == got[-4][1:] == (None, None)
+
+
 def test_centroids_of_several_rings(spark):
     box = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s)]
     rows = [("a", False, box(1e6, 1e6, 4.0)), ("a", False, box(1e6 + 8, 1e6, 4.0)), ("a", True, box(1e6, 1e6, 2.0)), ("b", False, []), ("c", False, box(0.0, 0.0, 2.0)), ("c", True, box(0.0, 0.0, 1.0))]
