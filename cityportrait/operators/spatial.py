@@ -18,9 +18,27 @@ EDGES, GROW, BAND_EDGES = 8, 4, 8
 #: Cells along an area's border at least, so that a cell is a small part of an area of few corners.
 LEAST_CELLS = 16
 CELL = ["e", "k", "cy", "cx"]
+#: Areas of one ring in a list, about.
+MEMBERS = 1_000
 MOST_HALVINGS = 40
 
 
+def _alike(areas: DataFrame, area_id: str, more: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(a, ring): of areas with the same single ring only the last one; and (a, members): for each of these, the areas
+    of its ring as structs (_id and the columns of `more`), in lists of about MEMBERS.
+
+    So a ring that many areas have is cut into cells once, and a point is tested once for all of them.
+    """
+    m = areas.select(F.col(area_id).alias("a"), "ring", F.struct(F.col(area_id).alias("_id"), *more).alias("m")).filter("a IS NOT NULL")
+    m = m.groupBy("a").agg(F.count("*").alias("n"), F.first("ring").alias("ring"), F.first("m").alias("m"))
+    one, parts = m.filter("n = 1").select("a", "ring", "m"), m.filter("n > 1").select("a", "m")
+    shapes = one.groupBy("ring").agg(F.max("a").alias("s"), F.count("*").alias("n"))
+    dealt = one.join(shapes, "ring").select(F.col("s").alias("a"), F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / MEMBERS)).alias("deal"), "m")
+    members = dealt.unionByName(parts.select("a", F.lit(0).cast("long").alias("deal"), "m")).groupBy("a", "deal").agg(F.collect_list("m").alias("members"))
+    rings = shapes.select(F.col("s").alias("a"), "ring").unionByName(areas.select(F.col(area_id).alias("a"), "ring").join(parts.select("a"), "a", "left_semi"))
+    return rings, members.drop("deal")
+
+
 def _edges(areas: DataFrame, area_id: str) -> DataFrame:
     """(a, e, size, x1, y1, x2, y2): every edge once, written, with the cell size that its area's border asks for."""
     e = areas.select(F.col(area_id).alias("a"), F.inline(geo.edges(F.col("ring")))).dropna()
@@ -89,13 +107,13 @@ def _bands(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _cells(areas: DataFrame, area_id: str) -> tuple[DataFrame, DataFrame]:
     """The areas' cells, written: (a, e, size, k, cy, cx, inside, halvings, edges), and the bands of rows with more edges.
 
-    A border cell has the edges of its row where these are BAND_EDGES at most; else `edges` is null and the row's bands
-    have them. A row with flat edges only holds no point.
+    A border cell has the edges of its row where these are BAND_EDGES at most, as `_flat` numbers; else `edges` is null
+    and the row's bands have them. A row with flat edges only holds no point.
     """
     rows = _rows(_edges(areas, area_id))
     halvings, bands = _bands(rows)
     border = _border(rows)
-    short = bands.filter((F.col("band") == F.col("cy")) & (F.size("edges") <= BAND_EDGES)).join(halvings.filter("halvings = 0").drop("halvings"), ["a", "cy"]).select("a", "cy", "edges")
+    short = bands.filter((F.col("band") == F.col("cy")) & (F.size("edges") <= BAND_EDGES)).join(halvings.filter("halvings = 0").drop("halvings"), ["a", "cy"]).select("a", "cy", _flat(F.col("edges")).alias("edges"))
     touched = border.join(halvings, ["a", "cy"]).join(short, ["a", "cy"], "left").select("a", "e", "size", F.lit(0).alias("k"), "cy", "cx", F.lit(False).alias("inside"), "halvings", "edges")
     inner = _inner(border).select("a", "e", "size", "k", "cy", "cx", F.lit(True).alias("inside"), F.lit(None).cast("int").alias("halvings"), F.lit(None).cast(dict(short.dtypes)["edges"]).alias("edges"))
     return settled(touched.unionByName(inner)), bands
@@ -116,14 +134,27 @@ def _largest(cells: DataFrame, lengths: list[int]) -> DataFrame:
     return settled(border.unionByName(best))
 
 
+#: Numbers of an edge in a flat list: where it begins and ends along y, its first corner, its extent.
+EDGE = ("lo", "hi", "x1", "y1", "dx", "dy")
+
+
+def _flat(edges: Column) -> Column:
+    number = lambda e: F.array(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]), e["x1"], e["y1"], e["x2"] - e["x1"], e["y2"] - e["y1"])
+    return F.flatten(F.transform(edges, number))
+
+
 def _odd(x: str, y: str) -> Column:
-    """Whether a ray crosses an odd number of a cell's edges, BAND_EDGES at most: a plain sum, so that Spark compiles it."""
+    """Whether a ray crosses an odd number of a cell's edges, BAND_EDGES at most.
+
+    Plain functions of flat numbers: the code that Spark makes of a join with it must stay below the 8,000 bytes that the
+    JVM compiles, else every pair is interpreted (tested).
+    """
     n = F.lit(0)
     for i in range(BAND_EDGES):
-        e = F.get("edges", F.lit(i))
-        crosses = ((e["y1"] > F.col(y)) != (e["y2"] > F.col(y))) & (F.col(x) < (e["x2"] - e["x1"]) * (F.col(y) - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"])
-        n = n + F.when(crosses, 1).otherwise(0)
-    return n % 2 == 1
+        e = {name: F.get("edges", F.lit(i * len(EDGE) + j)) for j, name in enumerate(EDGE)}
+        crosses = (e["lo"] <= F.col(y)) & (F.col(y) < e["hi"]) & (F.col(x) < F.try_divide(e["dx"] * (F.col(y) - e["y1"]), e["dy"]) + e["x1"])
+        n = n.bitwiseXOR(F.when(crosses, 1).otherwise(0))
+    return n == 1
 
 
 def _placed(points: DataFrame, key: str, x: str, y: str, grids: list[tuple[int, float, int]]) -> DataFrame:
@@ -133,43 +164,55 @@ def _placed(points: DataFrame, key: str, x: str, y: str, grids: list[tuple[int,
     return p.select("_key", "_px", "_py", F.col("_g.e").alias("e"), F.col("_g.k").alias("k"), F.floor(F.col("_py") / F.col("_g.size")).alias("cy"), F.expr("shiftright(floor(_px / _g.size), 2 * _g.k)").alias("cx"))
 
 
-def _pairs(p: DataFrame, cells: DataFrame, bands: DataFrame) -> DataFrame:
-    """(_key, a) of the points in the areas of `cells`. Pairs are decided in the task that makes them and not moved,
-    except for those in rows of more than BAND_EDGES edges."""
+def _pairs(p: DataFrame, cells: DataFrame, bands: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """(_key, a) of the points in the areas of `cells`; with `members` (_key, _id, more) of all areas in its lists. Pairs
+    are decided in the task that makes them and not moved, except for those in rows of more than BAND_EDGES edges."""
     # pairs may be many more than the rows they come from, so tasks are not merged by the rows' size
     tasks = int(p.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    held = p.repartition(tasks, *CELL).join(cells.filter("inside OR edges IS NOT NULL").repartition(tasks, *CELL), CELL).filter(F.col("inside") | _odd("_px", "_py")).select("_key", "a")
-    rest = cells.filter("NOT inside AND edges IS NULL")
+    short, rest = cells.filter("inside OR edges IS NOT NULL"), cells.filter("NOT inside AND edges IS NULL")
+    found = ["_key", "a"] if members is None else ["_key", F.inline("members")]
+    if members is not None:
+        short = short.join(members, "a")
+    held = p.repartition(tasks, *CELL).join(short.repartition(tasks, *CELL), CELL).filter(F.col("inside") | _odd("_px", "_py")).select(*found)
     if rest.isEmpty():
         return held
     near = p.join(rest, CELL).withColumn("band", F.floor(F.col("_py") / F.col("size") * F.pow(F.lit(2.0), F.col("halvings"))))
     cast = near.drop("edges").join(bands, ["a", "cy", "band"]).filter(geo.crossings_of(F.col("_px"), F.col("_py"), F.col("edges")) % 2 == 1)
-    return held.unionByName(cast.select("_key", "a"))
+    if members is not None:
+        cast = cast.select("_key", "a").join(members, "a")
+    return held.unionByName(cast.select(*found))
 
 
-def points_in_areas(points: DataFrame, areas: DataFrame, key: str, area_id: str = "area_id", x: str = "x", y: str = "y", how: str = "inner") -> DataFrame:
+def points_in_areas(points: DataFrame, areas: DataFrame, key: str, area_id: str = "area_id", x: str = "x", y: str = "y", how: str = "inner", more: list[str] | None = None) -> DataFrame:
     """(key, area_id) of every area that holds the point; with how="left" also points without one, with null; with
     how="largest" only the largest area_id of each point.
 
     Each area has a grid of its own size, so its cells are as many as its edges, whatever its extent. A point meets the
     cells of its place by an equi-join: in a cell without edges it is inside without further tests, in a border cell
-    the edges of its row tell. Every point has one cell of an area, so no pair comes twice.
+    the edges of its row tell. Every point has one cell of an area, so no pair comes twice. Areas of the same ring are
+    one until the pairs are made. `more` names columns of the areas, alike in all rows of one, that its pairs get: the
+    pairs may be many more than the areas, and need no join then.
     """
-    cells, bands = _cells(areas, area_id)
+    more = more or []
+    if more and how == "largest":
+        raise ValueError("the largest area's columns are not known: its pairs are decided by the areas' rings only")
+    rings, members = _alike(areas, area_id, more)
+    cells, bands = _cells(rings, "a")
     # one pair for each cell size and length of runs: powers, so a few dozen
     grids = [(r.e, r.size, r.k) for r in cells.select("e", "size", "k").distinct().collect()]
+    nulls = [F.lit(None).cast(areas.schema[c].dataType).alias(c) for c in (area_id, *more)]
     if not grids:
-        return points.select(key, F.lit(None).cast(dict(areas.dtypes)[area_id]).alias(area_id)).filter(F.lit(how == "left")).distinct()
+        return points.select(key, *nulls).filter(F.lit(how == "left")).distinct()
     p = _placed(points, key, x, y, grids)
     if how == "inner":
-        return _pairs(p, cells, bands).toDF(key, area_id)
+        return _pairs(p, cells, bands, settled(members)).toDF(key, area_id, *more)
     few = _largest(cells, sorted({k for *_, k in grids}))
     if how == "largest":
         return _pairs(p, few, bands).groupBy("_key").agg(F.max("a").alias("a")).toDF(key, area_id)
     # which points have an area is known by the few cells, so the pairs themselves are not moved
     none = points.select(key).distinct().join(_pairs(p, few, bands).select(F.col("_key").alias("_k")).distinct(), F.col(key) == F.col("_k"), "left_anti")
-    hit = _pairs(p, cells, bands).filter("_key IS NOT NULL").toDF(key, area_id)
-    return hit.unionByName(none.select(key, F.lit(None).cast(dict(areas.dtypes)[area_id]).alias(area_id)))
+    hit = _pairs(p, cells, bands, settled(members)).filter("_key IS NOT NULL").toDF(key, area_id, *more)
+    return hit.unionByName(none.select(key, *nulls))
 
 
 def area_centroids(areas: DataFrame, area_id: str = "area_id") -> DataFrame:

@@ -262,18 +262,18 @@ def building_feature_table(spark, d):
 
 def _tracts(spark, d):
     """Overlapping unit squares, one a supplier."""
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("area_id"), (F.col("s_suppkey") * 37 % 97 / 10.0).alias("cx"), (F.col("s_suppkey") * 53 % 89 / 10.0).alias("cy"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("area_id"), "s_acctbal", (F.col("s_suppkey") * 37 % 97 / 10.0).alias("cx"), (F.col("s_suppkey") * 53 % 89 / 10.0).alias("cy"))
     corner = lambda i, j: F.struct((F.col("cx") + i).alias("x"), (F.col("cy") + j).alias("y"))
-    return s.select("area_id", F.lit(False).alias("is_hole"), F.array(corner(-0.5, -0.5), corner(0.5, -0.5), corner(0.5, 0.5), corner(-0.5, 0.5)).alias("ring"))
+    return s.select("area_id", "s_acctbal", F.lit(False).alias("is_hole"), F.array(corner(-0.5, -0.5), corner(0.5, -0.5), corner(0.5, 0.5), corner(-0.5, 0.5)).alias("ring"))
 
 
 @query(f"""WITH {PARTS}, tr AS (SELECT s_suppkey AS parcel, s_acctbal, (s_suppkey * 37 % 97) / 10.0::DOUBLE AS cx, (s_suppkey * 53 % 89) / 10.0::DOUBLE AS cy FROM supplier)
   SELECT bldg_id, parcel, greatest(coalesce(s_acctbal, 0), 0)::DOUBLE AS parcel_assessed_value FROM prt LEFT JOIN tr ON x >= cx - 0.5 AND x < cx + 0.5 AND y >= cy - 0.5 AND y < cy + 0.5""")
 def joi4_parcels_without_dedup(spark, d):
     """Overlapping parcels multiply a building's rows; buildings without a parcel stay."""
-    hit = spatial.points_in_areas(parts(spark, d), _tracts(spark, d), "bldg_id", how="left").withColumnRenamed("area_id", "parcel")
-    values = table(spark, d, "supplier").select(F.col("s_suppkey").alias("parcel"), expr.non_negative("s_acctbal").alias("parcel_assessed_value"))
-    return portrait.with_attributes(hit, values, "parcel").fillna(0.0, ["parcel_assessed_value"])
+    parcels = _tracts(spark, d).withColumnsRenamed({"area_id": "parcel"}).withColumn("parcel_assessed_value", expr.non_negative("s_acctbal"))
+    hit = spatial.points_in_areas(parts(spark, d), parcels, "bldg_id", "parcel", how="left", more=["parcel_assessed_value"])
+    return hit.fillna(0.0, ["parcel_assessed_value"])
 
 
 @query(f"""WITH {VISITS}, hm AS (SELECT caid, arg_min(area, event_id) AS home FROM vis GROUP BY 1), wk AS (SELECT caid, arg_max(area, event_id) AS work FROM vis GROUP BY 1)

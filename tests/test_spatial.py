@@ -155,3 +155,49 @@ def test_overlapping_areas_give_few_candidates(spark):
     met = placed.join(cells, spatial.CELL).count()
     assert met < 2.5 * len(by_hand(points[:-1], rings))
     assert placed.join(spatial._largest(cells, [0]), spatial.CELL).count() < met / 2
+
+
+def test_areas_of_one_ring_are_decided_once(spark, monkeypatch):
+    """Many areas of few rings, in lists of three: every pair comes, once, with the area's columns; cells are those of the rings."""
+    monkeypatch.setattr(spatial, "MEMBERS", 3)
+    box = lambda x, y: [(x, y), (x + 2, y), (x + 2, y + 1), (x, y + 1)]
+    rings = [(f"{i:03d}", box(i % 3, i % 2)) for i in range(40)]
+    # areas of several rings stay their own, also where their rings are those of others or cancel each other
+    rings += [("two", box(0, 0)), ("two", box(5, 5)), ("too", box(0, 0)), ("too", box(5, 5)), ("none", box(1, 1)), ("none", box(1, 1))]
+    rng = random.Random(5)
+    points = [(i, rng.uniform(-1, 8), rng.uniform(-1, 7)) for i in range(150)] + [(200 + i, i % 6, i // 6) for i in range(24)] + [(300, None, 0.0)]
+    points = [(k, x if x is None else float(x), float(y)) for k, x, y in points]
+    want = by_hand(points[:-1], rings)
+    hit = {k for k, _ in want}
+    assert joined(spark, points, rings) == want
+    assert joined(spark, points, rings, "left") == want | {(k, None) for k, *_ in points if k not in hit}
+    assert joined(spark, points, rings, "largest") == {(k, max(a for j, a in want if j == k)) for k in hit}
+    areas = spark.createDataFrame(rows_of(rings), SCHEMA).withColumn("n", F.length("area_id")).withColumn("text", F.concat(F.lit("<"), "area_id"))
+    p = spark.createDataFrame(points, "k long, x double, y double")
+    got = spatial.points_in_areas(p, areas, "k", how="left", more=["n", "text"])
+    assert got.columns == ["k", "area_id", "n", "text"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(k, a, len(a), f"<{a}") for k, a in want] + [(k, None, None, None) for k, *_ in points if k not in hit], key=repr)
+    with pytest.raises(ValueError):
+        spatial.points_in_areas(p, areas, "k", how="largest", more=["n"])
+    alone = spatial._alike(areas, "area_id", [])[0]
+    assert sorted(r.a for r in alone.collect()) == ["034", "035", "036", "037", "038", "039", "none", "none", "too", "too", "two", "two"]
+
+
+@pytest.mark.parametrize("join", ["10m", "-1"])
+def test_the_join_of_points_and_cells_is_compiled(spark, join):
+    """The JVM interprets methods of more than 8,000 bytes."""
+    rings, points = overlapping(50)
+    before = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", join)
+        p = spark.createDataFrame(points, "k long, x double, y double")
+        areas = spark.createDataFrame(rows_of(rings), SCHEMA)
+        for how, more in (("left", ["name"]), ("inner", []), ("largest", [])):
+            plan = spatial.points_in_areas(p, areas, "k", how=how, more=more)._jdf.queryExecution()
+            text = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(plan, "codegen")
+            sizes = [int(s.split(";")[0]) for s in text.split("maxMethodCodeSize:")[1:]]
+            assert len(sizes) > 2 and max(sizes) < 8_000
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
