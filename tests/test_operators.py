@@ -1,5 +1,7 @@
 """The reference's own fixtures, invariants, plans, and edge cases."""
 
+import math
+
 import pytest
 from pyspark.sql import Window as W, functions as F
 
@@ -318,3 +320,37 @@ def test_building_scores_move_no_pairs(spark):
     for r in rows:
         total[r.caid] = total.get(r.caid, 0.0) + r.score
     assert all(t == pytest.approx(1.0, abs=1e-9) for t in total.values())
+
+
+def test_building_scores_of_one_place_are_taken_once(spark, monkeypatch):
+    """Buildings of one place are lists: scores are made and rounded before their pairs are, which equal plain sums."""
+    monkeypatch.setattr(mobility, "LIST_ROWS", 7)
+    monkeypatch.setattr(mobility, "BLOCK_ROWS", 4)
+    centres = [(i, i % 3, -83 + i / 100, 42 + i / 90) for i in range(20)] + [(90, None, -83.0, 42.0), (91, 1, None, 42.0)]
+    blds = [(j, j % 2, -83 + j % 3 / 50, 42 + j % 2 / 50) for j in range(120)] + [(200 + j, 0, -83 + j / 40, 42.0) for j in range(9)]
+    blds += [(None, 1, -83.0, 42.0), (None, 1, -83.0, 42.0), (300, 1, None, 42.0), (301, None, -83.0, 42.0)]
+    c = spark.createDataFrame(centres, "caid long, z int, centre_lon double, centre_lat double")
+    s = mobility.building_scores(c, spark.createDataFrame(blds, "bldg_id long, z int, lon double, lat double"), "caid", "z", digits=8)
+    plan = s._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.index("explode(_ids") < plan.index("round(") < plan.index("Join") and "EXP(" not in plan[: plan.index("explode(_ids")]
+
+    def near(x, y, lon, lat):
+        a = math.sin(math.radians(lat - y) / 2) ** 2 + math.cos(math.radians(y)) * math.cos(math.radians(lat)) * math.sin(math.radians(lon - x) / 2) ** 2
+        return math.exp(1 / (1 + 2 * 6371.0088 * math.asin(math.sqrt(a))))
+
+    want = []
+    for k, z, x, y in centres:
+        e = [(b, None if x is None or lon is None else near(x, y, lon, lat)) for b, area, lon, lat in blds if area == z and z is not None]
+        want += [(k, b, None if v is None else v / sum(w for _, w in e if w is not None)) for b, v in e]
+    key = lambda r: (r[0], r[1] is None, r[1] or 0, r[2] or 0.0)
+    got = sorted(map(tuple, s.collect()), key=key)
+    want.sort(key=key)
+    assert [r[:2] for r in got] == [r[:2] for r in want] and len(got) > 600
+    assert all(g[2] is None and w[2] is None or g[2] == round(g[2], 8) and g[2] == pytest.approx(w[2], abs=6e-9) for g, w in zip(got, want, strict=True))
+
+
+def test_building_scores_of_one_area_and_place_are_many_tasks(spark):
+    c = spark.createDataFrame([(i, 1, -83.0, 42.0) for i in range(200)], "caid long, z int, centre_lon double, centre_lat double")
+    b = spark.createDataFrame([(j, 1, -83.0, 42.5) for j in range(50)], "bldg_id long, z int, lon double, lat double")
+    n = mobility.building_scores(c, b, "caid", "z").groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in n) == 200 * 50 and len(n) > 2 and max(r["count"] for r in n) < 0.8 * 200 * 50
